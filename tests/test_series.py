@@ -27,11 +27,13 @@ def skewed(spark):
     rows = []
     for i in range(900):
         key = None if rnd.random() < 0.4 else rnd.choice(["a", "b", "c"])
-        # bursts: most rows of a key sit in a tiny part of the time axis
-        t = rnd.random() ** 6 * 1000
-        rows.append((i, key, float(int(t * 50)) / 50, rnd.choice([None, rnd.random(), rnd.random()]), rnd.random()))
-    rows += [(9000, "solo", 1.0, 2.0, 0.5), (9001, "a", None, 1.0, 0.9), (9002, "a", float("inf"), 1.0, 0.9)]
-    return spark.createDataFrame(rows, "id long, key string, t double, x double, p double").repartition(5)
+        t = rnd.random() * 1000
+        # bursts: most rows of a key sit in a tiny part of the time axis, many at the same time
+        burst = float(int(rnd.random() ** 6 * 50_000)) / 50
+        rows.append((i, key, t, burst, rnd.choice([None, rnd.random(), rnd.random()]), rnd.random()))
+    for row in [("solo", 1.0), ("a", None), ("a", float("inf")), ("a", 500.0), ("a", 500.0)]:
+        rows.append((9000 + len(rows), row[0], row[1], row[1], 2.0, 0.5))
+    return spark.createDataFrame(rows, "id long, key string, t double, burst double, x double, p double").repartition(5).cache()
 
 
 SPECS = [(("key",), 40), ((), 100)]
@@ -90,10 +92,13 @@ def test_streaks_equal_recursion(skewed, keys, hot, zone, override, persistence)
 
 
 def test_slices_are_bounded(skewed):
-    sliced = S.slice_series(skewed, Series(("key",), "t", ("id",), 40))
+    bursty = Series(("key",), "burst", ("id",), 40)
+    sliced = S.slice_series(skewed, bursty).cache()
     sizes = [r["count"] for r in sliced.where(F.col(S.HOT)).groupBy("key", S.SLICE).count().collect()]
-    ties = skewed.groupBy("key", "t").count().agg(F.max("count")).first()[0]
+    ties = skewed.groupBy("key", "burst").count().agg(F.max("count")).first()[0]
     assert ties > 40 and max(sizes) <= 80
+    plain = skewed.select("*", F.row_number().over(Window.partitionBy("key").orderBy("burst", "id")).alias("n"))
+    assert collected(S.row_index(sliced, bursty, "n"), "n") == collected(plain, "n")
 
 
 def test_empty_table(skewed):
