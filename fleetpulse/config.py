@@ -73,6 +73,6 @@ class TrainConfig:
     folds: int = 3
     train_fraction: float = 0.8
     seed: int = 42
-    tol: float = 1e-6
+    tol: float = 1e-8
     parallelism: int = 8
-    penalize_intercept: bool = True
+    solver: str = "joint"  # or "ml": one pyspark.ml fit per model
