@@ -12,12 +12,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Series
+from ..config import LabelSpec, Series
 from ..functions.columns import c, cols, rounded
 from ..operators import alerts, calibrate, evaluate, profile, quantiles, rows, split
 from ..operators.features import SERVE, TRAIN, feature_names, rolling_features
 from ..operators.series import drop_slices, row_index
+from ..sources.sensors import read_sensor_table, scratch_path, snapshot_once, write_feature_table
+from ..streaming import monitor
 from . import sqltext as q
+from . import training
 from .tables import (
     CONFIG,
     EVENT_SENSORS,
@@ -730,3 +733,104 @@ def _scale_sql(n: str) -> str:
 def _(spark, sf_dir):
     df = quantiles.robust_scale_stats(lineitem(spark, sf_dir), LINE_SENSORS)
     return shown(df, ["column"], ["center", "scale"])
+
+
+@query("class_weights", f"""WITH {q.EVENTS} SELECT failure AS class, count(*) AS "rows",
+  {q.rnd('sum(count(*)) OVER () / (2.0 * count(*))')} AS weight FROM ev GROUP BY failure""")
+def _(spark, sf_dir):
+    df = training.balanced_weights(events(spark, sf_dir), "failure")
+    return df.select("class", "rows", rounded(c("weight"), 6).alias("weight"))
+
+
+@query(
+    "robust_scaled_rows",
+    f"WITH {q.LINES}, st AS (SELECT "
+    + ", ".join(
+        f"quantile_cont({n}, 0.5) AS m{i}, quantile_cont({n}, 0.75) - quantile_cont({n}, 0.25) AS s{i}"
+        for i, n in enumerate(LINE_SENSORS)
+    )
+    + f" FROM li) SELECT {', '.join(LINE_KEYS)}, "
+    + ", ".join(
+        f"{q.rnd(f'({n} - m{i}) / CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END')} AS {n}" for i, n in enumerate(LINE_SENSORS)
+    )
+    + " FROM li, st",
+)
+def _(spark, sf_dir):
+    df = lineitem(spark, sf_dir)
+    stats = {r["column"]: (r["center"], r["scale"]) for r in quantiles.robust_scale_stats(df, LINE_SENSORS).collect()}
+    scaled = df.select(*LINE_KEYS, *[((c(n) - stats[n][0]) / stats[n][1]).alias(n) for n in LINE_SENSORS])
+    return shown(scaled, LINE_KEYS, LINE_SENSORS)
+
+
+@query("robust_scaler_approx")
+def _(spark, sf_dir):
+    return quantiles.robust_scale_stats(lineitem(spark, sf_dir), LINE_SENSORS, exact=False)
+
+
+# ---- training ------------------------------------------------------------------
+
+LINE_LABELS = LabelSpec("returned", ("closed", "discounted"))
+# discount decides one of the modes, so it may not be a feature of the line models
+LINE_FEATURE_SENSORS = ("l_quantity", "l_extendedprice", "l_tax")
+LINE_FEATURES = feature_names(LINE_FEATURE_SENSORS)
+LINE_ORDER = Series((), "l_shipdate", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+LINE_ID = "line_id"
+
+
+def line_features(spark, sf_dir):
+    df = rolling_features(lineitem(spark, sf_dir), LINE_FEATURE_SENSORS, LINE_SERIES)
+    return df.withColumn(LINE_ID, F.concat_ws("-", *LINE_KEYS))
+
+
+@query("train_risk_model")
+def _(spark, sf_dir):
+    labels = LabelSpec("failure", (), ("event_type",))
+    return training.train_risk_model(served(spark, sf_dir), FEATURES, ONE_SERIES, labels).report
+
+
+@query("risk_model_search")
+def _(spark, sf_dir):
+    labels = LabelSpec("failure", (), ("event_type",))
+    return training.train_risk_model(served(spark, sf_dir), FEATURES, ONE_SERIES, labels).search
+
+
+@query("train_mode_models")
+def _(spark, sf_dir):
+    trained = training.train_mode_models(
+        line_features(spark, sf_dir), LINE_FEATURES, LINE_ORDER, LINE_LABELS, LINE_ID
+    )
+    return training.metrics_table(trained, "check").drop("created")
+
+
+# ---- sources and streams -------------------------------------------------------
+
+
+@query("csv_round_trip", "SELECT event_id, user_id, value FROM events")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    write_feature_table(df, path, "csv")
+    return read_sensor_table(spark, path, "csv", df.schema)
+
+
+@query("feature_table_round_trip", f"WITH {q.EVENTS}, {TRAIN_EVENTS} " + shown_sql(["event_id"], FEATURES, "f") + f" WHERE {ALL_PRESENT}")
+def _(spark, sf_dir):
+    raw, path = scratch_path(spark, "raw"), scratch_path(spark, "features")
+    snapshot_once(table(spark, sf_dir, "events"), raw)
+    snapshot_once(table(spark, sf_dir, "events").where("event_id < 0"), raw)  # changes nothing
+    df = read_sensor_table(spark, raw, "parquet")
+    df = df.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    df = rolling_features(df, EVENT_SENSORS, EVENT_SERIES, preset=TRAIN)
+    write_feature_table(rows.complete_cases(df, FEATURES), path)
+    return shown(read_sensor_table(spark, path, "parquet"), ["event_id"], FEATURES)
+
+
+@query("stream_timeline", SQL["alert_timeline"])
+def _(spark, sf_dir):
+    monitor.use_rocksdb(spark)
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet")
+    df = raw.parquet(sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    stream = monitor.alert_stream(df, EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, CONFIG)
+    path = scratch_path(spark, "stream")
+    monitor.write_stream(stream, f"{path}/out", f"{path}/checkpoint", drain=True).awaitTermination()
+    return flat(spark.read.parquet(f"{path}/out"))

@@ -64,7 +64,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             df = build(spark, sf_dir)
-            result = difference(df, con, sql[name]) if name in sql else f"(no SQL) {df.count()} rows"
+            result = difference(df, con, sql[name]) if name in sql else (None if df.count() else 'no rows')
         except Exception as e:
             result = f"{type(e).__name__} {str(e)[:300]}"
         print(f"{'ok  ' if result is None else 'DIFF'} {name} {time.time() - start:.2f}s {result or ''}", flush=True)
