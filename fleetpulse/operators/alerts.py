@@ -11,7 +11,7 @@ from ..config import CRITICAL, HEALTHY, UNKNOWN_MODE, WARNING, AlertConfig, Seri
 from ..functions.columns import c, cols, logit, sigmoid
 from ..functions.linear import LinearModel
 from .features import SERVE, add_features, feature_names, lookback_rows
-from .series import drop_slices, row_index, streaks, with_lookback
+from .series import decided, drop_slices, row_index, streaks, with_lookback
 
 RISK, SMOOTH, STREAK, LEVEL, STEP = "risk", "smooth", "streak", "alert_level", "step"
 
@@ -127,7 +127,8 @@ def alert_timeline(
     streak and step number.
     """
     wanted = dict.fromkeys([*series.keys, series.order, *series.tiebreak, *keep, *sensors])
-    scored = scored_series(df.select(*cols(wanted)), sensors, series, risk, config, window, preset)
+    df, series = decided(df.select(*cols(wanted)), series)
+    scored = scored_series(df, sensors, series, risk, config, window, preset)
     counted = row_index(warning_streaks(scored, series, config), series, STEP)
     shown = list(dict.fromkeys([*series.keys, series.order, *series.tiebreak, *keep, STEP]))
     used = dict.fromkeys([*shown, *feature_names(sensors), SMOOTH, STREAK])

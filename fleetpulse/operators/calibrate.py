@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from ..config import AlertConfig, Series
 from ..functions.columns import cols, linspace
 from ..functions.linear import LinearModel
-from .alerts import SMOOTH, STEP, scored_series
+from .alerts import SMOOTH, scored_series
 from .features import SERVE
-from .series import drop_slices, row_index, with_lookback
+from .series import decided, drop_slices, row_index, with_lookback
 
 # The published grid, ten even steps for both sensitivities.
 WARNING_GRID = tuple(linspace(0.1, 1.0, 10))
 DIAGNOSIS_GRID = tuple(linspace(0.1, 1.0, 10))
 # End of fixed values.
 
-REACH = "__reach"
+REACH, AT = "__reach", "__at_step"
 
 
 def _reach(w: WindowSpec, config: AlertConfig) -> Column:
@@ -45,6 +45,7 @@ def first_alerts_of_scored(
     df: DataFrame, series: Series, config: AlertConfig, warning: Sequence[float] = WARNING_GRID
 ) -> DataFrame:
     """First step with an alert per series and warning sensitivity, from smoothed risks."""
+    df, series = decided(df, series)
     reached = with_lookback(
         df, series, max(config.persistence, 1) - 1, lambda t, w: t.withColumn(REACH, _reach(w, config))
     )
@@ -52,10 +53,10 @@ def first_alerts_of_scored(
 
 
 def _first_steps(reached: DataFrame, series: Series, config: AlertConfig, warning: Sequence[float]) -> DataFrame:
-    stepped = drop_slices(row_index(reached, series, STEP))
+    stepped = drop_slices(row_index(reached, series, AT))
     first = stepped.groupBy(*cols(series.keys)).agg(
         *[
-            F.min(F.when(F.col(REACH) >= replace(config, warning_sensitivity=s).warning_zone, F.col(STEP))).alias(f"__s{i}")
+            F.min(F.when(F.col(REACH) >= replace(config, warning_sensitivity=s).warning_zone, F.col(AT))).alias(f"__s{i}")
             for i, s in enumerate(warning)
         ]
     )
@@ -84,8 +85,9 @@ def first_alerts(
 ) -> DataFrame:
     """The same from raw readings: one shuffle for features, smoothing and all zones."""
     used = dict.fromkeys([*series.keys, series.order, *series.tiebreak, *sensors])
+    df, series = decided(df.select(*cols(used)), series)
     reached = scored_series(
-        df.select(*cols(used)),
+        df,
         sensors,
         series,
         risk,

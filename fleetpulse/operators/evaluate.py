@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Series
 from ..functions.columns import c, cols, ratio
-from .series import drop_slices, join_small, running_sums
+from .series import drop_slices, join_small, may_be_hot, running_sums, settled
 
 
 def _group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -41,11 +42,13 @@ def curve(
 ) -> DataFrame:
     """One row per distinct score t: the outcome of predicting 1 where score >= t."""
     counts = score_counts(df, label, score, by).withColumn("__down", -F.col("threshold"))
-    summed = drop_slices(
-        running_sums(
-            counts, Series(tuple(by), "__down", (), hot_rows), {"tp": F.col("pos"), "fp": F.col("neg")}
-        )
+    along = Series(tuple(by), "__down", (), hot_rows)
+    if large := may_be_hot(df, along):
+        counts = settled(counts)
+    summed = running_sums(
+        counts, along if large else replace(along, hot_rows=None), {"tp": F.col("pos"), "fp": F.col("neg")}
     )
+    summed = drop_slices(summed)
     totals = counts.groupBy(*cols(by)).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     return _group_totals(summed, totals, by).select(
         *cols(by),
@@ -221,7 +224,7 @@ def score_density(
     """Gaussian kernel density of the score per class (0 and 1) on an even grid.
 
     Equal scores are counted first. `bins` snaps scores to that many cells per class,
-    which bounds the work to bins * points on top of one counting pass; without it the
+    which bounds the work to bins * points on top of the counting pass; without it the
     density is exact.
     """
     kept = df.where(c(label).isin(0, 1) & c(score).isNotNull()).select(

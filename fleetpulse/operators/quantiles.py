@@ -8,6 +8,7 @@ the counts are summed along the value axis in slices, so no task holds a whole c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..config import Series
 from ..functions.columns import c, cols
-from .series import drop_slices, join_small, running_sums
+from .series import drop_slices, join_small, may_be_hot, running_sums, settled
 
 
 def present(df: DataFrame, name: str) -> Column:
@@ -44,8 +45,8 @@ def exact_quantiles(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(n).alias("column"), present(df, n).cast("double").alias("value"))
-                    for n in columns
+                    F.struct(F.lit(i).alias("column"), present(df, n).cast("double").alias("value"))
+                    for i, n in enumerate(columns)
                 ]
             )
         ),
@@ -53,13 +54,14 @@ def exact_quantiles(
     counts = long.groupBy("column", "value").agg(
         *[F.sum(f"__in{i}").alias(f"__n{i}") for i in range(len(tags))]
     )
+    by_value = Series(("column",), "value", (), hot_rows)
+    if may_be_hot(df, by_value):
+        counts = settled(counts)
+    else:
+        by_value = replace(by_value, hot_rows=None)
     totals = counts.groupBy("column").agg(*[F.sum(f"__n{i}").alias(f"__t{i}") for i in range(len(tags))])
     placed = drop_slices(
-        running_sums(
-            counts,
-            Series(("column",), "value", (), hot_rows),
-            {f"__c{i}": F.col(f"__n{i}") for i in range(len(tags))},
-        )
+        running_sums(counts, by_value, {f"__c{i}": F.col(f"__n{i}") for i in range(len(tags))})
     )
     # totals has one row per profiled column
     placed = join_small(placed, totals, ["column"])
@@ -85,7 +87,7 @@ def exact_quantiles(
         return lo + (hi - lo) * f
 
     return found.select(
-        "column",
+        F.element_at(F.array(*[F.lit(n) for n in columns]), F.col("column") + 1).alias("column"),
         F.inline(
             F.array(
                 *[

@@ -22,7 +22,9 @@ and adds at most 4 * MAX_HOT slices, whatever the table size.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -98,6 +100,23 @@ def _finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def may_be_hot(df: DataFrame, series: Series) -> bool:
+    """Whether the table is large enough to hold a hot series (a count, no shuffle)."""
+    return series.hot_rows is not None and df.count() > series.hot_rows
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written once to the shared checkpoint folder, so that several passes
+    over it do not repeat what computed it and lost executors cost no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # unset only in local runs; a cluster names a shared folder
+        context.setCheckpointDir(
+            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetpulse-")
+        )
+    return df.checkpoint()
+
+
 def slice_series(df: DataFrame, series: Series) -> DataFrame:
     """Add SLICE (place of the slice in its series) and HOT, if any series is hot.
 
@@ -105,7 +124,7 @@ def slice_series(df: DataFrame, series: Series) -> DataFrame:
     are. Slices are equally wide in time; a slice that is still too full (a burst) is
     cut again by the same rule, along the tie-break column where all times are equal.
     """
-    if series.hot_rows is None or SLICE in df.columns:
+    if SLICE in df.columns or not may_be_hot(df, series):
         return df
     x, y = _axes(df, series)
     counts = df.groupBy(*cols(series.keys)).count()
@@ -170,6 +189,12 @@ def slice_series(df: DataFrame, series: Series) -> DataFrame:
     return out
 
 
+def decided(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
+    """Slice once for a chain of operators: the table, and the series to pass them."""
+    sliced = slice_series(df, series)
+    return sliced, series if SLICE in sliced.columns else replace(series, hot_rows=None)
+
+
 def drop_slices(df: DataFrame) -> DataFrame:
     return df.drop(SLICE, HOT)
 

@@ -16,7 +16,7 @@ from ..config import LabelSpec, Series
 from ..functions.columns import c, cols, rounded
 from ..operators import alerts, calibrate, evaluate, profile, quantiles, rows, split
 from ..operators.features import SERVE, TRAIN, feature_names, rolling_features
-from ..operators.series import drop_slices, row_index
+from ..operators.series import decided, drop_slices, row_index
 from ..sources.sensors import read_sensor_table, scratch_path, snapshot_once, write_feature_table
 from ..streaming import monitor
 from . import sqltext as q
@@ -384,8 +384,9 @@ ONE_CONFIG = replace(CONFIG, warning_sensitivity=0.35)
 )
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "ts", (c("value") / 100.0).alias("risk"))
-    df = alerts.smooth_risk(df, ONE_SERIES, config=ONE_CONFIG)
-    df = row_index(alerts.warning_streaks(df, ONE_SERIES, ONE_CONFIG), ONE_SERIES)
+    df, along = decided(df, ONE_SERIES)
+    df = alerts.smooth_risk(df, along, config=ONE_CONFIG)
+    df = row_index(alerts.warning_streaks(df, along, ONE_CONFIG), along)
     return df.select("event_id", "step", "streak")
 
 
