@@ -156,7 +156,8 @@ def to_linear_model(
 def pipeline_model(model: LinearModel) -> PipelineModel:
     """The model as a standard pipeline that adds `probability`, for use without this package."""
     terms = [repr(model.intercept)] + [
-        f"CAST({b!r} AS DOUBLE) * (CAST(`{n.replace('`', '``')}` AS DOUBLE) - CAST({m!r} AS DOUBLE)) / CAST({s!r} AS DOUBLE)"
+        f"CAST({b!r} AS DOUBLE) * (coalesce(CAST(`{n.replace('`', '``')}` AS DOUBLE), 0.0D) - CAST({m!r} AS DOUBLE))"
+        f" / CAST({s!r} AS DOUBLE)"
         for n, b, m, s in zip(model.features, model.coefficients, model.centers, model.scales)
         if b != 0.0
     ]
