@@ -11,7 +11,7 @@ from ..config import CRITICAL, HEALTHY, UNKNOWN_MODE, WARNING, AlertConfig, Seri
 from ..functions.columns import c, cols, logit, sigmoid
 from ..functions.linear import LinearModel
 from .features import SERVE, add_features, feature_names, lookback_rows
-from .series import decided, drop_slices, row_index, streaks, with_lookback
+from .series import decided, drop_slices, streaks, with_lookback
 
 RISK, SMOOTH, STREAK, LEVEL, STEP = "risk", "smooth", "streak", "alert_level", "step"
 
@@ -34,12 +34,14 @@ def smooth_risk(df: DataFrame, series: Series, risk: str = RISK, config: AlertCo
     )
 
 
-def warning_streaks(df: DataFrame, series: Series, config: AlertConfig = AlertConfig()) -> DataFrame:
+def warning_streaks(
+    df: DataFrame, series: Series, config: AlertConfig = AlertConfig(), step: str | None = None
+) -> DataFrame:
     """Count rows in the warning zone; a strong risk lifts the count to the persistence."""
     smooth = F.col(SMOOTH)
     lifted = (smooth < config.critical_threshold) & (smooth >= config.override_level)
     return streaks(
-        df, series, smooth < F.lit(config.warning_zone), F.when(lifted, F.lit(config.persistence)), STREAK
+        df, series, smooth < F.lit(config.warning_zone), F.when(lifted, F.lit(config.persistence)), STREAK, step
     )
 
 
@@ -129,7 +131,7 @@ def alert_timeline(
     wanted = dict.fromkeys([*series.keys, series.order, *series.tiebreak, *keep, *sensors])
     df, series = decided(df.select(*cols(wanted)), series)
     scored = scored_series(df, sensors, series, risk, config, window, preset)
-    counted = row_index(warning_streaks(scored, series, config), series, STEP)
+    counted = warning_streaks(scored, series, config, STEP)
     shown = list(dict.fromkeys([*series.keys, series.order, *series.tiebreak, *keep, STEP]))
     used = dict.fromkeys([*shown, *feature_names(sensors), SMOOTH, STREAK])
     return prediction_record(drop_slices(counted).select(*cols(used)), modes, config, shown)

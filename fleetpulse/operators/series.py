@@ -285,16 +285,20 @@ def _counter(at: Column, island: Column, best: Column) -> Column:
     return F.when(island == 0, F.greatest(F.coalesce(started, at), at)).otherwise(started)
 
 
-def streaks(df: DataFrame, series: Series, reset: Column, floor: Column, name: str = "streak") -> DataFrame:
+def streaks(
+    df: DataFrame, series: Series, reset: Column, floor: Column, name: str = "streak", step: str | None = None
+) -> DataFrame:
     """Counter that restarts at 0 on `reset`, else grows by one, and is raised to
     at least `floor` where that is not NULL (after the reset or step).
 
     Every step maps s to max(s + a, b); such maps compose, so the counter at row t is
     ``t + max(b_j - j)`` over the rows j since the last reset. Comparing
     (number of resets, b - position) as a struct keeps only the current island, in the
-    same window and sort as everything else.
+    same window and sort as everything else. `step` also adds the row number, which
+    needs no carry of its own.
     """
     df = slice_series(df, series)
+    steps = [step] if step else []
     ordered = window(df, series)
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     start = F.greatest(F.when(reset, F.lit(0)), floor).cast("long")
@@ -319,7 +323,7 @@ def streaks(df: DataFrame, series: Series, reset: Column, floor: Column, name: s
         _counter(F.col("__at"), F.col("__island"), F.col("__best")).alias(name),
     )
     if SLICE not in df.columns:
-        return local.drop("__at", "__island", "__local")
+        return local.select(*cols(df.columns), c(name), *[F.col("__at").alias(n) for n in steps])
 
     keys = [*series.keys, SLICE]
     reduced = local.where(F.col(HOT)).groupBy(*cols(keys)).agg(
@@ -346,6 +350,7 @@ def streaks(df: DataFrame, series: Series, reset: Column, floor: Column, name: s
     carry = scanned.select(
         *cols(keys),
         F.lag(_counter(F.col("__end"), F.col("__isl"), F.col("__b")), 1).over(by_slice).alias("__carry"),
+        F.lag("__end", 1).over(by_slice).alias("__before"),
     )
     joined = join_small(local, carry, keys)
     open_start = (F.col("__island") == 0) & F.col("__carry").isNotNull()
@@ -354,4 +359,5 @@ def streaks(df: DataFrame, series: Series, reset: Column, floor: Column, name: s
         F.when(open_start, F.greatest(c(name), F.col("__carry") + F.col("__at")))
         .otherwise(c(name))
         .alias(name),
+        *[(F.col("__at") + F.coalesce("__before", F.lit(0))).alias(n) for n in steps],
     )

@@ -386,8 +386,7 @@ def _(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "ts", (c("value") / 100.0).alias("risk"))
     df, along = decided(df, ONE_SERIES)
     df = alerts.smooth_risk(df, along, config=ONE_CONFIG)
-    df = row_index(alerts.warning_streaks(df, along, ONE_CONFIG), along)
-    return df.select("event_id", "step", "streak")
+    return alerts.warning_streaks(df, along, ONE_CONFIG, "step").select("event_id", "step", "streak")
 
 
 def timeline_sql(tail: str) -> str:
