@@ -38,12 +38,21 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 
 def curve(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), hot_rows: int | None = 1_000_000
+    df: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    hot_rows: int | None = 1_000_000,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """One row per distinct score t: the outcome of predicting 1 where score >= t."""
+    """One row per distinct score t: the outcome of predicting 1 where score >= t.
+
+    `at_most` is a known bound on the rows of a group; it saves counting them.
+    """
     counts = score_counts(df, label, score, by).withColumn("__down", -F.col("threshold"))
     along = Series(tuple(by), "__down", (), hot_rows)
-    if large := may_be_hot(df, along):
+    large = may_be_hot(df, along) if at_most is None or hot_rows is None else at_most > hot_rows
+    if large:
         counts = settled(counts)
     summed = running_sums(
         counts, along if large else replace(along, hot_rows=None), {"tp": F.col("pos"), "fp": F.col("neg")}

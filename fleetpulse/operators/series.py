@@ -51,14 +51,9 @@ def axis(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(col).cast("double")
     if isinstance(dtype, T.TimestampNTZType):
-        # built from its fields, so the session time zone plays no part
-        seconds = F.extract(F.lit("SECOND"), col).cast("double")
-        return (
-            F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")) * F.lit(86400.0)
-            + F.hour(col) * F.lit(3600.0)
-            + F.minute(col) * F.lit(60.0)
-            + seconds
-        )
+        # as the distance from a fixed point, so the session time zone plays no part
+        since = col - F.lit("1970-01-01").cast("timestamp_ntz")
+        return since.cast("interval second").cast("decimal(20,6)").cast("double")
     raise ValueError(f"order column {name!r} has type {dtype.simpleString()}; use a number, date or time")
 
 

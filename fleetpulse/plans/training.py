@@ -212,13 +212,14 @@ def search_c(
     label: str,
     fold: str,
     models: dict[tuple[str, float], LinearModel],
+    n: int,
     config: TrainConfig,
 ) -> DataFrame:
     """(c, mean_auc) over the folds: every row is scored by the models that did not see it."""
     by_fold = {k: [models[f"fold{k}", v] for v in config.grid] for k in range(config.folds)}
     scored = score_grid(df, features, label, fold, by_fold, config.grid)
     by = ["c", "fold"]
-    aucs = evaluate.roc_auc(evaluate.curve(scored, "y", "p", by=by), by=by)
+    aucs = evaluate.roc_auc(evaluate.curve(scored, "y", "p", by=by, at_most=n), by=by)
     # ties between C values are real; the order of summation must not decide them
     return aucs.groupBy("c").agg(F.round(F.avg("roc_auc"), 12).alias("mean_auc"))
 
@@ -245,7 +246,7 @@ def train_model(
     sets = {FULL: F.lit(True), **{f"fold{k}": c("__fold") != k for k in range(config.folds)}}
     stats = set_statistics(train, features, label, sets, exact)
     models = fit_all(train, features, label, "__fold", stats, config)
-    found = search_c(train, features, label, "__fold", models, config)
+    found = search_c(train, features, label, "__fold", models, stats[FULL].rows, config)
     table = sorted((r["c"], r["mean_auc"]) for r in found.collect())  # one row per C
     best = max(table, key=lambda r: (-1.0 if r[1] is None else r[1], -r[0]))[0]
     model = replace(models[FULL, best], name=name)
