@@ -20,6 +20,7 @@ from .series import axis
 
 CELLS = 4096
 FINISH_ROWS = 100_000
+MAX_CLASSES = 1_000
 TRAIN, TEST = "train", "test"
 
 
@@ -61,6 +62,15 @@ def cut_point(df: DataFrame, columns: Sequence[str], rank: int, finish_rows: int
     return tuple(values)
 
 
+def cut_points(df: DataFrame, columns: Sequence[str], ranks: Sequence[int], finish_rows: int = FINISH_ROWS) -> list[tuple]:
+    """Several cut points; small tables are ranked once for all of them."""
+    if df.count() > finish_rows:
+        return [cut_point(df, columns, r, finish_rows) for r in ranks]
+    ranked = df.select(*cols(columns), F.row_number().over(Window.orderBy(*cols(columns))).alias("__rank"))
+    found = {r["__rank"]: tuple(r)[:-1] for r in ranked.where(F.col("__rank").isin(list(ranks))).collect()}
+    return [found[r] for r in ranks]
+
+
 def _finish(rest: DataFrame, columns: Sequence[str], rank: int) -> tuple:
     """The row at `rank` among at most `finish_rows` rows."""
     if not columns:
@@ -99,10 +109,14 @@ def spread_key(id_column: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
+def _check_classes(label: str, found: list) -> None:
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
+
+
 def _class_counts(df: DataFrame, label: str) -> dict:
-    found = df.where(c(label).isNotNull()).groupBy(c(label)).count().limit(1001).collect()
-    if len(found) > 1000:
-        raise ValueError(f"{label!r} has more than 1000 classes")
+    found = df.where(c(label).isNotNull()).groupBy(c(label)).count().limit(MAX_CLASSES + 1).collect()
+    _check_classes(label, found)
     return {r[0]: r["count"] for r in found}
 
 
@@ -148,26 +162,25 @@ def stratified_folds(
     folds one by one; a class gives each fold as many rows as it was dealt.
     """
     columns = [series.order, *series.tiebreak]
-    counts = _class_counts(df, label)
-    firsts = (
+    place = F.struct(*cols(columns))
+    classes = (
         df.where(c(label).isNotNull())
         .groupBy(c(label))
-        .agg(F.min_by(F.struct(*cols(columns)), F.struct(*cols(columns))).alias("f"))
-        .orderBy("f")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+        .orderBy("first")
+        .limit(MAX_CLASSES + 1)
         .collect()
     )
+    _check_classes(label, classes)
     fold = F.lit(None).cast("int")
     offset = 0
-    for value in (r[0] for r in firsts):
-        n = counts[value]
-        rows = df.where(c(label) == value)
+    for value, n, _ in classes:
         dealt = [len(range((i - offset) % folds, n, folds)) for i in range(folds)]
         offset += n
+        ends = {i: sum(dealt[: i + 1]) for i in range(folds - 1) if sum(dealt[: i + 1])}
         inside = F.lit(folds - 1)
-        for i in range(folds - 2, -1, -1):
-            upto = sum(dealt[: i + 1])
-            if upto:
-                cut = cut_point(rows, columns, upto, finish_rows)
-                inside = F.when(not_after(df, columns, cut), i).otherwise(inside)
+        cuts = cut_points(df.where(c(label) == value), columns, list(ends.values()), finish_rows) if ends else []
+        for i, cut in reversed(list(zip(ends, cuts))):
+            inside = F.when(not_after(df, columns, cut), i).otherwise(inside)
         fold = F.when(c(label) == value, inside).otherwise(fold)
     return df.withColumn(name, fold)

@@ -284,6 +284,7 @@ def train_mode_models(
     labels: LabelSpec,
     id_column: str,
     config: TrainConfig = MODE_TRAINING,
+    only: Sequence[str] | None = None,
 ) -> list[Trained]:
     """One diagnostic model per mode, on failure rows only, with a stratified random split."""
     rows.check_no_leakage(features, labels)
@@ -298,7 +299,7 @@ def train_mode_models(
                     mode, features, mode, series, labels, config,
                 )
             )
-            for mode in labels.modes
+            for mode in (labels.modes if only is None else only)
         ]
     finally:
         failures.unpersist()
