@@ -116,8 +116,8 @@ def grid_scores(
 
 
 def best_combination(scores: DataFrame) -> DataFrame:
-    """Highest score; the smallest sensitivities win ties."""
-    return scores.orderBy(F.desc("score"), "warning_sensitivity", "diagnosis_sensitivity").limit(1)
+    """Highest score; the smallest sensitivities win ties, whatever the summation order."""
+    return scores.orderBy(F.round("score", 9).desc(), "warning_sensitivity", "diagnosis_sensitivity").limit(1)
 
 
 def calibrated(config: AlertConfig, best: DataFrame) -> AlertConfig:

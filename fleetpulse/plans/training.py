@@ -16,8 +16,9 @@ keeps the estimator from discarding it as a zero-variance column.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
@@ -32,6 +33,7 @@ from ..functions.columns import c, cols, logspace
 from ..functions.linear import LinearModel
 from ..operators import evaluate, rows
 from ..operators.quantiles import robust_scale_stats
+from ..operators.series import settled
 from ..operators.split import TEST, TRAIN, chronological_split, stratified_folds, stratified_split
 from .grid_fit import FitTask, fit_grid, score_grid
 
@@ -263,15 +265,23 @@ def train_risk_model(
     """Risk model on all rows: the first part of the time axis trains, the rest tests."""
     rows.check_no_leakage(features, labels)
     used = dict.fromkeys([*series.keys, series.order, *series.tiebreak, *features, labels.target])
-    kept = rows.complete_cases(df.select(*cols(used)), list(features)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with stored(rows.complete_cases(df.select(*cols(used)), list(features))) as kept:
         ordered = chronological_split(kept, series, config.train_fraction)
-        return _settled(train_model(ordered, "risk", features, labels.target, series, labels, config))
+        return _with_report(train_model(ordered, "risk", features, labels.target, series, labels, config))
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The table kept for many passes: cached when small, else written to the checkpoint
+    folder, so that a lost executor does not bring back the feature windows."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield settled(cached) if cached.count() > SMALL_SET else cached
     finally:
-        kept.unpersist()
+        cached.unpersist()
 
 
-def _settled(trained: Trained) -> Trained:
+def _with_report(trained: Trained) -> Trained:
     """Evaluate the one-row report while its input is still cached."""
     row = trained.report.collect()
     return replace(trained, report=trained.report.sparkSession.createDataFrame(row, trained.report.schema))
@@ -290,19 +300,16 @@ def train_mode_models(
     rows.check_no_leakage(features, labels)
     used = dict.fromkeys([id_column, *series.keys, series.order, *series.tiebreak, *features, *labels.modes])
     failures = rows.complete_cases(rows.failures_only(df, labels.target).select(*cols(used)), list(features))
-    failures = failures.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with stored(failures) as kept:
         return [
-            _settled(
+            _with_report(
                 train_model(
-                    stratified_split(failures, mode, id_column, 1.0 - config.train_fraction, config.seed),
+                    stratified_split(kept, mode, id_column, 1.0 - config.train_fraction, config.seed),
                     mode, features, mode, series, labels, config,
                 )
             )
             for mode in (labels.modes if only is None else only)
         ]
-    finally:
-        failures.unpersist()
 
 
 def metrics_table(trained: Iterable[Trained], run_id: str) -> DataFrame:
