@@ -5,16 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # The published configuration of the alert system and its data set.
-AI4I_SENSORS = (
+MACHINE_SENSORS = (
     "Air temperature [K]",
     "Process temperature [K]",
     "Rotational speed [rpm]",
     "Torque [Nm]",
     "Tool wear [min]",
 )
-AI4I_TARGET = "Machine failure"
-AI4I_MODES = ("TWF", "HDF", "PWF", "OSF")
-AI4I_IGNORED = ("RNF", "UDI", "Product ID", "Type")
+MACHINE_TARGET = "Machine failure"
+MACHINE_MODES = ("TWF", "HDF", "PWF", "OSF")
+MACHINE_IGNORED = ("RNF", "UDI", "Product ID", "Type")
 FEATURE_SUFFIXES = ("_Rolling_Mean", "_Volatility", "_Delta", "_Rolling_Delta")
 HEALTHY, WARNING, CRITICAL = "HEALTHY", "WARNING", "CRITICAL"
 UNKNOWN_MODE = "RandomFailure"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,14 @@ def exact_quantiles(
                 at(i, F.ceil(h)).alias(f"__hi{i}_{j}"),
                 F.max(h - F.floor(h)).alias(f"__f{i}_{j}"),
             ]
-    found = placed.groupBy("column").agg(*picks)
+    wanted = [
+        (F.col(f"__c{i}") > h) & (F.col(f"__c{i}") - F.col(f"__n{i}") <= h)
+        for i in range(len(tags))
+        for q in probabilities
+        for h in (F.floor((F.col(f"__t{i}") - 1) * F.lit(float(q))), F.ceil((F.col(f"__t{i}") - 1) * F.lit(float(q))))
+    ]
+    # only the few rows that hold a wanted position reach the wide aggregation
+    found = placed.where(reduce(lambda a, b: a | b, wanted)).groupBy("column").agg(*picks)
 
     def value(i: int, j: int) -> Column:
         lo, hi, f = (F.col(f"__{k}{i}_{j}") for k in ("lo", "hi", "f"))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..config import AI4I_MODES, AI4I_SENSORS, AI4I_TARGET
+from ..config import MACHINE_MODES, MACHINE_SENSORS, MACHINE_TARGET
 from ..functions.columns import nan_to_null
 
 _INTEGER_SENSORS = ("Rotational speed [rpm]", "Tool wear [min]")
@@ -22,10 +22,10 @@ MACHINE_SCHEMA = T.StructType(
         T.StructField("Type", T.StringType()),
         *[
             T.StructField(n, T.IntegerType() if n in _INTEGER_SENSORS else T.DoubleType())
-            for n in AI4I_SENSORS
+            for n in MACHINE_SENSORS
         ],
-        T.StructField(AI4I_TARGET, T.IntegerType()),
-        *[T.StructField(n, T.IntegerType()) for n in (*AI4I_MODES, "RNF")],
+        T.StructField(MACHINE_TARGET, T.IntegerType()),
+        *[T.StructField(n, T.IntegerType()) for n in (*MACHINE_MODES, "RNF")],
     ]
 )
 

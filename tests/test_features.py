@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from fleetpulse.config import AI4I_SENSORS, LabelSpec, Series
+from fleetpulse.config import MACHINE_SENSORS, LabelSpec, Series
 from fleetpulse.functions.columns import c, linspace, logspace, nan_to_null
 from fleetpulse.operators import rows
 from fleetpulse.operators.features import TRAIN, feature_names, rolling_features
@@ -29,11 +29,11 @@ TORQUE = "Torque [Nm]"
 
 @pytest.fixture(scope="module")
 def replay(spark):
-    return inline_readings(spark, REPLAY, AI4I_SENSORS)
+    return inline_readings(spark, REPLAY, MACHINE_SENSORS)
 
 
 def test_serving_features_of_the_replay(replay):
-    out = rolling_features(replay, AI4I_SENSORS, Series((), "step")).orderBy("step").collect()
+    out = rolling_features(replay, MACHINE_SENSORS, Series((), "step")).orderBy("step").collect()
     assert len(out[0]) == 1 + 25
     torque = [[r[TORQUE + s] for s in ("_Rolling_Mean", "_Volatility", "_Delta", "_Rolling_Delta")] for r in out]
     assert torque[0] == [40.0, 0.0, 0.0, 0.0]
@@ -49,7 +49,7 @@ def test_training_features_need_full_windows(replay):
     assert [r[TORQUE + "_Rolling_Delta"] is None for r in out] == [True] * 5 + [False] * 5
     assert out[9][TORQUE + "_Volatility"] == pytest.approx(statistics.stdev(x[5:]))
     assert out[9][TORQUE + "_Rolling_Delta"] == pytest.approx((x[9] - x[4]) / 5)
-    complete = rows.complete_cases(rolling_features(replay, AI4I_SENSORS, Series((), "step"), preset=TRAIN))
+    complete = rows.complete_cases(rolling_features(replay, MACHINE_SENSORS, Series((), "step"), preset=TRAIN))
     assert complete.count() == 5
 
 
@@ -76,15 +76,15 @@ def test_one_exchange_and_one_sort(spark, sf):
 def test_sensor_discovery_and_leakage(spark):
     empty = spark.createDataFrame([], MACHINE_SCHEMA)
     labels = LabelSpec("Machine failure", ("TWF", "HDF", "PWF", "OSF"), ("RNF", "UDI", "Product ID", "Type"))
-    assert rows.discover_sensors(empty, labels) == list(AI4I_SENSORS)
-    built = rolling_features(empty, AI4I_SENSORS, Series((), "UDI"))
-    assert rows.discover_sensors(built, labels) == list(AI4I_SENSORS)
-    assert rows.feature_columns(built, labels) == feature_names(AI4I_SENSORS)
+    assert rows.discover_sensors(empty, labels) == list(MACHINE_SENSORS)
+    built = rolling_features(empty, MACHINE_SENSORS, Series((), "UDI"))
+    assert rows.discover_sensors(built, labels) == list(MACHINE_SENSORS)
+    assert rows.feature_columns(built, labels) == feature_names(MACHINE_SENSORS)
     # a raw sensor whose name merely contains a suffix stays a sensor
     named = empty.withColumn("Oil_Delta_P", F.lit(1.0))
     assert "Oil_Delta_P" in rows.discover_sensors(named, labels)
     with pytest.raises(rows.SchemaMismatch, match="HDF"):
-        rows.check_no_leakage([*AI4I_SENSORS, "HDF"], labels)
+        rows.check_no_leakage([*MACHINE_SENSORS, "HDF"], labels)
     with pytest.raises(rows.SchemaMismatch, match="not numeric"):
         rows.feature_columns(empty, LabelSpec("Machine failure"))
     with pytest.raises(rows.SchemaMismatch, match="missing features"):
