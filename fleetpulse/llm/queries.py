@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat
+from . import bpe, chat, mixing, sketch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,26 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.printed(F.col("sketch")).alias("fingerprint"),
+        sketch.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source"
+    )
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,6 +87,8 @@ FROM escaped GROUP BY conv_id
 
 QUERIES = {
     "op4_bpe": op4_bpe,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_mixing": op9_mixing,
     "op10_chat_formatting": op10_chat_formatting,
 }
 SQL = {"op10_chat_formatting": OP10_SQL}
