@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,10 @@ def learn_row(doc_id: Column, parts: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts != held_out, F.lit(False))
 
 
-# odd 64-bit multipliers of the rolling hashes
-_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+# odd multipliers of the rolling hashes over bytes and over words
+_BYTE_BASE = 0x9E3779B97F4A7C15
+WORD_BASE = 0xD6E8FEB86659FD93
+_SPAN = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -66,63 +70,129 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of an odd base modulo 2^64, longer on demand."""
 
-    def __init__(self, base: np.uint64):
-        self.base, self.up = base, np.ones(1, np.uint64)
+    def __init__(self, base: int):
+        self.base, self.up = np.uint64(base), np.ones(1, np.uint64)
 
     def __call__(self, n: int) -> np.ndarray:
         if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                steps = np.full(max(n, 1 << 16), self.base, np.uint64)
-                steps[0] = 1
-                self.up = np.multiply.accumulate(steps)
+            steps = np.full(max(n, 1 << 12), self.base, np.uint64)
+            steps[0] = 1
+            self.up = np.multiply.accumulate(steps)
         return self.up[:n]
 
 
 _byte_powers = Powers(_BYTE_BASE)
+_byte_inverses = Powers(pow(_BYTE_BASE, -1, 1 << 64))
+_word_powers = Powers(WORD_BASE)
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every word of a UTF-8 text."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = np.empty(len(raw) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[raw]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    outside = np.empty(len(raw) + 2, bool)
+    outside[0] = outside[-1] = True
+    np.take(_SPACE, raw, out=outside[1:-1])
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word; equal words have equal hashes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    length = ends - starts
-    with np.errstate(over="ignore"):
-        # Horner's rule along the bytes of all words at once; words over 24 bytes by their own sums
-        out = length.astype(np.uint64)
-        short = min(int(length.max()), 24)
-        at = np.arange(len(starts))
-        for i in range(short):
-            at = at[length[at] > i]
-            out[at] = out[at] * _BYTE_BASE + raw[starts[at] + i] + np.uint64(1)
-        for j in np.flatnonzero(length > 24):
-            tail = raw[starts[j] + 24 : ends[j]].astype(np.uint64)
-            out[j] = mixed(out[j : j + 1])[0] + mixed(np.sum(tail * _byte_powers(len(tail)), keepdims=True))[0]
-        return mixed(out)
-
-
-def window_hashes(words: np.ndarray, k: int, powers: Powers, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word; equal words have equal hashes.
+
+    Polynomial sums over the bytes come from running sums, a stretch of words at a time.
+    """
+    out = (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, side="right")))
+        part = raw[starts[i] : ends[j - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _byte_powers(len(part)), out=sums[1:])
+        at = starts[i:j] - starts[i]
+        out[i:j] += (sums[ends[i:j] - starts[i]] - sums[at]) * _byte_inverses(len(part))[at]
+        i = j
+    return mixed(out)
+
+
+def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of every `k` consecutive word hashes."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n, np.uint64)
-        power = powers(k)
-        for i in range(k):
-            total += words[i : i + n] * power[i]
-        return mixed(total + np.uint64(seed))
+    power = _word_powers(k)
+    seed = np.uint64(seed)
+    words = mixed(words ^ seed) if seed else words
+    total = words[:n].copy()
+    for i in range(1, k):
+        total += words[i : i + n] * power[i]
+    return mixed(total + seed)
 
 
 def as_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+class Bitmap:
+    """A fixed-size set of hashes that may hold more than was put in, never less.
+
+    Tasks use it to leave out rows that cannot matter before a shuffle; the exact test follows
+    the shuffle. However full it gets, only time is lost.
+    """
+
+    BITS = 25
+
+    @staticmethod
+    def of(hashes: Column | str, df: DataFrame) -> np.ndarray:
+        """Words of the bitmap over a column of 64-bit hashes: at most 2^(BITS - 6) rows reach the driver."""
+        at = F.col("__h").bitwiseAND(F.lit((1 << Bitmap.BITS) - 1))
+        rows = (
+            df.select(F.col(hashes).alias("__h") if isinstance(hashes, str) else hashes.alias("__h"))
+            .groupBy(F.shiftright(at, 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast((__h & 63) as int))")).alias("bits"))
+            .toArrow()
+        )
+        out = np.zeros(1 << (Bitmap.BITS - 6), np.uint64)
+        out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+        return out
+
+    @staticmethod
+    def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.astype(np.uint64, copy=False) & np.uint64((1 << Bitmap.BITS) - 1)
+        return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def long_array(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
+
+
+def texts_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, UTF-8 bytes) of every non-empty text of a batch, without copies."""
+    col = batch.column(column)
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offsets = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+    for i in range(len(col)):
+        if offsets[i + 1] > offsets[i] and (not col.null_count or col[i].is_valid):
+            yield i, data[offsets[i] : offsets[i + 1]]
+
+
+class Rows:
+    """Columns gathered piece by piece and given out as record batches of a bounded size."""
+
+    def __init__(self, names: Sequence[str], limit: int = 1 << 17):
+        self.names, self.limit, self.parts, self.count = list(names), limit, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.count += len(columns[0])
+
+    def full(self) -> bool:
+        return self.count >= self.limit
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            cols = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+            self.parts, self.count = [], 0
+            yield pa.record_batch([long_array(c) for c in cols], names=self.names)

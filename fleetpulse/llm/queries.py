@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, sketch
+from . import bpe, chat, mixing, sketch, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_file() -> str:
     return os.path.join(os.environ.get("FLEETPULSE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -86,6 +90,7 @@ FROM escaped GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_bpe": op4_bpe,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
