@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, sketch, substring
+from . import bpe, chat, jaccard, mixing, sketch, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -91,6 +95,7 @@ FROM escaped GROUP BY conv_id
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_bpe": op4_bpe,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
