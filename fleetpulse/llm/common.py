@@ -86,13 +86,13 @@ _byte_inverses = Powers(pow(_BYTE_BASE, -1, 1 << 64))
 _word_powers = Powers(WORD_BASE)
 
 
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of every word of a UTF-8 text."""
+def word_bounds(raw: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every word of a UTF-8 text; `between` marks the bytes that separate words."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     outside = np.empty(len(raw) + 2, bool)
     outside[0] = outside[-1] = True
-    np.take(_SPACE, raw, out=outside[1:-1])
+    np.take(between, raw, out=outside[1:-1])
     edges = np.flatnonzero(outside[1:] != outside[:-1])
     return edges[::2], edges[1::2]
 

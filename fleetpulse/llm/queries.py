@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, mixing, sketch, substring
+from . import bpe, chat, jaccard, langid, mixing, sketch, substring, toxicity
+from .common import learn_row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +28,33 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.train(docs, table(spark, sf_dir, "labels"), learn_row(F.col("doc_id"), 5, 0))
+    return toxicity.scored(docs, index, ["doc_id"]).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn_row(F.col("doc_id"), 4, 2))
+    return langid.predicted(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -96,7 +120,9 @@ FROM escaped GROUP BY conv_id
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_language_id": op5_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_chat_formatting": op10_chat_formatting,
