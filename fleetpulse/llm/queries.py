@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, mixing, sketch, substring, toxicity
+from . import ann, bpe, chat, jaccard, langid, mixing, sketch, substring, toxicity
 from .common import learn_row
 
 
@@ -55,6 +55,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -123,6 +127,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_chat_formatting": op10_chat_formatting,
