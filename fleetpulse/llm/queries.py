@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, langid, mixing, sketch, substring, toxicity
+from . import ann, bpe, chat, jaccard, langid, mixing, pii, sketch, substring, toxicity
 from .common import learn_row
 
 
@@ -55,6 +55,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.detected(docs, pii.train(docs), ["doc_id"])
+
+    def joined(spans: str) -> Column:
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string")))
+        return F.array_join(parts, ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -127,6 +143,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
