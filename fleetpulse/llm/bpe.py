@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # fragments kept by a task: at most so many, of at most so many bytes
 KEPT_FRAGMENTS, KEPT_BYTES = 400_000, 48
@@ -169,6 +170,24 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     )
 
 
+def tokens(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of every row with n_tokens, ids and whether the ids decode to the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            for part in _slices(batch):
+                texts = [t or "" for t in part.column(len(keep)).to_pylist()]
+                rows = [c.encode(t) for t in texts]
+                exact = [c.decode(r) == t for r, t in zip(rows, texts, strict=True)]
+                made = [pa.array([len(r) // 4 for r in rows], pa.int64()), _id_lists(rows), pa.array(exact, pa.bool_())]
+                yield pa.record_batch([*part.columns[: len(keep)], *made], names=[*keep, "n_tokens", "ids", "exact"])
+
+    fields = ", ".join(_typed(docs, k) for k in keep)
+    given = docs.select(*keep, F.col("text").alias("__text"))
+    return given.mapInArrow(run, f"{fields}, n_tokens long, ids array<int>, exact boolean")
+
+
 def _typed(df: DataFrame, key: str) -> str:
     return f"`{key}` {df.schema[key].dataType.simpleString()}"
 

@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Bitmap, Rows, as_bytes, mixed, settled, texts_of, window_hashes, word_bounds, word_hashes
 from .graph import components
@@ -256,7 +257,11 @@ def _tree_candidates(members: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(`key`, n_shingles, point, component_id) of every row; rows with the same `point` have the same set."""
+    """(`key`, n_shingles, point, component, component_id) of every row.
+
+    Rows with the same `point` have the same set, rows with the same `component` are connected
+    (both 0 for empty sets); component_id is the least id of the component.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     profile = settled(_profiles(docs), "profiles")
@@ -313,6 +318,42 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     full = rows.filter("n > 0").join(label, F.col("point") == F.col("node"), "left")
     full = full.select("id", "n", "point", F.coalesce("label", "point").alias("label"))
     least = full.groupBy("label").agg(F.min("id").alias("component_id"))
-    full = full.join(least, "label").select("id", "n", "point", "component_id")
-    empty = rows.filter("n = 0").select("id", "n", "point", F.col("id").alias("component_id"))
-    return full.unionByName(empty).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "point", "component_id")
+    full = full.join(least, "label").select("id", "n", "point", F.col("label").alias("component"), "component_id")
+    empty = rows.filter("n = 0").select("id", "n", "point", F.col("point").alias("component"), F.col("id").alias("component_id"))
+    return full.unionByName(empty).select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), "point", "component", "component_id"
+    )
+
+
+def _with_points(docs: DataFrame) -> DataFrame:
+    """`docs` with the set hash of each text as __point."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.zeros(batch.num_rows, np.uint64)
+            for i, raw in texts_of(batch, at):
+                points[i] = set_hash(shingle_set(raw))
+            yield pa.record_batch([*batch.columns, pa.array(points.view(np.int64))], names=[*batch.schema.names, "__point"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__point", T.LongType())]))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One whole row of `docs` for each component: the one with the least doc_id.
+
+    Rows without words all stay. Where ids repeat or are null, the set tells the rows apart, and of equal
+    ids in one component the least text stays.
+    """
+    rows = settled(linked(docs), "linked")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    single = rows.join(counts.filter("n = 1"), "doc_id").filter("doc_id = component_id").select("doc_id")
+    kept = docs.join(single, "doc_id", "left_semi").select(docs.columns)
+    again = counts.filter("n > 1 and doc_id is not null").select("doc_id")
+    others = _with_points(docs.join(again, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null")))
+    mine = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    mine = mine.select(F.col("doc_id").alias("__id"), F.col("point").alias("__same"), F.col("component").alias("__component")).distinct()
+    both = others.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__point") == F.col("__same")))
+    first = Window.partitionBy("__component").orderBy("text")
+    both = both.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1 or __point = 0")
+    return kept.unionByName(both.select(docs.columns))

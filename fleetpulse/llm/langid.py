@@ -124,11 +124,12 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> K
 def predicted(docs: DataFrame, model: KernelModel | None, keep: list[str]) -> DataFrame:
     """The columns `keep` of every row with lang_pred and score (share of the predicted language)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(*keep, F.col("text").alias("__text"))
+    given = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, grams, known in _gram_batches(batches, len(keep)):
+        for batch, grams, known in _gram_batches(batches, at):
             lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if model is not None:
                 shares = model.scores(grams).astype(float)

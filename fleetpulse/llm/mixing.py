@@ -195,3 +195,19 @@ def mix(
     sized = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = settled(source_targets(sized, weights, max_repeats), "targets")
     return copies(sized, targets, max_repeats, block)
+
+
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; rows that it does not take are left out."""
+    unit = F.xxhash64("source", "doc_id", "__size")
+    taken = mix(docs, weights, max_repeats, block).withColumnRenamed("size", "__size")
+    # rows of one unit are told apart by their place among its texts
+    per_unit = taken.groupBy(unit.alias("__unit")).agg(F.min("copies").alias("__each"), F.sum("copies").alias("__all"), F.count("*").alias("__rows"))
+    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__unit", unit)
+    place = Window.partitionBy("__unit").orderBy("text")
+    both = sized.withColumn("__nth", F.row_number().over(place)).join(per_unit, "__unit")
+    extra = (F.col("__nth") <= F.col("__all") - F.col("__each") * F.col("__rows")).cast("long")
+    times = F.col("__each") + extra
+    return both.filter(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__copy")).select(docs.columns)
