@@ -75,4 +75,4 @@ class TrainConfig:
     seed: int = 42
     tol: float = 1e-8
     parallelism: int = 8
-    solver: str = "joint"  # or "ml": one pyspark.ml fit per model
+    solver: str = "ml"  # one pyspark.ml fit per model; or "joint": all models advance in shared passes

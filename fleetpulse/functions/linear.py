@@ -26,9 +26,9 @@ class LinearModel:
     intercept: float
 
     def logit(self) -> Column:
-        # a missing input counts as 0, as everywhere at serving time
+        # a missing input, NULL or NaN, counts as 0, as everywhere at serving time
         terms = [
-            F.lit(b) * (F.coalesce(c(n).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
+            F.lit(b) * (F.coalesce(F.nanvl(c(n).cast("double"), F.lit(0.0)), F.lit(0.0)) - F.lit(m)) / F.lit(s)
             for n, b, m, s in zip(self.features, self.coefficients, self.centers, self.scales)
             if b != 0.0
         ]

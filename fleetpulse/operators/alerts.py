@@ -17,7 +17,8 @@ RISK, SMOOTH, STREAK, LEVEL, STEP = "risk", "smooth", "streak", "alert_level", "
 
 
 def smoothed(risk: Column, w: WindowSpec, config: AlertConfig) -> Column:
-    """Mean of the last few risks, as probabilities or in log-odds space."""
+    """Mean of the last few risks, as probabilities or in log-odds space; NaN risks are left out."""
+    risk = F.when(~F.isnan(risk), risk)
     frame = w.rowsBetween(-(config.smoothing_rows - 1), 0)
     if config.smoothing == "mean":
         return F.avg(risk).over(frame)

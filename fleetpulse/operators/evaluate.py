@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Series
 from ..functions.columns import c, cols, ratio
+from .quantiles import present
 from .series import drop_slices, join_small, may_be_hot, running_sums, settled
 
 
@@ -28,10 +29,15 @@ def _group_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFr
     return df.join(right, condition).drop(*[f"__g{i}" for i in range(len(by))])
 
 
+def _scored(df: DataFrame, label: str, score: str) -> Column:
+    """Rows with a label and a score that is a number."""
+    return c(label).isNotNull() & present(df, score).isNotNull()
+
+
 def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score."""
     return (
-        df.where(c(label).isNotNull() & c(score).isNotNull())
+        df.where(_scored(df, label, score))
         .groupBy(*cols(by), c(score).cast("double").alias("threshold"))
         .agg(F.count_if(c(label) == 1).alias("pos"), F.count_if(c(label) == 0).alias("neg"))
     )
@@ -183,7 +189,7 @@ def rates(counts: DataFrame) -> DataFrame:
 
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[float]) -> DataFrame:
     """Confusion counts and rates at given thresholds: one scan, no join, no shuffle of rows."""
-    kept = df.where(c(label).isNotNull() & c(score).isNotNull())
+    kept = df.where(_scored(df, label, score))
     one = kept.agg(
         F.count_if(c(label) == 1).alias("__p"),
         F.count_if(c(label) == 0).alias("__n"),
@@ -228,15 +234,15 @@ def cheapest_threshold(points: DataFrame, miss_cost: float, alarm_cost: float, b
 
 
 def score_density(
-    df: DataFrame, label: str, score: str, points: int = 200, cut: float = 3.0, bins: int | None = None
+    df: DataFrame, label: str, score: str, points: int = 200, cut: float = 3.0, bins: int | None = 1000
 ) -> DataFrame:
     """Gaussian kernel density of the score per class (0 and 1) on an even grid.
 
     Equal scores are counted first. `bins` snaps scores to that many cells per class,
-    which bounds the work to bins * points on top of the counting pass; without it the
-    density is exact.
+    which bounds the work to bins * points on top of the counting pass; with None the
+    density is exact, at distinct scores * points.
     """
-    kept = df.where(c(label).isin(0, 1) & c(score).isNotNull()).select(
+    kept = df.where(c(label).isin(0, 1) & _scored(df, label, score)).select(
         c(label).cast("long").alias("class"), c(score).cast("double").alias("x")
     )
     stats = kept.groupBy("class").agg(

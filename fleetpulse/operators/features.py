@@ -38,8 +38,11 @@ def add_features(df: DataFrame, w: WindowSpec, sensors: Sequence[str], window: i
     steps = {s: f"__delta{i}" for i, s in enumerate(sensors)}
 
     def values(s: str) -> Column:
-        # a cast would be shuffled as a second copy of the column
-        return c(s) if isinstance(df.schema[s].dataType, T.DoubleType) else c(s).cast("double")
+        """The reading as a double; NaN is a missing reading, like NULL."""
+        kind = df.schema[s].dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(c(s)), c(s).cast("double"))
+        return c(s).cast("double")
 
     stepped = df.select("*", *[(values(s) - F.lag(values(s), 1).over(w)).alias(d) for s, d in steps.items()])
 

@@ -22,12 +22,14 @@ and adds at most 4 * MAX_HOT slices, whatever the table size.
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +39,6 @@ from ..functions.columns import c, cols
 SLICE, HOT, HALO = "__slice", "__hot", "__halo"
 MAX_HOT = 50_000
 OVERSPLIT = 2
-MAX_LEVELS = 6
 
 
 def axis(df: DataFrame, name: str) -> Column:
@@ -54,7 +55,12 @@ def axis(df: DataFrame, name: str) -> Column:
         # as the distance from a fixed point, so the session time zone plays no part
         since = col - F.lit("1970-01-01").cast("timestamp_ntz")
         return since.cast("interval second").cast("decimal(20,6)").cast("double")
-    raise ValueError(f"order column {name!r} has type {dtype.simpleString()}; use a number, date or time")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        # the first bytes; texts sort by their bytes
+        return F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(dtype, T.BooleanType):
+        return col.cast("int").cast("double")
+    raise ValueError(f"order column {name!r} has type {dtype.simpleString()}; use a number, text, date or time")
 
 
 def partition_columns(df: DataFrame, series: Series) -> list[str]:
@@ -103,15 +109,21 @@ def may_be_hot(df: DataFrame, series: Series) -> bool:
 def settled(df: DataFrame) -> DataFrame:
     """The table written once to the shared checkpoint folder, so that several passes
     over it do not repeat what computed it and lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        # unset only in local runs; a cluster names a shared folder
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetpulse-")
-        )
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share. Only local runs get one of their own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetpulse-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def slice_series(df: DataFrame, series: Series) -> DataFrame:
     """Add SLICE (place of the slice in its series) and HOT, if any series is hot.
 
@@ -129,18 +141,20 @@ def slice_series(df: DataFrame, series: Series) -> DataFrame:
         return df
     out = df.withColumn(SLICE, F.lit(0).cast("long")).withColumn(HOT, F.lit(False))
     slices = 1
-    for level in range(MAX_LEVELS):
+    for level in itertools.count():
         keys = [*series.keys, *([SLICE] if level else [])]
         sizes = (out.where(F.col(HOT)) if level else out).groupBy(*cols(keys)).agg(
             F.count(F.lit(1)).cast("double").alias("__n"),
             F.count(x).alias("__given"),
             F.count(_finite(x)).alias("__finite"),
+            (F.min(c(series.order)) == F.max(c(series.order))).alias("__one"),
             *[f(_finite(a)).alias(n) for f, a, n in (
                 (F.min, x, "__lo"), (F.max, x, "__hi"), (F.min, y, "__lo2"), (F.max, y, "__hi2"))],
         )
         mixed = (F.col("__finite") > 0) & (F.col("__finite") < F.col("__n"))
         by_order = F.coalesce(F.col("__hi") > F.col("__lo"), F.lit(False)) | mixed
-        equal_order = (F.col("__finite") == F.col("__n")) | (F.col("__given") == 0)
+        # equal on the axis is not enough: texts and large integers may still differ
+        equal_order = ((F.col("__finite") == F.col("__n")) & F.col("__one")) | (F.col("__given") == 0)
         by_tie = ~by_order & equal_order & F.coalesce(F.col("__hi2") > F.col("__lo2"), F.lit(False))
         full = sizes.where((F.col("__n") > limit) & (by_order | by_tie)).select(
             *cols(keys),

@@ -13,62 +13,77 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Series
 from ..functions.columns import c, cols
-from .series import axis
+from .series import axis, drop_slices, row_index
 
 CELLS = 4096
 FINISH_ROWS = 100_000
-MAX_CLASSES = 1_000
 TRAIN, TEST = "train", "test"
 
 
+def _place(df: DataFrame, name: str, lo) -> Column:
+    """A double that grows with the column, measured from its least value `lo`, so that a narrow range is told apart exactly."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return (c(name).cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")).cast("double")
+    return axis(df, name)
+
+
 def cut_point(df: DataFrame, columns: Sequence[str], rank: int, finish_rows: int = FINISH_ROWS) -> tuple:
     """Values of `columns` in the row at 1-based `rank` of the table sorted by them.
 
-    NULLs sort first. At most CELLS counts or one final row reach the driver.
+    Any sortable type; NULLs sort first, NaN last. Ranges are halved where values share their
+    place on the axis (long common beginnings of texts). At most CELLS counts or one final row
+    reach the driver.
     """
     rest = df.select(*cols(columns))
     values: list = []
     for name in columns:
-        x = axis(rest, name)
+        kind = df.schema[name].dataType
+        floating = isinstance(kind, (T.DoubleType, T.FloatType))
         while True:
+            x = c(name)
             n, given, lo, hi = rest.agg(F.count(F.lit(1)), F.count(x), F.min(x), F.max(x)).first()
             if n <= finish_rows:
-                return tuple(values) + _finish(rest, columns[len(values):], rank)
+                return tuple(values) + _finish(rest, columns[len(values) :], rank)
             if rank <= n - given:
-                rest = rest.where(c(name).isNull())
+                rest = rest.where(x.isNull())
                 values.append(None)
                 break
             if given < n:
                 rank -= n - given
-                rest = rest.where(c(name).isNotNull())
+                rest = rest.where(x.isNotNull())
                 continue
-            if not (math.isfinite(lo) and math.isfinite(hi)):
-                raise ValueError(f"order column {name!r} holds NaN or infinite values")
-            if lo == hi:
-                values.append(rest.select(c(name)).first()[0])
+            if lo == hi or (floating and math.isnan(lo)):
+                values.append(lo)
                 break
-            share = (x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(CELLS))
-            cell = F.least(F.floor(share), F.lit(CELLS - 1))
-            seen = 0
-            for at, count in sorted(map(tuple, rest.groupBy(cell.alias("cell")).count().collect())):
-                if seen + count >= rank:
-                    rank -= seen
-                    rest = rest.where(cell == at)
-                    break
-                seen += count
+            if floating and not (math.isfinite(lo) and math.isfinite(hi)):
+                # -inf, numbers, +inf and NaN are ranges of their own, in this order
+                groups = F.when(F.isnan(x), 3).when(x == float("inf"), 2).when(x == float("-inf"), 0).otherwise(1)
+                rank, rest = _narrowed(rest, groups, rank)
+                continue
+            at = _place(rest, name, lo)
+            low, high = rest.agg(F.min(at), F.max(at)).first()
+            if low == high:
+                # equal on the axis, not in fact: split at a value of the column itself
+                middle = rest.where(x < F.lit(hi).cast(kind)).agg(F.max(x)).first()[0]
+                rank, rest = _narrowed(rest, F.when(x <= F.lit(middle).cast(kind), 0).otherwise(1), rank)
+                continue
+            share = (at - F.lit(low)) / F.lit(high - low) * F.lit(float(CELLS))
+            rank, rest = _narrowed(rest, F.least(F.floor(share), F.lit(CELLS - 1)), rank)
     return tuple(values)
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], ranks: Sequence[int], finish_rows: int = FINISH_ROWS) -> list[tuple]:
-    """Several cut points; small tables are ranked once for all of them."""
-    if df.count() > finish_rows:
-        return [cut_point(df, columns, r, finish_rows) for r in ranks]
-    ranked = df.select(*cols(columns), F.row_number().over(Window.orderBy(*cols(columns))).alias("__rank"))
-    found = {r["__rank"]: tuple(r)[:-1] for r in ranked.where(F.col("__rank").isin(list(ranks))).collect()}
-    return [found[r] for r in ranks]
+def _narrowed(rest: DataFrame, cell: Column, rank: int) -> tuple[int, DataFrame]:
+    """The cell that holds the row at `rank`, and the rank in it."""
+    for at, count in sorted(map(tuple, rest.groupBy(cell.alias("cell")).count().collect())):
+        if rank <= count:
+            return rank, rest.where(cell == at)
+        rank -= count
+    raise ValueError("rank beyond the table")
 
 
 def _finish(rest: DataFrame, columns: Sequence[str], rank: int) -> tuple:
@@ -109,26 +124,14 @@ def spread_key(id_column: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def _check_classes(label: str, found: list) -> None:
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
+def _placed(df: DataFrame, label: str, order: str, tiebreak: Sequence[str], hot_rows: int | None) -> DataFrame:
+    """Add __place, the 1-based position of a row in its class. Large classes are cut into slices."""
+    return drop_slices(row_index(df, Series((label,), order, tuple(tiebreak), hot_rows), "__place"))
 
 
-def _class_counts(df: DataFrame, label: str) -> dict:
-    found = df.where(c(label).isNotNull()).groupBy(c(label)).count().limit(MAX_CLASSES + 1).collect()
-    _check_classes(label, found)
-    return {r[0]: r["count"] for r in found}
-
-
-def _shares(counts: dict, draws: int) -> dict:
-    """`draws` shared out in proportion, rounding by largest remainder."""
-    total = sum(counts.values())
-    exact = {k: n * draws / total for k, n in counts.items()}
-    given = {k: math.floor(v) for k, v in exact.items()}
-    by_remainder = sorted(exact, key=lambda k: (given[k] - exact[k], k))
-    for k in by_remainder[: draws - sum(given.values())]:
-        given[k] += 1
-    return given
+def _of_class(df: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """Join one row per class (__class, ...); rows without a label keep NULLs."""
+    return df.join(classes, c(label) == F.col("__class"), "left")
 
 
 def stratified_split(
@@ -138,49 +141,49 @@ def stratified_split(
     test_fraction: float = 0.2,
     seed: int = 42,
     name: str = "split",
-    finish_rows: int = FINISH_ROWS,
+    hot_rows: int | None = 1_000_000,
 ) -> DataFrame:
-    """Random split with exact per-class counts: per class, the rows of lowest hash train."""
-    counts = _class_counts(df, label)
-    total = sum(counts.values())
-    train = _shares(counts, total - math.ceil(test_fraction * total)) if total else {}
-    keyed = df.withColumn("__h", spread_key(id_column, seed))
-    side = F.lit(TEST)
-    for value, n in train.items():
-        if n:
-            cut = cut_point(keyed.where(c(label) == value), ["__h", id_column], n, finish_rows)
-            side = F.when((c(label) == value) & not_after(keyed, ["__h", id_column], cut), TRAIN).otherwise(side)
-    return keyed.withColumn(name, side).drop("__h")
+    """Random split with exact per-class counts: per class, the rows of lowest hash train.
+
+    Training rows are shared out to the classes in proportion, by largest remainder. Rows
+    without a label get no split.
+    """
+    sizes = df.where(c(label).isNotNull()).groupBy(c(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    # windows over one row per class
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("__n").over(whole)
+    draws = total - F.ceil(F.lit(test_fraction) * total)
+    exact = F.col("__n") * draws / total
+    shares = sizes.select("*", draws.alias("__draws"), exact.alias("__exact"), F.floor(exact).alias("__floor"))
+    by_remainder = Window.orderBy((F.col("__floor") - F.col("__exact")).asc(), "__class")
+    more = F.row_number().over(by_remainder) <= F.col("__draws") - F.sum("__floor").over(whole)
+    train = shares.select("__class", (F.col("__floor") + more.cast("long")).alias("__train"))
+    placed = _placed(df.withColumn("__h", spread_key(id_column, seed)), label, "__h", [id_column], hot_rows)
+    side = F.when(F.col("__place") <= F.col("__train"), TRAIN).when(F.col("__train").isNotNull(), TEST)
+    return _of_class(placed, train, label).select(*cols(df.columns), side.alias(name))
 
 
 def stratified_folds(
-    df: DataFrame, label: str, series: Series, folds: int = 3, name: str = "fold", finish_rows: int = FINISH_ROWS
+    df: DataFrame, label: str, series: Series, folds: int = 3, name: str = "fold", hot_rows: int | None = 1_000_000
 ) -> DataFrame:
     """Unshuffled stratified folds: per class, consecutive blocks in time order.
 
     Classes are laid end to end in order of first appearance and dealt out to the
-    folds one by one; a class gives each fold as many rows as it was dealt.
+    folds one by one; a class gives each fold as many rows as it was dealt. Rows without a
+    label get no fold.
     """
     columns = [series.order, *series.tiebreak]
-    place = F.struct(*cols(columns))
     classes = (
         df.where(c(label).isNotNull())
-        .groupBy(c(label))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-        .orderBy("first")
-        .limit(MAX_CLASSES + 1)
-        .collect()
+        .groupBy(c(label).alias("__class"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*cols(columns))).alias("__first"))
     )
-    _check_classes(label, classes)
-    fold = F.lit(None).cast("int")
-    offset = 0
-    for value, n, _ in classes:
-        dealt = [len(range((i - offset) % folds, n, folds)) for i in range(folds)]
-        offset += n
-        ends = {i: sum(dealt[: i + 1]) for i in range(folds - 1) if sum(dealt[: i + 1])}
-        inside = F.lit(folds - 1)
-        cuts = cut_points(df.where(c(label) == value), columns, list(ends.values()), finish_rows) if ends else []
-        for i, cut in reversed(list(zip(ends, cuts))):
-            inside = F.when(not_after(df, columns, cut), i).otherwise(inside)
-        fold = F.when(c(label) == value, inside).otherwise(fold)
-    return df.withColumn(name, fold)
+    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("__n").over(before), F.lit(0))
+    classes = classes.select("__class", "__n", offset.alias("__offset"))
+    placed = _of_class(_placed(df, label, series.order, series.tiebreak, hot_rows), classes, label)
+    # fold i was dealt every folds-th place from (i - offset) mod folds on
+    dealt = [F.ceil((F.col("__n") - F.pmod(F.lit(i) - F.col("__offset"), F.lit(folds))) / folds) for i in range(folds)]
+    ends = [sum(dealt[1 : i + 1], dealt[0]) for i in range(folds - 1)]
+    fold = sum(((F.col("__place") > end).cast("int") for end in ends), F.lit(0))
+    return placed.select(*cols(df.columns), F.when(F.col("__n").isNotNull(), fold).alias(name))

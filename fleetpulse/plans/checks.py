@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import LabelSpec, Series
 from ..functions.columns import c, cols, rounded
+from ..functions.linear import coefficient_table, models_from_table
 from ..operators import alerts, calibrate, evaluate, profile, quantiles, rows, split
 from ..operators.features import SERVE, TRAIN, feature_names, rolling_features
 from ..operators.series import decided, drop_slices, row_index
@@ -428,6 +429,25 @@ def _(spark, sf_dir):
     return alerts.prediction_listing(timeline(spark, sf_dir), EVENT_SERIES).withColumn("risk_prob", c("risk_prob") + 0.0)
 
 
+def missing_sql(sql: str) -> str:
+    """The same result where every 17th reading is missing; a missing model input counts as 0."""
+    gap = "event_type, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value,"
+    return sql.replace("event_type, value,", gap).replace('("value" -', '(coalesce("value", 0) -')
+
+
+def with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose every 17th reading is NaN."""
+    value = F.when(F.col("event_id") % 17 == 0, float("nan")).otherwise(F.col("value"))
+    return events(spark, sf_dir).withColumn("value", value)
+
+
+@query("alert_timeline_missing", missing_sql(SQL["alert_timeline"]))
+def _(spark, sf_dir):
+    return flat(
+        alerts.alert_timeline(with_missing(spark, sf_dir), EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, CONFIG)
+    )
+
+
 # ---- curves --------------------------------------------------------------------
 
 ROC = """cn AS (SELECT risk AS threshold, count(*) FILTER (failure = 1) AS pos, count(*) FILTER (failure = 0) AS neg
@@ -512,7 +532,11 @@ REPORT = """SELECT {auc} AS roc_auc, {ap} AS average_precision,
     ),
 )
 def _(spark, sf_dir):
-    df = evaluate.operating_report(points(spark, sf_dir), 0.765)
+    return shown_report(points(spark, sf_dir))
+
+
+def shown_report(curve: DataFrame) -> DataFrame:
+    df = evaluate.operating_report(curve, 0.765)
     return df.select(
         *[rounded(c(n), 6).alias(n) for n in ("roc_auc", "average_precision")],
         "threshold", "tp", "fp", "fn", "tn",
@@ -520,6 +544,34 @@ def _(spark, sf_dir):
     )
 
 
+@query("run_metrics_missing", missing_sql(SQL["run_metrics"]))
+def _(spark, sf_dir):
+    df = rolling_features(with_missing(spark, sf_dir), EVENT_SENSORS, EVENT_SERIES)
+    df = df.select("failure", F.round(RISK_MODEL.probability(), 6).alias("risk"))
+    # scores that are no numbers take no part
+    odd = df.limit(3).select("failure", F.lit(float("nan")).alias("risk"))
+    return shown_report(evaluate.curve(df.unionByName(odd), "failure", "risk"))
+
+
+@query("stored_model_risk", f"WITH {SCORED} SELECT event_id, risk FROM sc")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "model")
+    coefficient_table(spark, [RISK_MODEL, *MODE_MODELS]).write.parquet(path)
+    stored = {m.name: m for m in models_from_table(spark.read.parquet(path))}[RISK_MODEL.name]
+    return served(spark, sf_dir).select("event_id", F.round(stored.probability(), 6).alias("risk"))
+
+
+@query(
+    "discovered_sensor_counts",
+    f"WITH {q.LINES} " + _union([f"SELECT '{n}' AS sensor, count({n}) AS given FROM li" for n in LINE_SENSORS]),
+)
+def _(spark, sf_dir):
+    df = lineitem(spark, sf_dir)
+    found = rows.discover_sensors(df, LabelSpec("returned", ("closed", "discounted")), LINE_KEYS)
+    one = df.agg(*[F.count(c(n)).alias(n) for n in found])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("sensor"), c(n).alias("given")) for n in found])))
+
+
 CONFUSION = f"""WITH {SCORED}, cf AS (SELECT count(*) FILTER (failure = 0 AND risk < 0.416::DOUBLE) AS tn,
   count(*) FILTER (failure = 0 AND risk >= 0.416::DOUBLE) AS fp, count(*) FILTER (failure = 1 AND risk < 0.416::DOUBLE) AS fn,
   count(*) FILTER (failure = 1 AND risk >= 0.416::DOUBLE) AS tp FROM sc) """
@@ -613,7 +665,7 @@ def _density_sql(binned: str | None) -> str:
 
 @query("score_density", _density_sql(None))
 def _(spark, sf_dir):
-    return shown(evaluate.score_density(scored(spark, sf_dir), "failure", "risk"), ["class", "point"], ["x", "density"])
+    return shown(evaluate.score_density(scored(spark, sf_dir), "failure", "risk", bins=None), ["class", "point"], ["x", "density"])
 
 
 @query(
@@ -828,8 +880,9 @@ def _(spark, sf_dir):
 @query("stream_timeline", SQL["alert_timeline"])
 def _(spark, sf_dir):
     monitor.use_rocksdb(spark)
-    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet")
-    df = raw.parquet(sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    # a pattern, so that the table may be one file or a folder of files
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    df = raw.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     stream = monitor.alert_stream(df, EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, CONFIG)
     path = scratch_path(spark, "stream")
     monitor.write_stream(stream, f"{path}/out", f"{path}/checkpoint", drain=True).awaitTermination()

@@ -78,12 +78,11 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "part": [0], "sums": [total]})
 
 
-def _evaluate(data: DataFrame, tasks, betas, slots, few_partitions: bool):
+def _evaluate(data: DataFrame, tasks, betas, slots):
     """loss, gradient and Hessian of every listed model at `betas`, in one pass."""
     partial = data.mapInPandas(_partial_sums(tasks, betas, slots), SUM_SCHEMA)
-    if not few_partitions:
-        partial = partial.groupBy("slot", "part").applyInPandas(_add, SUM_SCHEMA)
-        partial = partial.groupBy("slot").applyInPandas(_add, SUM_SCHEMA)
+    partial = partial.groupBy("slot", "part").applyInPandas(_add, SUM_SCHEMA)
+    partial = partial.groupBy("slot").applyInPandas(_add, SUM_SCHEMA)
     p = betas.shape[1]
     upper = np.triu_indices(p)
     loss, gradient, hessian = np.zeros(len(tasks)), np.zeros((len(tasks), p)), np.zeros((len(tasks), p, p))
@@ -124,9 +123,8 @@ def fit_grid(
     tasks: Sequence[FitTask],
     max_iter: int = 100,
     tol: float = 1e-8,
-    few_partitions: bool = False,
-) -> np.ndarray:
-    """Coefficients (models x features, intercept last) of all tasks."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (models x features, intercept last) of all tasks, and which of them converged."""
     prepared = data.select(
         *[col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
         col(label).cast("double").alias("y"),
@@ -139,12 +137,12 @@ def fit_grid(
     best = np.full(m, np.inf)
     step, drop, direction = np.ones(m), np.zeros(m), np.zeros((m, p))
     gradient, hessian = np.zeros((m, p)), np.zeros((m, p, p))
-    active = np.ones(m, bool)
+    active, finished = np.ones(m, bool), np.zeros(m, bool)
     for _ in range(max_iter):
         slots = np.flatnonzero(active)
         if not len(slots):
             break
-        loss, g, h = _evaluate(prepared, tasks, trial, [int(s) for s in slots], few_partitions)
+        loss, g, h = _evaluate(prepared, tasks, trial, [int(s) for s in slots])
         value = np.abs(trial).sum(axis=1) + c_values * loss
         # sufficient decrease, with room for rounding in sums over many rows
         slack = 1e-12 * np.where(np.isfinite(best), np.abs(best), 0.0)
@@ -152,7 +150,7 @@ def fit_grid(
         gained = best[good] - value[good]
         b[good], best[good], gradient[good], hessian[good] = trial[good], value[good], g[good], h[good]
         done = np.flatnonzero(good)[gained <= tol * np.maximum(1.0, value[good])]
-        active[done] = False
+        active[done], finished[done] = False, True
         fresh = np.flatnonzero(good & active)
         if len(fresh):
             direction[fresh] = _newton_steps(b[fresh], gradient[fresh], hessian[fresh], c_values[fresh])
@@ -162,12 +160,13 @@ def fit_grid(
                 - np.abs(b[fresh]).sum(axis=1)
             )
             step[fresh] = 1.0
-            active[fresh[-drop[fresh] <= tol * np.maximum(1.0, best[fresh])]] = False
+            ended = fresh[-drop[fresh] <= tol * np.maximum(1.0, best[fresh])]
+            active[ended], finished[ended] = False, True
         retry = active & ~good
         step[retry] *= 0.5
-        active[retry & (step < 1e-8)] = False
+        active[retry & (step < 1e-8)] = False  # no step gains anything: not converged
         trial = b + step[:, None] * direction
-    return b
+    return b, finished
 
 
 def score_grid(

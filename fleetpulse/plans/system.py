@@ -56,6 +56,7 @@ def load_system(
     spark = readings.sparkSession
     features = feature_names(sensors)
     table = rolling_features(readings, sensors, series, preset=preset)
+    made = (preset, series.keys, series.order, series.tiebreak)
     # training orders rows by time over all machines
     everything = replace(series, keys=(), tiebreak=tuple(dict.fromkeys((*series.tiebreak, id_column))))
 
@@ -65,8 +66,8 @@ def load_system(
     def train_mode(name: str):
         return train_mode_models(table, features, everything, labels, id_column, mode_training, only=[name])[0]
 
-    risk = load_or_train(spark, path, ["risk"], features, risk_training, train_risk)
-    modes = load_or_train(spark, path, labels.modes, features, mode_training, train_mode)
+    risk = load_or_train(spark, path, ["risk"], features, risk_training, train_risk, made)
+    modes = load_or_train(spark, path, labels.modes, features, mode_training, train_mode, made)
     return MonitoringSystem(
         tuple(sensors), series, risk["risk"], tuple(modes[m] for m in labels.modes), config, preset
     )

@@ -3,8 +3,10 @@
 Each model is an L1 logistic regression on robust-scaled features with balanced class
 weights; C is searched exhaustively by stratified cross-validation on ROC-AUC. Scaler
 and weights belong to the searched model, so they are fitted per fold, all from shared
-passes. The models are fitted together (`solver="joint"`, see grid_fit), or one by one
-with the pyspark.ml estimator from a few driver threads (`solver="ml"`).
+passes. The models are fitted one by one with the pyspark.ml estimator from a few driver
+threads (`solver="ml"`), or together (`solver="joint"`, see grid_fit); what the joint solver
+has not finished within `max_iter` passes is fitted by the estimator. A model that reaches
+`max_iter` there too is reported as not converged.
 
 The penalised objective is sum(w * logloss) * C + |b|_1 with the intercept penalised
 too. The pyspark.ml estimator minimises mean logloss + regParam * |b|_1, which is the
@@ -42,9 +44,6 @@ RISK_TRAINING = TrainConfig(grid=tuple(logspace(-5, 7, 50)), max_iter=3000, targ
 MODE_TRAINING = TrainConfig(grid=tuple(logspace(-2, 2, 20)), max_iter=5000, target_recall=0.50)
 # End of fixed values.
 
-ROWS_PER_TASK = 100_000
-SMALL_SET = 10_000_000
-MAX_PASSES = 100
 FULL = "full"
 BIAS = "__bias"
 
@@ -63,7 +62,7 @@ class SetStats:
 class Trained:
     model: LinearModel
     best_c: float
-    search: DataFrame  # (c, mean_auc)
+    search: DataFrame  # (c, mean_auc, converged: in every fold)
     report: DataFrame  # one row of metrics on the evaluation split
     pipeline: PipelineModel
 
@@ -130,11 +129,6 @@ def _estimator_input(
     return VectorAssembler(inputCols=names, outputCol="features").transform(df).select("features", "label", "weight")
 
 
-def _compact(data: DataFrame, n: int) -> DataFrame:
-    """Fewer, fuller partitions for small sets: every iteration pays for each task."""
-    return data.coalesce(max(1, n // ROWS_PER_TASK)) if n < SMALL_SET else data
-
-
 def fit_logistic(data: DataFrame, c_value: float, n: int, config: TrainConfig) -> LogisticRegressionModel:
     """Balanced weights sum to n, so regParam = 1 / (C * n)."""
     return LogisticRegression(
@@ -155,10 +149,15 @@ def to_linear_model(
     return LinearModel(name, tuple(features), tuple(b), stats.centers, stats.scales, intercept)
 
 
+def converged(fitted: LogisticRegressionModel, config: TrainConfig) -> bool:
+    """Whether the optimizer stopped by itself."""
+    return fitted.summary.totalIterations < config.max_iter
+
+
 def pipeline_model(model: LinearModel) -> PipelineModel:
     """The model as a standard pipeline that adds `probability`, for use without this package."""
     terms = [repr(model.intercept)] + [
-        f"CAST({b!r} AS DOUBLE) * (coalesce(CAST(`{n.replace('`', '``')}` AS DOUBLE), 0.0D) - CAST({m!r} AS DOUBLE))"
+        f"CAST({b!r} AS DOUBLE) * (coalesce(nanvl(CAST(`{n.replace('`', '``')}` AS DOUBLE), 0.0D), 0.0D) - CAST({m!r} AS DOUBLE))"
         f" / CAST({s!r} AS DOUBLE)"
         for n, b, m, s in zip(model.features, model.coefficients, model.centers, model.scales)
         if b != 0.0
@@ -177,33 +176,33 @@ def fit_all(
     fold: str,
     stats: dict[str, SetStats],
     config: TrainConfig,
-) -> dict[tuple[str, float], LinearModel]:
-    """Every (training set, C) model, the refit on all rows included."""
+) -> dict[tuple[str, float], tuple[LinearModel, bool]]:
+    """Every (training set, C) model and whether it converged, the refit on all rows included."""
     sets = {FULL: None, **{f"fold{k}": k for k in range(config.folds)}}
     wanted = [(s, v) for s in sets for v in config.grid]
+    models = {}
     if config.solver == "joint":
         tasks = [
             FitTask(sets[s], stats[s].centers, stats[s].scales, stats[s].weights, float(v)) for s, v in wanted
         ]
-        n = stats[FULL].rows
-        found = fit_grid(
-            _compact(df, n), features, label, fold, tasks, min(config.max_iter, MAX_PASSES), config.tol,
-            few_partitions=n < SMALL_SET,
-        )
-        return {
-            (s, v): LinearModel(f"{s}/{v}", tuple(features), tuple(map(float, b[:-1])), stats[s].centers,
-                                stats[s].scales, float(b[-1]))
-            for (s, v), b in zip(wanted, found)
+        found, done = fit_grid(df, features, label, fold, tasks, config.max_iter, config.tol)
+        models = {
+            (s, v): (LinearModel(f"{s}/{v}", tuple(features), tuple(map(float, b[:-1])), stats[s].centers,
+                                 stats[s].scales, float(b[-1])), True)
+            for (s, v), b, ok in zip(wanted, found, done)
+            if ok
         }
-    models = {}
     with ThreadPoolExecutor(config.parallelism) as pool:
         for s, k in sets.items():
+            left = [v for v in config.grid if (s, v) not in models]
+            if not left:
+                continue
             rows_in = df if k is None else df.where(c(fold) != k)
             data = _estimator_input(rows_in, features, label, stats[s])
-            data = _compact(data, stats[s].rows).persist(StorageLevel.MEMORY_AND_DISK)
-            fitted = pool.map(lambda v: fit_logistic(data, v, stats[s].rows, config), config.grid)
-            for v, m in zip(config.grid, fitted):
-                models[s, v] = to_linear_model(f"{s}/{v}", features, stats[s], m)
+            data = data.persist(StorageLevel.MEMORY_AND_DISK)
+            fitted = pool.map(lambda v: fit_logistic(data, v, stats[s].rows, config), left)
+            for v, m in zip(left, fitted):
+                models[s, v] = to_linear_model(f"{s}/{v}", features, stats[s], m), converged(m, config)
             data.unpersist()
     return models
 
@@ -248,35 +247,42 @@ def train_model(
     sets = {FULL: F.lit(True), **{f"fold{k}": c("__fold") != k for k in range(config.folds)}}
     stats = set_statistics(train, features, label, sets, exact)
     models = fit_all(train, features, label, "__fold", stats, config)
-    found = search_c(train, features, label, "__fold", models, stats[FULL].rows, config)
-    table = sorted((r["c"], r["mean_auc"]) for r in found.collect())  # one row per C
+    linear = {k: m for k, (m, _) in models.items()}
+    found = search_c(train, features, label, "__fold", linear, stats[FULL].rows, config)
+    good = {v: all(models[s, v][1] for s in sets) for v in config.grid}
+    table = sorted((r["c"], r["mean_auc"], good[r["c"]]) for r in found.collect())  # one row per C
     best = max(table, key=lambda r: (-1.0 if r[1] is None else r[1], -r[0]))[0]
-    model = replace(models[FULL, best], name=name)
-    search = df.sparkSession.createDataFrame(table, "c double, mean_auc double")
+    model = replace(linear[FULL, best], name=name)
+    search = df.sparkSession.createDataFrame(table, "c double, mean_auc double, converged boolean")
     test = kept.where(c(split) == TEST).select(c(label).alias("y"), model.probability().alias("p"))
     report = evaluate.operating_report(evaluate.curve(test, "y", "p"), config.target_recall)
-    report = report.select(F.lit(name).alias("model"), F.lit(best).alias("c"), "*")
+    report = report.select(F.lit(name).alias("model"), F.lit(best).alias("c"), "*", F.lit(models[FULL, best][1]).alias("converged"))
     return Trained(model, best, search, report, pipeline_model(model))
 
 
 def train_risk_model(
-    df: DataFrame, features: Sequence[str], series: Series, labels: LabelSpec, config: TrainConfig = RISK_TRAINING
+    df: DataFrame,
+    features: Sequence[str],
+    series: Series,
+    labels: LabelSpec,
+    config: TrainConfig = RISK_TRAINING,
+    exact: bool = True,
 ) -> Trained:
     """Risk model on all rows: the first part of the time axis trains, the rest tests."""
     rows.check_no_leakage(features, labels)
     used = dict.fromkeys([*series.keys, series.order, *series.tiebreak, *features, labels.target])
-    with stored(rows.complete_cases(df.select(*cols(used)), list(features))) as kept:
+    with stored(rows.complete_cases(df.select(*cols(used)), [*features, labels.target])) as kept:
         ordered = chronological_split(kept, series, config.train_fraction)
-        return _with_report(train_model(ordered, "risk", features, labels.target, series, labels, config))
+        return _with_report(train_model(ordered, "risk", features, labels.target, series, labels, config, exact=exact))
 
 
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The table kept for many passes: cached when small, else written to the checkpoint
-    folder, so that a lost executor does not bring back the feature windows."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """The table kept for many passes: in the checkpoint folder, so that a lost executor does not
+    bring back the feature windows, and cached."""
+    cached = settled(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield settled(cached) if cached.count() > SMALL_SET else cached
+        yield cached
     finally:
         cached.unpersist()
 
@@ -295,6 +301,7 @@ def train_mode_models(
     id_column: str,
     config: TrainConfig = MODE_TRAINING,
     only: Sequence[str] | None = None,
+    exact: bool = True,
 ) -> list[Trained]:
     """One diagnostic model per mode, on failure rows only, with a stratified random split."""
     rows.check_no_leakage(features, labels)
@@ -305,7 +312,7 @@ def train_mode_models(
             _with_report(
                 train_model(
                     stratified_split(kept, mode, id_column, 1.0 - config.train_fraction, config.seed),
-                    mode, features, mode, series, labels, config,
+                    mode, features, mode, series, labels, config, exact=exact,
                 )
             )
             for mode in (labels.modes if only is None else only)

@@ -23,12 +23,19 @@ class StaleModel(ValueError):
     """A stored model was trained for other features or settings."""
 
 
-def fingerprint(features: Sequence[str], config: TrainConfig) -> str:
-    text = json.dumps([list(features), asdict(config)], sort_keys=True)
+def fingerprint(features: Sequence[str], config: TrainConfig, made: Sequence = ()) -> str:
+    """Hash of what defines a model: features, search settings, and how the features were `made`.
+
+    Settings that only change the speed, such as the thread count, are left out.
+    """
+    settings = {k: v for k, v in asdict(config).items() if k != "parallelism"}
+    text = json.dumps([list(features), settings, list(made)], sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def save_model(spark: SparkSession, path: str, trained: Trained, config: TrainConfig, run_id: str = "") -> None:
+def save_model(
+    spark: SparkSession, path: str, trained: Trained, config: TrainConfig, run_id: str = "", made: Sequence = ()
+) -> None:
     """Store one model under `path`/name; its metrics go to the shared metrics table."""
     model = trained.model
     base = f"{path.rstrip('/')}/{model.name}"
@@ -36,12 +43,12 @@ def save_model(spark: SparkSession, path: str, trained: Trained, config: TrainCo
     trained.pipeline.write().overwrite().save(f"{base}/pipeline")
     metrics_table([trained], run_id).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/metrics")
     # written last: a model without manifest counts as absent
-    row = [(model.name, list(model.features), fingerprint(model.features, config))]
+    row = [(model.name, list(model.features), fingerprint(model.features, config, made))]
     spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest")
 
 
 def load_model(
-    spark: SparkSession, path: str, name: str, features: Sequence[str], config: TrainConfig
+    spark: SparkSession, path: str, name: str, features: Sequence[str], config: TrainConfig, made: Sequence = ()
 ) -> LinearModel | None:
     """The stored model, None if there is none; refuses one trained for other inputs."""
     base = f"{path.rstrip('/')}/{name}"
@@ -49,7 +56,7 @@ def load_model(
         row = spark.read.parquet(f"{base}/manifest").first()
     except AnalysisException:
         return None
-    if row["fingerprint"] != fingerprint(features, config):
+    if row["fingerprint"] != fingerprint(features, config, made):
         raise StaleModel(f"model {name!r} at {base} was trained with other features or settings; retrain it")
     return models_from_table(spark.read.parquet(f"{base}/coefficients"))[0]
 
@@ -65,14 +72,15 @@ def load_or_train(
     features: Sequence[str],
     config: TrainConfig,
     train: Callable[[str], Trained],
+    made: Sequence = (),
 ) -> dict[str, LinearModel]:
     """Every named model: read when stored, else trained by `train(name)` and stored."""
     models = {}
     for name in names:
-        found = load_model(spark, path, name, features, config)
+        found = load_model(spark, path, name, features, config, made)
         if found is None:
             trained = train(name)
-            save_model(spark, path, trained, config)
+            save_model(spark, path, trained, config, made=made)
             found = trained.model
         models[name] = found
     return models

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import MACHINE_MODES, MACHINE_SENSORS, MACHINE_TARGET
 from ..functions.columns import nan_to_null
+from ..operators.series import shared_folder
 
 _INTEGER_SENSORS = ("Rotational speed [rpm]", "Tool wear [min]")
 
@@ -78,6 +78,8 @@ def inline_readings(
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session; only unset (tests) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetpulse-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of the session, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

@@ -106,6 +106,10 @@ def test_empty_table(skewed):
     assert S.row_index(empty, Series(("key",), "t", ("id",), 10)).count() == 0
 
 
-def test_text_order_is_refused(skewed):
-    with pytest.raises(ValueError, match="order column"):
-        S.slice_series(skewed, Series((), "key", (), 10))
+def test_text_order_is_cut(spark):
+    names = [f"n{i * 7919 % 400:05d}" for i in range(400)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string")
+    series = Series((), "name", ("id",), 30)
+    got = {r["name"]: r["step"] for r in S.row_index(df, series).collect()}
+    assert got == {n: i + 1 for i, n in enumerate(sorted(names))}
+    assert S.slice_series(df, series).select(S.SLICE).distinct().count() > 3

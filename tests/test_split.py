@@ -34,15 +34,37 @@ def test_chronological_edges(table):
     _, df = table
     assert split.chronological_split(df.limit(1), ONE).first()["split"] == "test"
     assert split.chronological_split(df.where("false"), ONE).count() == 0
-    endless = df.withColumn("t", F.when(F.col("id") == 3, float("inf")).otherwise(F.col("t")))
-    with pytest.raises(ValueError, match="infinite"):
-        split.chronological_split(endless, ONE, finish_rows=10)
 
 
 @pytest.mark.parametrize("finish", [100_000, 10])
-def test_stratified_folds(table, finish):
+def test_any_order_type(spark, finish):
+    odd = [float("nan"), float("inf"), float("-inf"), None]
+    rows = [(i, odd[i % 8] if i % 8 < 4 else float(i % 50), f"shared beginning {i * 7919 % 1000:04d}", 2**60 + i * 7919 % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, t double, name string, big long")
+    rank = lambda t: (0,) if t is None else (2,) if t != t else (1, t)
+    for column, key in (("t", lambda r: (rank(r[1]), r[0])), ("name", lambda r: r[2]), ("big", lambda r: r[3])):
+        out = split.chronological_split(df, Series((), column, ("id",)), finish_rows=finish)
+        train = {r["id"] for r in out.where("split = 'train'").collect()}
+        assert train == {r[0] for r in sorted(rows, key=key)[:800]}, column
+
+
+def test_many_classes_and_missing_labels(spark):
+    rows = [(i, float(i), i % 1500 if i % 7 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, t double, y long")
+    out = split.stratified_split(df, "y", "id", hot_rows=500)
+    by = out.groupBy(F.col("y").isNull().alias("none"), "split").count()
+    counts = {(r["none"], r["split"]): r["count"] for r in by.collect()}
+    labelled = sum(r[2] is not None for r in rows)
+    assert counts[False, "test"] == -(-labelled // 5) and counts[True, None] == len(rows) - labelled
+    folds = split.stratified_folds(df, "y", ONE, hot_rows=500)
+    assert folds.where("y is null and fold is not null").count() == 0
+    assert folds.where("y is not null and fold is null").count() == 0
+
+
+@pytest.mark.parametrize("hot", [100_000, 40])
+def test_stratified_folds(table, hot):
     data, df = table
-    out = {r["id"]: r["fold"] for r in split.stratified_folds(df, "y", ONE, finish_rows=finish).collect()}
+    out = {r["id"]: r["fold"] for r in split.stratified_folds(df, "y", ONE, hot_rows=hot).collect()}
     rows = in_order(data)
     classes = list(dict.fromkeys(r[2] for r in rows))
     codes = sorted(classes.index(r[2]) for r in rows)
@@ -59,7 +81,7 @@ def test_stratified_folds(table, finish):
 
 def test_stratified_split_counts(table):
     data, df = table
-    out = split.stratified_split(df, "y", "id", finish_rows=50)
+    out = split.stratified_split(df, "y", "id", hot_rows=50)
     n = len(data)
     counts = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
     n_test = -(-n // 5)
