@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Inside, an action's shuffle files go when it ends: its result is kept elsewhere."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read again: a lost executor costs a reread.
 
@@ -38,7 +54,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    with tidied(spark):
+        df.write.parquet(path)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -134,32 +151,44 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 
 class Bitmap:
-    """A fixed-size set of hashes that may hold more than was put in, never less.
+    """A fixed-size set of hashes (Bloom filter) that may hold more than was put in, never less.
 
     Tasks use it to leave out rows that cannot matter before a shuffle; the exact test follows
     the shuffle. However full it gets, only time is lost.
     """
 
-    BITS = 25
+    BITS, PROBES = 25, 4
 
     @staticmethod
     def of(hashes: Column | str, df: DataFrame) -> np.ndarray:
         """Words of the bitmap over a column of 64-bit hashes: at most 2^(BITS - 6) rows reach the driver."""
-        at = F.col("__h").bitwiseAND(F.lit((1 << Bitmap.BITS) - 1))
+        mask, h = F.lit((1 << Bitmap.BITS) - 1), F.col("__h")
+        first, step = h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask).bitwiseOR(F.lit(1))
+        probes = F.explode(F.array(*[(first + i * step).bitwiseAND(mask) for i in range(Bitmap.PROBES)]))
+        hashes = F.col(hashes) if isinstance(hashes, str) else hashes
+        bit = F.expr("shiftleft(1L, cast((__bit & 63) as int))")
         rows = (
-            df.select(F.col(hashes).alias("__h") if isinstance(hashes, str) else hashes.alias("__h"))
-            .groupBy(F.shiftright(at, 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast((__h & 63) as int))")).alias("bits"))
-            .toArrow()
+            df.select(hashes.cast("long").alias("__h"))
+            .select(probes.alias("__bit"))
+            .groupBy(F.shiftright("__bit", 6).alias("word"))
+            .agg(F.bit_or(bit).alias("bits"))
         )
+        with tidied(df.sparkSession):
+            rows = rows.toArrow()
         out = np.zeros(1 << (Bitmap.BITS - 6), np.uint64)
         out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
         return out
 
     @staticmethod
     def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.astype(np.uint64, copy=False) & np.uint64((1 << Bitmap.BITS) - 1)
-        return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        mask = np.uint64((1 << Bitmap.BITS) - 1)
+        hashes = hashes.astype(np.uint64, copy=False)
+        first, step = hashes & mask, ((hashes >> np.uint64(32)) & mask) | np.uint64(1)
+        found = np.ones(len(hashes), bool)
+        for i in range(Bitmap.PROBES):
+            at = (first + np.uint64(i) * step) & mask
+            found &= (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
 
 
 def long_array(x: np.ndarray) -> pa.Array:

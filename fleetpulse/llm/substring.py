@@ -140,7 +140,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     single = settled(single, "windows")
     narrow = single.join(_twice(single, "first", "second"), ["first", "second"], "left_semi")
     narrow = narrow.select("text", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    spans = wide.unionByName(narrow).distinct()
+    spans = settled(wide.unionByName(narrow).distinct(), "spans")
     return spans.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
