@@ -267,8 +267,12 @@ def running_sums(df: DataFrame, series: Series, sums: dict[str, Column]) -> Data
     if SLICE not in df.columns:
         return out
 
+    # read twice: the slice totals and the result
+    out = settled(out)
     keys = [*series.keys, SLICE]
-    totals = df.where(F.col(HOT)).groupBy(*cols(keys)).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    added = {n: f"__added{i}" for i, n in enumerate(sums)}
+    totals = out.where(F.col(HOT)).select(*cols(keys), *[e.alias(added[n]) for n, e in sums.items()])
+    totals = totals.groupBy(*cols(keys)).agg(*[F.sum(a).alias(n) for n, a in added.items()])
     earlier = (
         Window.partitionBy(*cols(series.keys)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -334,6 +338,8 @@ def streaks(
     if SLICE not in df.columns:
         return local.select(*cols(df.columns), c(name), *[F.col("__at").alias(n) for n in steps])
 
+    # read twice: the slice records and the result; what computed the rows runs once
+    local = settled(local)
     keys = [*series.keys, SLICE]
     reduced = local.where(F.col(HOT)).groupBy(*cols(keys)).agg(
         F.count(F.lit(1)).alias("__n"),
