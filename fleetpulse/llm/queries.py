@@ -59,13 +59,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.detected(docs, pii.train(docs), ["doc_id"])
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+
     def joined(spans: str) -> Column:
         parts = F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string")))
         return F.array_join(parts, ",")
 
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(joined("base"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
     )
