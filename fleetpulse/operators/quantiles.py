@@ -151,3 +151,14 @@ def robust_scale_stats(
         F.col("quantiles")[1].alias("center"),
         F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"),
     )
+
+
+def robust_scaled(df: DataFrame, features: Sequence[str], exact: bool = True) -> DataFrame:
+    """`df` with its features as (x - median) / inter-quartile range; NaN becomes NULL."""
+    stats = {r["column"]: (r["center"], r["scale"]) for r in robust_scale_stats(df, features, exact=exact).collect()}
+    return df.select(
+        *[
+            ((present(df, n).cast("double") - F.lit(stats[n][0])) / F.lit(stats[n][1])).alias(n) if n in stats else c(n)
+            for n in df.columns
+        ]
+    )

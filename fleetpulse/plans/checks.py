@@ -808,10 +808,7 @@ def _(spark, sf_dir):
     + " FROM li, st",
 )
 def _(spark, sf_dir):
-    df = lineitem(spark, sf_dir)
-    stats = {r["column"]: (r["center"], r["scale"]) for r in quantiles.robust_scale_stats(df, LINE_SENSORS).collect()}
-    scaled = df.select(*LINE_KEYS, *[((c(n) - stats[n][0]) / stats[n][1]).alias(n) for n in LINE_SENSORS])
-    return shown(scaled, LINE_KEYS, LINE_SENSORS)
+    return shown(quantiles.robust_scaled(lineitem(spark, sf_dir), LINE_SENSORS), LINE_KEYS, LINE_SENSORS)
 
 
 @query("robust_scaler_approx")
