@@ -257,13 +257,13 @@ def score_density(
     if bins is not None:
         cell = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
         place = F.least(F.floor((F.col("x") - F.col("__lo")) / cell), F.lit(bins - 1))
-        kept = join_small(kept, stats.select("class", "__lo", "__hi"), ["class"], "inner").select(
+        kept = join_small(kept, stats.select("class", "__lo", "__hi"), ["class"], "inner", few=True).select(
             "class", (F.col("__lo") + (place + 0.5) * cell).alias("x")
         )
     counted = kept.groupBy("class", "x").agg(F.count(F.lit(1)).alias("__w"))
     start = F.col("__lo") - F.lit(cut) * F.col("__bw")
     step = (F.col("__hi") - F.col("__lo") + F.lit(2 * cut) * F.col("__bw")) / F.lit(float(points - 1))
-    grid = join_small(counted, stats, ["class"], "inner").select(
+    grid = join_small(counted, stats, ["class"], "inner", few=True).select(
         "class", "x", "__w", "__n", "__bw", start.alias("__start"), step.alias("__step"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
     )

@@ -65,7 +65,7 @@ def exact_quantiles(
         running_sums(counts, by_value, {f"__c{i}": F.col(f"__n{i}") for i in range(len(tags))})
     )
     # totals has one row per profiled column
-    placed = join_small(placed, totals, ["column"])
+    placed = join_small(placed, totals, ["column"], few=True)
 
     def at(i: int, position: Column) -> Column:
         return F.max(

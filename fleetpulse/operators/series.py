@@ -17,7 +17,8 @@ recomputed stage finds the same slices.
 
 Size of what is broadcast: a series or slice is hot only when it holds more than
 max(hot_rows, total / MAX_HOT) rows, so each level has fewer than MAX_HOT hot groups
-and adds at most 4 * MAX_HOT slices, whatever the table size.
+and adds at most 4 * MAX_HOT slices, whatever the table size. The rows are counted before
+they are broadcast, and joined without a broadcast beyond BROADCAST_ROWS.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from ..functions.columns import c, cols
 
 SLICE, HOT, HALO = "__slice", "__hot", "__halo"
 MAX_HOT = 50_000
+BROADCAST_ROWS = 1_000_000
 OVERSPLIT = 2
 
 
@@ -74,8 +76,14 @@ def window(df: DataFrame, series: Series) -> WindowSpec:
     )
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Broadcast join on NULL-safe keys; only for tables with a proven size bound."""
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left", few: bool = False) -> DataFrame:
+    """Join on NULL-safe keys, broadcasting the small side if it has BROADCAST_ROWS at most.
+
+    `few` says that the caller knows it is a handful of rows; else they are counted.
+    """
+    if not few:
+        small = settled(small)
+        few = small.count() <= BROADCAST_ROWS
     renamed = small.select(
         *[c(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         *[c(n) for n in small.columns if n not in keys],
@@ -83,7 +91,7 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "lef
     condition = reduce(
         lambda a, b: a & b, [c(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     )
-    joined = df.join(F.broadcast(renamed), condition, how)
+    joined = df.join(F.broadcast(renamed) if few else renamed, condition, how)
     return joined.drop(*[f"__k{i}" for i in range(len(keys))])
 
 
@@ -172,7 +180,7 @@ def slice_series(df: DataFrame, series: Series) -> DataFrame:
         slices *= parts
         found = df.sparkSession.createDataFrame(rows, full.schema)
         if keys:
-            out = join_small(out, found, keys)
+            out = join_small(out, found, keys, few=len(rows) <= BROADCAST_ROWS)
         else:
             one = rows[0]
             out = out.select(
