@@ -33,6 +33,7 @@ PER_CLASS = 1500
 TERMS = 512
 K = 24
 BLOCK = 64
+_FIRST_BLOCKS = 6
 _MIN_EXAMPLES = 4
 
 # terms are runs of letters, digits and bytes beyond ASCII
@@ -73,18 +74,24 @@ class ExampleIndex:
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of positive cosine, nearest first, ties to the first place."""
         bounds = weight @ self.block_max[at]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         found, score = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(score) >= k and bounds[b] * (1 + 1e-5) < score[k - 1]):
-                break
-            cosine = weight @ self.postings[b, at]
-            here = np.flatnonzero((cosine > 0) & (self.labels[b] >= 0))
-            found = np.concatenate([found, here + b * BLOCK])
-            score = np.concatenate([score, cosine[here]])
-            if skip >= 0:
-                found, score = found[found != skip], score[found != skip]
-            order = np.lexsort((found, -score))[:k]
-            found, score = found[order], score[order]
+        # the blocks of the highest bounds first; then, at once, all that can still beat the k-th
+        for part in (slice(None, _FIRST_BLOCKS), slice(_FIRST_BLOCKS, None)):
+            least = score[k - 1] if len(score) >= k else np.float32(0)
+            blocks = order[part]
+            blocks = blocks[bounds[blocks] * (1 + 1e-5) >= least]
+            if not len(blocks):
+                continue
+            cosine = weight @ self.postings[np.ix_(blocks, at)]
+            block, place = np.nonzero((cosine > 0) & (cosine >= least) & (self.labels[blocks] >= 0))
+            places = blocks[block] * BLOCK + place
+            near = cosine[block, place][places != skip]
+            places = places[places != skip]
+            found, score = np.concatenate([found, places]), np.concatenate([score, near])
+            best = np.lexsort((found, -score))[:k]
+            found, score = found[best], score[best]
         return found, score
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
