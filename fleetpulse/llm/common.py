@@ -56,10 +56,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}-{name}"
     with tidied(spark):
         df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more."""
+    for t in tables:
+        files, place = _file_system(t.sparkSession, t.settled_at)
+        files.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def learn_row(doc_id: Column, parts: int, held_out: int) -> Column:
@@ -78,10 +91,17 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads 64-bit values."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([x[:1] == x[:1], x[1:] != x[:-1]])]
 
 
 class Powers:

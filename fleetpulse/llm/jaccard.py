@@ -13,9 +13,10 @@ order puts shingles of rare corpus groups first, so that wide-spread passages do
 together. Documents with the same set are one point, whatever their number.
 
 Whole links are many within a group of copies, and only groups are wanted. So each tree first
-verifies its members against its least and its greatest member; what these links connect needs no
+tries its members against the two of them that stand in the most trees; what these links connect needs no
 further pairs, and trees within one component are left out. All other pairs go through the trees.
-Trees of more than PAGE_ROWS points are dealt out as pairs of parts.
+Trees with the same members are one tree. Trees of more than PAGE_ROWS points are dealt out as
+pairs of parts.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing
 and are their own component; fewer than five words are one shingle; repeated rows link unless empty;
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bitmap, Rows, as_bytes, mixed, settled, texts_of, window_hashes, word_bounds, word_hashes
+from .common import Bitmap, Rows, distinct, forget, mixed, settled, texts_of, tidied, window_hashes, word_bounds, word_hashes
 from .graph import components
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-GROUPS = 32
+GROUPS = 256
 PAGE_ROWS = 4096
+BLOCK_ROWS = 512
 _CORPUS_BITS = 14
 _LEAF, _FAN = 32, 8
 
@@ -48,9 +50,7 @@ _LOWER[65:91] += 32
 
 def shingle_set(raw: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a UTF-8 text, A-Z in lower case."""
-    raw = _LOWER[raw]
-    words = word_hashes(raw, *word_bounds(raw))
-    return np.unique(window_hashes(words, min(SHINGLE_WORDS, len(words)))) if len(words) else words
+    return distinct(_all_shingles(raw))
 
 
 def set_hash(shingles: np.ndarray) -> np.uint64:
@@ -61,14 +61,25 @@ def set_hash(shingles: np.ndarray) -> np.uint64:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(25)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    """Counts of GROUPS groups, each up to 255; what goes beyond is lost to the bound, see `excess`."""
+    return np.minimum(_group_counts(shingles), 255).astype(np.uint8)
+
+
+def excess(shingles: np.ndarray) -> int:
+    """Shingles beyond 255 of their group. Two sets share at most the lesser excess besides the vectors' minima."""
+    return int(np.maximum(_group_counts(shingles) - 255, 0).sum())
 
 
-def prefix(shingles: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """The first shingles by (count of their corpus group, hash) of which similar sets share one."""
+def _group_counts(shingles: np.ndarray) -> np.ndarray:
+    return np.bincount((shingles >> np.uint64(25)).astype(np.int64) % GROUPS, minlength=GROUPS)
+
+
+def prefix(shingles: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first shingles by (place of their corpus group, hash) of which similar sets share one."""
     n = len(shingles)
     keep = n - (PERCENT * n + 99) // 100 + 1
-    order = np.lexsort((shingles, spread[(shingles >> np.uint64(64 - _CORPUS_BITS)).astype(np.int64)]))
+    # shingles are sorted, so a stable sort by the place is enough
+    order = np.argsort(place[(shingles >> np.uint64(64 - _CORPUS_BITS)).astype(np.int64)], kind="stable")
     return shingles[order[:keep]]
 
 
@@ -80,11 +91,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 class _Tree:
     """Packed R-tree over points sorted by (label, size): levels of nodes with size range, label range and greatest counts."""
 
-    def __init__(self, size: np.ndarray, label: np.ndarray, counts: np.ndarray):
-        self.levels = [(size, size, label, label, counts)]
+    def __init__(self, size: np.ndarray, label: np.ndarray, over: np.ndarray, counts: np.ndarray):
+        self.levels = [(size, size, label, label, over, counts)]
         step = _LEAF
         while len(self.levels[-1][0]) > 1:
-            low, high, first, last, top = self.levels[-1]
+            low, high, first, last, over, top = self.levels[-1]
             cut = np.arange(0, len(low), step)
             self.levels.append(
                 (
@@ -92,18 +103,20 @@ class _Tree:
                     np.maximum.reduceat(high, cut),
                     np.minimum.reduceat(first, cut),
                     np.maximum.reduceat(last, cut),
+                    np.maximum.reduceat(over, cut),
                     np.maximum.reduceat(top, cut, axis=0),
                 )
             )
             step = _FAN
 
     def may_hold(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        low, high, first, last, top = self.levels[level]
+        low, high, first, last, over, top = self.levels[level]
         ok = (100 * high[i] >= PERCENT * low[j]) & (100 * high[j] >= PERCENT * low[i])
         ok &= (first[i] != last[i]) | (first[j] != last[j]) | (first[i] != first[j])
         at = np.flatnonzero(ok)
-        for part in np.array_split(at, len(at) // 65_536 + 1):
+        for part in np.array_split(at, len(at) // 32_768 + 1):
             bound = np.minimum(top[i[part]], top[j[part]]).sum(axis=1, dtype=np.int64)
+            bound += np.minimum(over[i[part]], over[j[part]])
             # overlap / (|a| + |b| - overlap) >= p needs overlap (100 + p) >= p (|a| + |b|)
             ok[part] = bound * (100 + PERCENT) >= PERCENT * (low[i[part]] + low[j[part]])
         return ok
@@ -128,112 +141,203 @@ class _Tree:
                 stack.append((level - 1, a[real], b[real]))
 
 
-def tree_pairs(size: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(size: np.ndarray, label: np.ndarray, over: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows with different labels whose sum of coordinate minima allows the similarity."""
     order = np.lexsort((size, label))
-    size, label, counts = size[order], label[order], counts[order]
+    points = (size[order], label[order], over[order], counts[order])
     if len(order) <= _LEAF:
         i, j = np.triu_indices(len(order), 1)
-        tree = _Tree.__new__(_Tree)
-        tree.levels = [(size, size, label, label, counts)]
-        keep = tree.may_hold(0, i, j)
+        keep = _leaf(*points).may_hold(0, i, j)
         found = [(i[keep], j[keep])]
     else:
-        found = list(_Tree(size, label, counts).pairs())
+        found = list(_Tree(*points).pairs())
     i = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     j = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
     return order[i], order[j]
 
 
-def _sets(docs: DataFrame, names: list[str], emit) -> DataFrame:
-    """Rows that `emit(rows, set hash, set)` gives for every non-empty set."""
+def _leaf(size: np.ndarray, label: np.ndarray, over: np.ndarray, counts: np.ndarray) -> _Tree:
+    """Points alone, without nodes above."""
+    tree = _Tree.__new__(_Tree)
+    tree.levels = [(size, size, label, label, over, counts)]
+    return tree
+
+
+def star_pairs(
+    point: np.ndarray, size: np.ndarray, over: np.ndarray, counts: np.ndarray, degree: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that the bound allows of each row with the two rows that stand in the most trees.
+
+    What many copies were made from shares more first shingles than any of the copies.
+    """
+    rows = np.arange(len(point))
+    tree = _leaf(size, point, over, counts)
+    i = np.concatenate([rows, rows])
+    j = np.repeat(np.lexsort((point, -degree))[:2], len(rows))
+    keep = tree.may_hold(0, i, j)
+    return i[keep], j[keep]
+
+
+def _all_shingles(raw: np.ndarray) -> np.ndarray:
+    raw = np.take(_LOWER, raw)
+    words = word_hashes(raw, *word_bounds(raw))
+    return window_hashes(words, min(SHINGLE_WORDS, len(words))) if len(words) else words
+
+
+def _corpus_order(docs: DataFrame) -> np.ndarray:
+    """Place of every corpus group of shingles, those with the fewest shingles in all texts first.
+
+    One row for each of the 2^_CORPUS_BITS groups reaches the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(1 << _CORPUS_BITS, np.int64)
+        for batch in batches:
+            for _, raw in texts_of(batch, 0):
+                group = (_all_shingles(raw) >> np.uint64(64 - _CORPUS_BITS)).astype(np.int64)
+                totals += np.bincount(group, minlength=len(totals))
+        at = np.flatnonzero(totals)
+        yield pa.record_batch([pa.array(at), pa.array(totals[at])], names=["group", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
+    with tidied(docs.sparkSession):
+        sums = sums.toArrow()
+    totals = np.zeros(1 << _CORPUS_BITS, np.int64)
+    totals[sums["group"].to_numpy()] = sums["n"].to_numpy()
+    place = np.empty(len(totals), np.uint16)
+    place[np.argsort(totals, kind="stable")] = np.arange(len(totals))
+    return place
+
+
+def _first_shingles(docs: DataFrame, place) -> DataFrame:
+    """(key, point): the first shingles of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(names)
+        rows = Rows(["key", "point"])
         for batch in batches:
             for _, raw in texts_of(batch, 0):
                 shingles = shingle_set(raw)
                 if len(shingles):
-                    emit(rows, set_hash(shingles), shingles)
+                    first = prefix(shingles, place.value)
+                    rows.add(first, np.full(len(first), set_hash(shingles)))
                     if rows.full():
                         yield from rows.take()
         yield from rows.take()
 
-    return docs.select("text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("text").mapInArrow(run, "key long, point long")
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """(id, point, n, counts) of every row, and (corpus_group, total) partial counts of shingles."""
+def _profiles(docs: DataFrame, place, shared) -> DataFrame:
+    """(id, point, n, keys, over, counts, text) of every row; the last four only where a first shingle may be shared."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, ids = np.zeros(1 << _CORPUS_BITS, np.int64), None
-        names = ["id", "point", "n", "counts", "corpus_group", "total"]
-        for batch in batches:
-            ids = batch.column(0).type
-            points = np.zeros(batch.num_rows, np.uint64)
-            n = np.zeros(batch.num_rows, np.int64)
-            counts = [None] * batch.num_rows
-            for i, raw in texts_of(batch, 1):
-                shingles = shingle_set(raw)
-                points[i], n[i], counts[i] = set_hash(shingles), len(shingles), count_vector(shingles).tobytes()
-                totals += np.bincount((shingles >> np.uint64(64 - _CORPUS_BITS)).astype(np.int64), minlength=len(totals))
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.record_batch(
-                [batch.column(0), pa.array(points.view(np.int64)), pa.array(n), pa.array(counts, pa.binary()), none, none], names=names
-            )
-        if ids is not None:
-            at = np.flatnonzero(totals)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.record_batch(
-                [pa.nulls(len(at), ids), none, none, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(totals[at])], names=names
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                size = batch.num_rows
+                points, n = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+                keys, over, counts = [None] * size, [None] * size, [None] * size
+                sets = {i: s for i, s in ((i, shingle_set(raw)) for i, raw in texts_of(batch, 1)) if len(s)}
+                firsts = [prefix(s, place.value) for s in sets.values()] or [np.zeros(0, np.uint64)]
+                hits = Bitmap.has(shared.value, np.concatenate(firsts))
+                cuts = np.cumsum([len(f) for f in firsts])[:-1]
+                for (i, shingles), first, hit in zip(sets.items(), firsts, np.split(hits, cuts), strict=False):
+                    points[i], n[i] = set_hash(shingles), len(shingles)
+                    if hit.any():
+                        keys[i], over[i] = first[hit].view(np.int64), excess(shingles)
+                        counts[i] = count_vector(shingles).tobytes()
+                text = batch.column(1).take(pa.array([None if k is None else i for i, k in enumerate(keys)], pa.int64()))
+                yield pa.record_batch(
+                    [
+                        batch.column(0),
+                        pa.array(points.view(np.int64)),
+                        pa.array(n),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(over, pa.int64()),
+                        pa.array(counts, pa.binary()),
+                        text,
+                    ],
+                    names=["id", "point", "n", "keys", "over", "counts", "text"],
+                )
 
     return docs.select("id", "text").mapInArrow(
-        run, f"id {kind}, point long, n long, counts binary, corpus_group long, total long"
+        run, f"id {kind}, point long, n long, keys array<bigint>, over long, counts binary, text string"
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose whole sets are similar; texts: (point, text)."""
-    one = texts.select(F.col("point").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("point").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose whole sets are similar; rows: (point, text), a point may have several.
+
+    Pairs are grouped by what they connect, so a text moves once, not once per pair. Groups of more
+    than BLOCK_ROWS points are dealt out as pairs of parts.
+    """
+    pairs = settled(pairs, "pairs")
+    group = components(pairs)
+    sizes = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    group = settled(group.join(sizes, "label").select("node", "label", "parts", part.alias("part")), "groups")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    texts = rows.select("point", "text").join(group.select("node"), F.col("point") == F.col("node"), "left_semi")
+    texts = texts.dropDuplicates(["point"]).join(group, F.col("point") == F.col("node")).withColumn("other", other)
+    texts = texts.select(
+        "label",
+        F.least("part", "other").alias("i"),
+        F.greatest("part", "other").alias("j"),
+        F.col("point").alias("a"),
+        F.lit(None).cast("long").alias("b"),
+        "text",
+    )
+    first = group.select(F.col("node").alias("a"), "label", F.col("part").alias("part_a"))
+    second = group.select(F.col("node").alias("b"), F.col("part").alias("part_b"))
+    wanted = pairs.join(first, "a").join(second, "b").select(
+        "label", F.least("part_a", "part_b").alias("i"), F.greatest("part_a", "part_b").alias("j"), "a", "b", F.lit(None).cast("string").alias("text")
+    )
+    # texts of a block come before its pairs
+    dealt = texts.unionByName(wanted).repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        block, sets = None, {}
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            b = batch.column(1).to_pylist()
-            for i in range(batch.num_rows):
-                if b[i] != last:
-                    last, held = b[i], shingle_set(as_bytes(batch.column(3)[i].as_py()))
-                keep[i] = similar(shingle_set(as_bytes(batch.column(2)[i].as_py())), held)
-            mask = pa.array(keep)
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _tree_candidates(members: DataFrame) -> DataFrame:
-    """(a, b) that the trees leave of (key, point, n, label, counts)."""
+            names = batch.schema.names
+            keys = list(zip(*(batch.column(names.index(c)).to_pylist() for c in ("label", "i", "j")), strict=True))
+            a, b = (batch.column(names.index(c)).to_pylist() for c in ("a", "b"))
+            raw = dict(texts_of(batch, names.index("text")))
+            out = []
+            for r, key in enumerate(keys):
+                if key != block:
+                    block, sets = key, {}
+                if b[r] is None:
+                    sets[a[r]] = shingle_set(raw[r])
+                elif similar(sets[a[r]], sets[b[r]]):
+                    out.append((a[r], b[r]))
+            yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    out = settled(dealt.mapInArrow(run, "a long, b long"), "links")
+    forget(pairs, group)
+    return out
+
+
+def _tree_candidates(members: DataFrame, points: DataFrame, star: bool) -> DataFrame:
+    """(a, b) that the trees leave of (key, point, label); with `star` only pairs with the middle of each tree."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / PAGE_ROWS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")
     dealt = members.join(sizes, "key").withColumn("part", part)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("other", other).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "point", "n", "label", "counts"
+        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "point", "label"
     )
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.join(points, "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, left = Rows(["a", "b"]), None
 
         def solve(group: pa.Table) -> None:
-            part, point, n, label = (group.column(c).to_numpy() for c in ("part", "point", "n", "label"))
-            counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
-            i, j = tree_pairs(n, label, counts)
-            if group.column("i")[0] != group.column("j")[0]:
+            columns = ("part", "point", "n", "label", "over", "degree")
+            part, point, n, label, over, degree = (group.column(c).to_numpy() for c in columns)
+            counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            i, j = star_pairs(point, n, over, counts, degree) if star else tree_pairs(n, label, over, counts)
+            if not star and group.column("i")[0] != group.column("j")[0]:
                 apart = part[i] != part[j]
                 i, j = i[apart], j[apart]
             rows.add(np.minimum(point[i], point[j]), np.maximum(point[i], point[j]))
@@ -256,6 +360,18 @@ def _tree_candidates(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _distinct_trees(members: DataFrame) -> DataFrame:
+    """One key of all that have the same members, of those with two labels at least."""
+    of = members.groupBy("key").agg(
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("point")).alias("mark"),
+    )
+    same = of.filter("low != high").groupBy("low", "high", "n", "mark").agg(F.min("key").alias("key"))
+    return members.join(same.select("key"), "key", "left_semi")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(`key`, n_shingles, point, component, component_id) of every row.
 
@@ -264,56 +380,26 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    profile = settled(_profiles(docs), "profiles")
-    rows = profile.filter("corpus_group is null")
-    totals = profile.filter("corpus_group is not null").groupBy("corpus_group").agg(F.sum("total").alias("total")).toArrow()
-    spread = np.zeros(1 << _CORPUS_BITS, np.int64)
-    spread[totals["corpus_group"].to_numpy()] = totals["total"].to_numpy()
-    spread = spark.sparkContext.broadcast(spread)
-
-    # trees: members share a first shingle; those with one member are left out
-    firsts = _sets(docs, ["key", "point"], lambda out, p, s: (h := prefix(s, spread.value), out.add(h, np.full(len(h), p)))[0])
-    shared = firsts.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).filter("low != high")
-    shared = settled(shared, "shared")
-    hit = spark.sparkContext.broadcast(Bitmap.of("key", shared))
-
-    def members(out: Rows, point: np.uint64, shingles: np.ndarray) -> None:
-        h = prefix(shingles, spread.value)
-        h = h[Bitmap.has(hit.value, h)]
-        out.add(h, np.full(len(h), point), np.full(len(h), len(shingles)))
+    place = spark.sparkContext.broadcast(_corpus_order(docs))
 
-    found = _sets(docs, ["key", "point", "n"], members).distinct()
-    found = settled(found.join(shared.select("key"), "key", "left_semi"), "members")
-
-    wanted = spark.sparkContext.broadcast(Bitmap.of("point", found.select("point").distinct()))
-
-    def kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = np.zeros(batch.num_rows, np.uint64)
-            for i, raw in texts_of(batch, 0):
-                points[i] = set_hash(shingle_set(raw))
-            mask = pa.array(Bitmap.has(wanted.value, points) & (points != 0))
-            yield pa.record_batch([pa.array(points.view(np.int64)).filter(mask), batch.column(0).filter(mask)], names=["point", "text"])
-
-    texts = docs.select("text").mapInArrow(kept_texts, "point long, text string")
-    texts = settled(texts.dropDuplicates(["point"]), "texts")
-
-    # every member against the least and the greatest of its tree
-    ends = found.groupBy("key").agg(F.min(F.struct("point", "n")).alias("low"), F.max(F.struct("point", "n")).alias("high"))
-    star = found.join(ends, "key").select("point", "n", F.explode(F.array("low", "high")).alias("end"))
-    fits = (100 * F.least("n", "end.n") >= PERCENT * F.greatest("n", "end.n")) & (F.col("point") != F.col("end.point"))
-    star = star.filter(fits).select(F.col("point").alias("a"), F.col("end.point").alias("b")).distinct()
-    links = settled(_verified(star, texts), "links")
-    label = settled(components(links), "labels")
-
-    # all other pairs, in trees that hold more than one component
-    members_of = found.join(label, found.point == label.node, "left")
-    members_of = members_of.select("key", "point", "n", F.coalesce("label", "point").alias("label"))
-    mixed_keys = members_of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    points = rows.filter("n > 0").select("point", "counts").dropDuplicates(["point"])
-    open_trees = members_of.join(mixed_keys.select("key"), "key", "left_semi").join(points, "point")
-    more = settled(_verified(_tree_candidates(open_trees), texts), "more-links")
+    # a first shingle deals documents into a tree; those of one set alone are left out
+    firsts = _first_shingles(docs, place)
+    shared = firsts.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).filter("low != high")
+    shared = spark.sparkContext.broadcast(Bitmap.of("key", shared))
+    rows = settled(_profiles(docs, place, shared), "profiles")
+    some = rows.filter("keys is not null")
+    points = settled(some.select("point", "n", "over", "counts", F.size("keys").alias("degree")).dropDuplicates(["point"]), "points")
+    members = some.select("point", F.explode("keys").alias("key")).distinct().withColumn("label", F.col("point"))
+    members = settled(_distinct_trees(members), "members")
+
+    # every member against the middle of its tree, then all pairs in trees that hold several components
+    links = _verified(_tree_candidates(members, points, star=True), some)
+    first = settled(components(links), "labels")
+    known = members.drop("label").join(first, F.col("point") == F.col("node"), "left")
+    known = _distinct_trees(known.select("key", "point", F.coalesce("label", "point").alias("label")))
+    more = _verified(_tree_candidates(known, points, star=False), some)
     label = settled(components(links.unionByName(more)), "components")
+    forget(points, members, links, more)
 
     full = rows.filter("n > 0").join(label, F.col("point") == F.col("node"), "left")
     full = full.select("id", "n", "point", F.coalesce("label", "point").alias("label"))

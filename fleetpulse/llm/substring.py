@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Rows, as_bytes, settled, texts_of, window_hashes, word_bounds, word_hashes
+from .common import Bitmap, Rows, as_bytes, forget, settled, texts_of, window_hashes, word_bounds, word_hashes
 
 WINDOW = 35
 # fixed values: a perfect difference set modulo 21
@@ -141,6 +141,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     narrow = single.join(_twice(single, "first", "second"), ["first", "second"], "left_semi")
     narrow = narrow.select("text", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     spans = settled(wide.unionByName(narrow).distinct(), "spans")
+    forget(found, whole, single)
     return spans.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
