@@ -6,7 +6,8 @@ words. The residues are a difference cover: two equal windows, wherever they sta
 at the same place inside both. Repeated anchors are extended to both sides:
 
 1. by all 20 words on either side at once: if anchor and context occur twice, all of it is repeated;
-2. where that fails (the ends of a repeated passage), window by window.
+2. where that fails (the ends of a repeated passage), window by window. Places of the same anchor
+   that step 1 took add their windows without a place, so that a short quote meets them.
 
 Texts are identified by a hash, so exact copies are worked on together; a text that several rows
 have is repeated as a whole. Groups of equal anchors, contexts or windows are never gathered: the
@@ -118,27 +119,39 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     wide = wide.select("text", (F.col("at") - reach).alias("start"), (F.col("at") + anchor + reach).alias("end"))
 
     rest = found.join(whole.withColumn("inside", F.lit(1).cast("long")), ["anchor", "context", "inside"], "left_anti")
-    rest = rest.join(_twice(found, "anchor"), "anchor", "left_semi")
+    rest = rest.join(_twice(found, "anchor"), "anchor", "left_semi").select("anchor", "text", "at")
+    rest = settled(rest, "ends")
     place = F.col("text").bitwiseXOR(F.col("at") * _PLACE)
     ends = spark.sparkContext.broadcast(Bitmap.of(place, rest))
+    # a window of such a place may stand, under the same anchor, where the context is repeated
+    partial = spark.sparkContext.broadcast(Bitmap.of("anchor", rest))
+    forget(rest)
+
+    def around(at: np.ndarray, n: int) -> np.ndarray:
+        """Which of the `n` windows of a text hold one of the anchors."""
+        wanted = np.zeros(n + 1, np.int64)
+        np.add.at(wanted, np.maximum(at - reach, 0), 1)
+        np.add.at(wanted, np.minimum(at + 1, n), -1)
+        return np.cumsum(wanted[:n]) > 0
 
     def windows(rows: Rows, key: np.uint64, words: np.ndarray) -> None:
-        at = _anchors(words, window)[0]
-        at = at[Bitmap.has(ends.value, _place(key, at))]
+        at, hashes = _anchors(words, window)
+        keep = Bitmap.has(partial.value, hashes)
+        at = at[keep]
         if not len(at):
             return
         n = len(words) - window + 1
-        wanted = np.zeros(n + 1, np.int64)
-        np.add.at(wanted, np.maximum(at - reach, 0), 1)
-        np.add.at(wanted, np.minimum(at + 1, n), -1)
-        at = np.flatnonzero(np.cumsum(wanted[:n]))
+        mine = around(at[Bitmap.has(ends.value, _place(key, at))], n)
+        at = np.flatnonzero(mine | around(at, n))
+        mine = mine[at]
         first, second = (window_hashes(words, window, seed)[at] for seed in (_FIRST, _SECOND))
-        rows.add(first, second, np.full(len(at), key, np.uint64), at)
+        # windows that step 1 has removed count as one more place, the same for all of them
+        rows.add(first, second, np.where(mine, key, np.uint64(0)), np.where(mine, at, -1))
 
     names = ["first", "second", "text", "at"]
     single = keyed.mapInArrow(_rows(names, windows), ", ".join(f"{n} long" for n in names)).distinct()
     single = settled(single, "windows")
-    narrow = single.join(_twice(single, "first", "second"), ["first", "second"], "left_semi")
+    narrow = single.filter("at >= 0").join(_twice(single, "first", "second"), ["first", "second"], "left_semi")
     narrow = narrow.select("text", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     spans = settled(wide.unionByName(narrow).distinct(), "spans")
     forget(found, whole, single)

@@ -57,6 +57,25 @@ def test_equals_brute_force(spark):
     check(spark, rows[:120], 22)
 
 
+def test_short_quotes_of_aligned_near_copies(spark):
+    draw = random.Random(11)
+    line = lambda n: [f"w{draw.randint(0, 10**6)}" for _ in range(n)]
+    for quoted in (35, 45, 54, 80, 150):
+        p = line(300)
+        rows = [(0, " ".join(line(30) + p[100 : 100 + quoted] + line(40)))]
+        rows += [(i, " ".join([f"x{i}", *p[1:]])) for i in (1, 2)]
+        got = check(spark, rows)
+        assert {r[0]: r[2] for r in got} == {0: quoted, 1: 299, 2: 299}
+    rows = []
+    for i in range(10):
+        base = line(600)
+        for j in range(3):
+            w = list(base)
+            w[draw.randrange(600)] = "changed"
+            rows.append((10 * i + j, " ".join(w)))
+    check(spark, rows)
+
+
 def test_given_documents_and_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     check(spark, [tuple(r) for r in docs.collect()])
