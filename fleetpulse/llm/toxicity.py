@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are labelled texts as TF-IDF vectors over an index vocabulary. The K examples of largest
-cosine vote, weighted by nearness. The vote, and the share of the text that the index terms make up,
-are calibrated into a probability; the examples that voted are the evidence. The search is exact: postings lie in blocks of BLOCK examples with the
-greatest weight of each term in each block, blocks are taken in the order of their bound, and the
-search ends when no block can beat the K-th example found.
+Examples are labelled texts as TF-IDF vectors over all of their terms. The K examples of largest
+cosine vote, weighted by nearness. The vote, the share of the text that known terms make up, and the
+log-odds of the label over all known terms, each shrunk by how sure it is (chi-square), are calibrated
+into a probability; the examples that voted are the evidence. The search is exact: postings lie in blocks of BLOCK examples with the
+greatest weight of each term in each block it stands in, blocks are taken in the order of their bound, and the
+search ends when no block can beat the K-th example found. Terms of a text that no example has
+scale all its cosines alike; they are left out of its length and enter by the share.
 
-Bounds, all parameters: at most PER_CLASS examples of each label (by hash of the id) and TERMS
-index terms, those that tell the labels apart best among the examples. Document frequencies
-for IDF are counted over all documents.
+Bound, a parameter: at most PER_CLASS examples of each label (by hash of the id). Document
+frequencies for IDF are counted over all documents, for every term of the examples.
 
 Defined results: null, empty and foreign texts, which share no term with an example, get the share of
 label 1 among the learn rows; an id labelled several times counts once, toxic if any label says so;
@@ -30,11 +31,11 @@ from pyspark.sql import types as T
 from .common import word_bounds, word_hashes
 
 PER_CLASS = 1500
-TERMS = 512
 K = 24
 BLOCK = 64
 _FIRST_BLOCKS = 6
-_MIN_EXAMPLES = 4
+# a chi-square of this counts half: twice the log of about a thousand to one against a term
+_SURE = 14.0
 
 # terms are runs of letters, digits and bytes beyond ASCII
 _BETWEEN = np.ones(256, bool)
@@ -47,49 +48,83 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(word_hashes(raw, *word_bounds(raw, _BETWEEN)), return_counts=True)
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class ExampleIndex:
-    """Block-max inverted index over the examples of one label set."""
+    """Block-max inverted index over the examples of one label set.
+
+    Entries stand for a term in a block: those of term t are first[t] to first[t + 1], by block.
+    Postings of entry e are start[e] to start[e + 1].
+    """
 
     terms: np.ndarray  # hashes, ascending
     idf: np.ndarray
-    postings: np.ndarray  # blocks x terms x BLOCK weights
-    block_max: np.ndarray  # terms x blocks
+    first: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    start: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
+    odds: np.ndarray  # shrunk log-odds of label 1 for each term
     labels: np.ndarray  # blocks x BLOCK, -1 where there is no example
     ids: np.ndarray
     prior: float
     curve: np.ndarray | None = None
 
-    def query(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Index terms of a text, their weights scaled to length 1, and the weight they have in the text."""
+    @property
+    def postings(self) -> np.ndarray:
+        """All weights as a dense array, blocks x terms x BLOCK: to look at small indexes."""
+        dense = np.zeros((self.labels.size, len(self.terms)), np.float32)
+        dense[self.example, np.repeat(np.repeat(np.arange(len(self.terms)), np.diff(self.first)), np.diff(self.start))] = self.value
+        return dense.reshape(len(self.labels), BLOCK, -1).transpose(0, 2, 1)
+
+    def query(self, hashes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Index terms of a text, their weights scaled to length 1, and the weight they have in the text.
+
+        Terms that `known` marks false are taken as not in the index.
+        """
         at = np.searchsorted(self.terms, hashes)
         at[at == len(self.terms)] = 0
         hit = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
+        if known is not None:
+            hit &= known[at]
         at = at[hit]
-        weight = ((1 + np.log(counts[hit])) * self.idf[at]).astype(np.float32)
+        tf = 1 + np.log(counts)
+        weight = tf[hit] * self.idf[at]
         length = np.sqrt(np.sum(weight * weight))
-        whole = np.sqrt(np.sum((1 + np.log(counts)) ** 2))
+        whole = np.sqrt(np.sum(tf * tf))
         return at, weight / length if length else weight, float(length / whole) if length else 0.0
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of positive cosine, nearest first, ties to the first place."""
-        bounds = weight @ self.block_max[at]
+        entries = _ranges(self.first[at], self.first[at + 1])
+        weight = np.repeat(weight, self.first[at + 1] - self.first[at])
+        block = self.block[entries]
+        bounds = np.bincount(block, weight * self.block_max[entries], minlength=len(self.labels))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        found, score = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        found, score = np.zeros(0, np.int64), np.zeros(0)
         # the blocks of the highest bounds first; then, at once, all that can still beat the k-th
         for part in (slice(None, _FIRST_BLOCKS), slice(_FIRST_BLOCKS, None)):
-            least = score[k - 1] if len(score) >= k else np.float32(0)
+            least = score[k - 1] if len(score) >= k else 0.0
             blocks = order[part]
             blocks = blocks[bounds[blocks] * (1 + 1e-5) >= least]
             if not len(blocks):
                 continue
-            cosine = weight @ self.postings[np.ix_(blocks, at)]
-            block, place = np.nonzero((cosine > 0) & (cosine >= least) & (self.labels[blocks] >= 0))
-            places = blocks[block] * BLOCK + place
-            near = cosine[block, place][places != skip]
+            wanted = np.zeros(len(self.labels), bool)
+            wanted[blocks] = True
+            mine = wanted[block]
+            start, end = self.start[entries[mine]], self.start[entries[mine] + 1]
+            here = _ranges(start, end)
+            cosine = np.bincount(self.example[here], np.repeat(weight[mine], end - start) * self.value[here], minlength=self.labels.size)
+            places = np.flatnonzero((cosine > 0) & (cosine >= least))
             places = places[places != skip]
-            found, score = np.concatenate([found, places]), np.concatenate([score, near])
+            found, score = np.concatenate([found, places]), np.concatenate([score, cosine[places]])
             best = np.lexsort((found, -score))[:k]
             found, score = found[best], score[best]
         return found, score
@@ -101,20 +136,28 @@ class ExampleIndex:
         w = cosine.astype(float) ** 2
         return float(np.sum(w * self.labels.reshape(-1)[found]) / np.sum(w))
 
-    def score(self, vote: float, share: float, neighbours: int) -> float:
+    def score(self, vote: float, share: float, odds: float, neighbours: int) -> float:
         if self.curve is None or not neighbours:
             return self.prior
-        return float(1 / (1 + np.exp(-np.clip(_evidence(vote, share) @ self.curve, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(_evidence(vote, share, odds) @ self.curve, -30, 30))))
+
 
+def _evidence(vote, share, odds) -> np.ndarray:
+    return np.stack([vote, share, vote * share, odds, np.ones_like(vote)], axis=-1)
 
-def _evidence(vote, share) -> np.ndarray:
-    return np.stack([vote, share, vote * share, np.ones_like(vote)], axis=-1)
 
+def _odds(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-odds of label 1 for terms that so many examples of either label have, drawn to 0 where chi-square is small."""
+    both = ones + zeros
+    chi = (ones * (n0 - zeros) - zeros * (n1 - ones)) ** 2.0 * (n1 + n0)
+    chi /= np.maximum(both * (n1 + n0 - both) * float(max(1, n1)) * max(1, n0), 1)
+    return np.log((ones + 0.5) / (n1 + 1) * (n0 + 1) / (zeros + 0.5)) / (1 + np.exp((_SURE - np.minimum(chi, 99)) / 2))
 
-def _calibrated(votes: np.ndarray, shares: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
-    """Logistic curve from votes to labels; the two labels weigh as in all learn rows."""
+
+def _calibrated(votes: np.ndarray, shares: np.ndarray, odds: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
+    """Logistic curve from votes and odds to labels; the two labels weigh as in all learn rows."""
     w = np.where(labels == 1, prior / np.mean(labels), (1 - prior) / np.mean(1 - labels))
-    x = _evidence(votes, shares)
+    x = _evidence(votes, shares, odds)
     beta = np.zeros(x.shape[1])
     penalty = 1e-2 * np.eye(len(beta))
     for _ in range(100):
@@ -126,20 +169,6 @@ def _calibrated(votes: np.ndarray, shares: np.ndarray, labels: np.ndarray, prior
     return beta
 
 
-def _index_terms(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, limit: int) -> np.ndarray:
-    """Terms of several examples whose presence goes with the label most (chi-square), ascending."""
-    terms, where = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
-    of = np.repeat(labels, [len(c[0]) for c in counts])
-    ones, zeros = (np.bincount(where[of == y], minlength=len(terms)).astype(float) for y in (1, 0))
-    n1, n0 = np.sum(labels == 1), np.sum(labels == 0)
-    both = ones + zeros
-    away = both * (n1 + n0 - both)
-    chi = (ones * (n0 - zeros) - zeros * (n1 - ones)) ** 2 / np.maximum(away, 1)
-    usable = np.flatnonzero(both >= min(_MIN_EXAMPLES, max(1, len(labels) // 8)))
-    best = usable[np.lexsort((terms[usable], -chi[usable]))][:limit]
-    return np.sort(terms[best])
-
-
 def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many documents each index term stands, and the number of documents. One row per term reaches the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -163,7 +192,7 @@ def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarra
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, terms: int = TERMS, k: int = K
+    docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, k: int = K
 ) -> ExampleIndex:
     """Index of the examples among `labels` (doc_id, toxic) that `learn` marks, with texts from `docs`."""
     marked = labels.filter(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -188,36 +217,46 @@ def train(
     examples.sort(key=lambda r: (r["toxic"], r["doc_id"], r["terms"]))
     y = np.array([r["toxic"] for r in examples])
     if len(set(y)) < 2:
-        none = np.zeros(0, np.uint64)
-        return ExampleIndex(none, np.zeros(0), np.zeros((0, 0, BLOCK), np.float32), np.zeros((0, 0), np.float32), np.zeros((0, BLOCK)), np.zeros(0, np.int64), prior)
+        none, zero = np.zeros(0), np.zeros(0, np.int64)
+        return ExampleIndex(zero.astype(np.uint64), none, np.zeros(1, np.int64), zero, none, np.zeros(1, np.int64), zero, none, none, np.zeros((0, BLOCK)), zero, prior)
     counts = [(np.frombuffer(r["terms"], np.int64).view(np.uint64), np.frombuffer(r["counts"], np.int64)) for r in examples]
-    chosen_terms = _index_terms(counts, y, terms)
-    df, n = _document_frequencies(docs, chosen_terms)
+    terms, where = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+    df, n = _document_frequencies(docs, terms)
     idf = np.log((1 + n) / (1 + df)) + 1e-3
-    dense = np.zeros((len(examples), len(chosen_terms)), np.float32)
-    for i, (h, c) in enumerate(counts):
-        at = np.minimum(np.searchsorted(chosen_terms, h), len(chosen_terms) - 1)
-        hit = chosen_terms[at] == h
-        dense[i, at[hit]] = (1 + np.log(c[hit])) * idf[at[hit]]
-    dense /= np.maximum(np.sqrt((dense * dense).sum(axis=1, keepdims=True)), 1e-12)
+    sizes = np.array([len(c[0]) for c in counts])
+    of = np.repeat(np.arange(len(counts)), sizes)
+    value = (1 + np.log(np.concatenate([c[1] for c in counts]))) * idf[where]
+    value /= np.maximum(np.sqrt(np.bincount(of, value * value, minlength=len(counts))), 1e-12)[of]
     # blocks of like examples have tight bounds: order by label and main term
-    main = np.argmax(dense, axis=1)
+    heaviest = np.lexsort((where, -value, of))
+    main = np.full(len(counts), -1)
+    main[of[heaviest][::-1]] = where[heaviest][::-1]
     place = np.lexsort((main, y))
-    dense, y, ids = dense[place], y[place], np.array([r["doc_id"] for r in examples])[place]
-    blocks = -(-len(dense) // BLOCK)
-    full = np.zeros((blocks * BLOCK, dense.shape[1]), np.float32)
-    full[: len(dense)] = dense
-    postings = np.ascontiguousarray(full.reshape(blocks, BLOCK, -1).transpose(0, 2, 1))
+    new = np.empty(len(place), np.int64)
+    new[place] = np.arange(len(place))
+    y, ids = y[place], np.array([r["doc_id"] for r in examples])[place]
+    blocks = -(-len(y) // BLOCK)
     marks = np.full(blocks * BLOCK, -1, np.int64)
     marks[: len(y)] = y
+    example = new[of]
+    order = np.lexsort((example, where))
+    term, example, value = where[order], example[order], value[order].astype(np.float32)
+    start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)]))
+    first = np.searchsorted(term[start], np.arange(len(terms) + 1))
+    ones, zeros = int(np.sum(y == 1)), int(np.sum(y == 0))
+    have = [np.bincount(term[y[example] == x], minlength=len(terms)) for x in (0, 1)]
     index = ExampleIndex(
-        chosen_terms, idf, postings, np.ascontiguousarray(postings.max(axis=2).T), marks.reshape(blocks, BLOCK), ids, prior
+        terms, idf, first, example[start] // BLOCK, np.maximum.reduceat(value, start), np.append(start, len(term)), example, value,
+        _odds(have[1], have[0], ones, zeros), marks.reshape(blocks, BLOCK), ids, prior,
     )
-    votes, shares = np.zeros(len(dense)), np.zeros(len(dense))
+    # each example is judged by the others: a term of its own is not known, and it counts for no odds
+    known = have[0] + have[1] > 1
+    votes, shares, odds = np.zeros(len(y)), np.zeros(len(y)), np.zeros(len(y))
     for i, e in enumerate(place):
-        at, weight, shares[i] = index.query(*counts[e])
+        at, weight, shares[i] = index.query(*counts[e], known)
         votes[i] = index.vote(*index.nearest(at, weight, k, skip=i))
-    index.curve = _calibrated(votes, shares, y, prior)
+        odds[i] = _odds(have[1][at] - y[i], have[0][at] - 1 + y[i], ones - y[i], zeros - 1 + y[i]).sum()
+    index.curve = _calibrated(votes, shares, odds, y, prior)
     return index
 
 
@@ -234,7 +273,7 @@ def scored(docs: DataFrame, index: ExampleIndex, keep: list[str], k: int = K) ->
             for i, text in enumerate(batch.column(len(keep)).to_pylist()):
                 at, weight, share = index.query(*term_counts(text))
                 found, cosine = index.nearest(at, weight, k)
-                score[i] = index.score(index.vote(found, cosine), share, len(found))
+                score[i] = index.score(index.vote(found, cosine), share, float(index.odds[at].sum()), len(found))
                 evidence.append(index.ids[found[:3]].tolist())
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch([*columns, pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], names=names)

@@ -45,6 +45,26 @@ def test_held_out(spark):
     assert np.mean(np.array(ones) >= 0.5) > 0.95 and np.mean(np.array(zeros) >= 0.5) < 0.02
 
 
+def test_many_rare_insults(spark):
+    draw = random.Random(4)
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = int(i % 5 == 0)
+        w = [f"w{draw.randint(0, 300)}" for _ in range(draw.randint(20, 60))]
+        for _ in range(6 * toxic):
+            w.insert(draw.randrange(len(w)), f"insult{draw.randint(0, 700)}")
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    index = toxicity.train(docs, labels, learn_row(F.col("doc_id"), 5, 0))
+    learned = [t for i, t in rows if i in set(index.ids.tolist())]
+    assert set(index.terms.tolist()) == {h for t in learned for h in toxicity.term_counts(t)[0].tolist()}
+    rows = toxicity.scored(docs, index, ["doc_id"]).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 5 = 0").collect()
+    ones, zeros = ([r.score for r in rows if r.toxic == y] for y in (1, 0))
+    assert np.mean(np.array(ones) >= 0.5) > 0.8 and np.mean(np.array(zeros) >= 0.5) < 0.05
+
+
 def test_odd_rows(spark):
     docs, labels = made(spark)
     learn = learn_row(F.col("doc_id"), 5, 0)
