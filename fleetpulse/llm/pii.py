@@ -3,7 +3,8 @@
 Four kinds follow fixed patterns and are always reported (base spans). A fifth, `secret`
 (credentials and other keys of a person), has no single pattern, so it is learned without labels:
 
-1. candidates are long runs of key characters that hold a digit;
+1. labelers propose candidates: the value after a key name, of any length and characters; runs of 16
+   key characters or more, also with / + . =, of any length; loose shapes of phone and account numbers;
 2. labelers (shape, gazetteer of key names, context, make-up of the run, and a negative one for
    addresses and paths) vote yes, no or abstain on each;
 3. expectation-maximisation over the vote patterns of all documents estimates how reliable each
@@ -22,6 +23,7 @@ repeated ids; without candidates nothing is added; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,28 +103,76 @@ def base_spans(text: str) -> list[Span]:
 
 
 # candidates and their labelers; votes are 1 (yes), 0 (no), 2 (abstains)
-_RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}")
+# base64 and dotted keys: the same with / + . = in it
+_WIDE_RUN = re.compile(r"(?<![A-Za-z0-9_/+.=-])[A-Za-z0-9_/+.=-]{16,}")
+_UPPER, _LOWER = re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+# digits in groups, with or without two letters before them, as in phone and account numbers
+_NUMBER = re.compile(r"(?<![A-Za-z0-9.,+-])(?:[A-Z]{2})?\(?[0-9]{2,}(?:[\x20()/-]{1,2}[A-Z]{0,4}[0-9]+)*(?![A-Za-z0-9])")
 # fixed values: usual names of credentials
 _KEY_NAMES = re.compile(
     r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)[\"']?\s*(?:=|:|is)?\s*[\"']?$"
 )
+_NAMED = re.compile(
+    r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)[\"']?[\x20\t]*[=:][\x20\t]*(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"',;]+))"
+)
+# fixed values: usual names of phone and account numbers
+_NUMBER_NAMES = re.compile(r"(?i)(?:phone|tel|telephone|mobile|cell|fax|call|iban|account|acct|konto|ssn|passport)\.?(?:[\x20_-]?(?:no|nr|number)\.?)?[\"']?\s*(?:=|:|is|#)?\s*[\"']?$")
 _SHAPE = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{16,}|sk[-_][A-Za-z0-9_-]{16,}|[0-9a-f]{16,}|[0-9A-F]{16,}")
 _PATH = re.compile(r"(?:https?:|www\.|[/\\])[^\s\"']*$")
 
 
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
-    taken = [(s, e) for _, s, e in base]
+    """Spans that a labeler proposes, by start; of overlapping proposals the first in this order stays:
+    value after a key name, wide run of mixed characters outside a path, key run, number."""
+    taken = _Taken((s, e) for _, s, e in base)
+    found = []
+    for m in _NAMED.finditer(text):
+        found.append(m.span(m.lastindex))
+    for m in _WIDE_RUN.finditer(text):
+        start, end = m.start(), m.start() + len(m.group().rstrip("."))
+        run = text[start:end]
+        mixed = _UPPER.search(run) and _LOWER.search(run) and _DIGIT.search(run)
+        if mixed and any(c in run for c in "/+.=") and run[0] not in "/." and not _PATH.search(text[max(0, start - _CONTEXT) : start]):
+            found.append((start, end))
+    # a run of letters only is a word unless its case is mixed inside it
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        if _DIGIT.search(m.group()) and not any(s < end and start < e for s, e in taken):
-            yield start, end
+        run = m.group()
+        if _DIGIT.search(run) or _UPPER.search(run, 1) and _LOWER.search(run):
+            found.append(m.span())
+    for m in _NUMBER.finditer(text):
+        if 7 <= len(_digits(m.group())) <= 34:
+            found.append(m.span())
+    yield from sorted(s for s in found if taken.add(*s))
+
+
+class _Taken:
+    """Spans that do not overlap, apart from the first ones."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes a span if it is free."""
+        i = bisect_left(self.ends, start + 1)
+        if start >= end or i < len(self.starts) and self.starts[i] < end:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
 
 
 def _votes(run: str, before: str) -> tuple[int, ...]:
     digits = sum(c.isdigit() for c in run) / len(run)
     return (
         1 if _SHAPE.fullmatch(run) and digits < 1 else 2,
-        1 if _KEY_NAMES.search(before) else 2,
+        1 if _KEY_NAMES.search(before) or (digits > 0.3 and _NUMBER_NAMES.search(before)) else 2,
         1 if before.rstrip("\"' ")[-1:] in ("=", ":") else (0 if before[-1:] in "/.\\@" and before else 2),
         1 if 0.1 <= digits <= 0.9 and len(set(run)) >= 8 else 0,
         0 if _PATH.search(before) else 2,
@@ -210,7 +260,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> SpanModel | None:
         for batch in batches:
             patterns, features = [], []
             for text in batch.column(0).to_pylist():
-                if text and _DIGIT.search(text):
+                if text:
                     for start, end in candidates(text, base_spans(text)):
                         votes = _votes(text[start:end], text[max(0, start - _CONTEXT) : start])
                         patterns.append(pattern_of(votes))
@@ -234,7 +284,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> SpanModel | None:
 
 def all_spans(text: str, base: list[Span], model: SpanModel | None) -> list[Span]:
     """Base spans and the candidates that the classifier takes."""
-    if model is None or not _DIGIT.search(text):
+    if model is None:
         return base
     more = [
         ("secret", s, e)

@@ -61,6 +61,34 @@ def test_reliabilities_are_recovered():
     assert np.mean(called == truth) > 0.95
 
 
+def test_labelers_propose_spans():
+    key = "aB3" * 50
+    cases = {
+        f"x {key} y": key,
+        'password = "hunter2" y': "hunter2",
+        "pwd=correcthorse y": "correcthorse",
+        'secret: "p w/ö+." y': "p w/ö+.",
+        "k wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY y": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        "t eyJhbGciOi1.eyJzdWIiOiIx+a=.SflKxwRJSM. y": "eyJhbGciOi1.eyJzdWIiOiIx+a=.SflKxwRJSM",
+        "n AbcdEfghIjklMnopQrst y": "AbcdEfghIjklMnopQrst",
+        "call (319) 555-5132 now": "(319) 555-5132",
+        "iban DE89 3704 0044 0532 0130 00 y": "DE89 3704 0044 0532 0130 00",
+    }
+    for text, want in cases.items():
+        assert want in [text[s:e] for s, e in pii.candidates(text, [])], text
+    for text in ("a word internationalization y", "in 1999 or 2024", "see 10.5 and 1,000,000"):
+        assert not list(pii.candidates(text, [])), text
+
+
+def test_proposed_keys_are_decided(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    keys = ["aB3x" * 40, "hunter2x", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEX4MPLEKEY"]
+    rows = [(10**6 + i, f'note password="{k}" y') for i, k in enumerate(keys)]
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in pii.redacted(docs, pii.train(docs)).filter("doc_id >= 1000000").collect()}
+    assert set(got.values()) == {'note password="<SECRET>" y'}
+
+
 def test_given_documents_and_odd_rows(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
     extra = [(None, "mail a.b@c.de"), (90_001, None), (90_001, ""), (90_002, 'x password="a8f3c0de77b1aa90" y'), (90_003, "Donaudampfschifffahrtsgesellschaft2 https://x.y/abcdefghij0123456789abcd " * 2), (90_004, "word " * 40_000 + "+1 (319) 555-5132")]
