@@ -220,12 +220,15 @@ def nearest(
                 x, q = x.reshape(len(some), -1), q.reshape(len(asked), -1)
                 ids = some.field("ids").to_pylist()
                 near = q @ x.T
-                # a few more than k, then exact sums that do not depend on the place in the block
-                top = np.argpartition(-near, k + 8, axis=1)[:, : k + 8] if len(x) > k + 8 else np.tile(np.arange(len(x)), (len(q), 1))
-                exact = np.einsum("ij,ikj->ik", q, x[top])
+                # all that rounding may put among the first k + 1, then exact sums that do not depend on the place in the block
+                nth = min(k + 1, len(x))
+                least = np.partition(near, len(x) - nth, axis=1)[:, len(x) - nth]
+                margin = 4e-16 * x.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
                 out = []
-                for key, places, scores in zip(asked.field("query").to_pylist(), top.tolist(), exact.tolist(), strict=True):
-                    found = heapq.nsmallest(k + 1, ((-s, n) for p, s in zip(places, scores, strict=True) for n in ids[p]))
+                for key, one, products, border in zip(asked.field("query").to_pylist(), q, near, least - 2 * margin, strict=True):
+                    top = np.flatnonzero(products >= border)
+                    exact = np.einsum("j,kj->k", one, x[top])
+                    found = heapq.nsmallest(k + 1, ((-s, n) for p, s in zip(top.tolist(), exact.tolist(), strict=True) for n in ids[p]))
                     out += [(key, n, -s) for s, n in found]
                 columns = zip(*out, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.float64())

@@ -68,3 +68,11 @@ def test_float_vectors_of_one_kind(spark):
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
     got = collect(ann.nearest(df, F.col("vec_id") % 20 == 0))
     assert [n for n, _ in got[0]] == list(range(1, 21)) and [n for n, _ in got[20]] == list(range(20))
+
+
+def test_many_ties_at_the_border(spark):
+    draw = np.random.default_rng(6)
+    rows = [(0, [1.0] + [0.0] * 9)] + [(int(n), [1.0, *draw.normal(size=9).tolist()]) for n in draw.permutation(np.arange(1, 2001))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collect(ann.nearest(df, F.col("vec_id") == 0, share=9.0))
+    assert [n for n, _ in got[0]] == [n for _, n in brute(rows, rows[:1], ann.K)[0]]
