@@ -88,14 +88,14 @@ def boundaries(codes: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int,
     return out
 
 
-def tiles(codes: np.ndarray, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def tiles(codes: np.ndarray, min_words: int = MIN_WORDS, base_octaves: int = BASE_OCTAVES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(scale, first word, words, octaves, boundaries): overlapping tiles that can be solved by themselves.
 
     Tiles of a scale have bodies of four of its widest steps, one step before and three after them.
     """
     by_scale: dict[int, list[tuple[int, np.ndarray]]] = {}
     for octave, at in boundaries(codes, min_words):
-        by_scale.setdefault(max(octave, BASE_OCTAVES - 1), []).append((octave, at))
+        by_scale.setdefault(max(octave, base_octaves - 1), []).append((octave, at))
     for scale, tests in by_scale.items():
         step = 1 << scale
         octave = np.concatenate([np.full(len(at), o) for o, at in tests])
@@ -166,6 +166,8 @@ def _screened(docs: DataFrame, key: str, text: str, min_words: int, digest: bool
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     tile = pa.struct([("scale", pa.int32()), ("first", pa.int64()), ("words", pa.binary()), ("octaves", pa.binary()), ("at", pa.binary())])
 
+    base_octaves = BASE_OCTAVES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
@@ -175,7 +177,7 @@ def _screened(docs: DataFrame, key: str, text: str, min_words: int, digest: bool
                     words = WORDS.findall(t or "")
                     pieces = [
                         {"scale": s, "first": f, "words": w.astype("<i4").tobytes(), "octaves": o.astype("<i4").tobytes(), "at": b.astype("<i8").tobytes()}
-                        for s, f, w, o, b in tiles(word_codes(words), min_words)
+                        for s, f, w, o, b in tiles(word_codes(words), min_words, base_octaves)
                     ]
                     n.append(len(words))
                     kept.append(None if pieces else _shown(words, digest))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, langid, mixing, periodic, pii, sketch, substring, toxicity
+from . import ann, audit, bpe, chat, jaccard, langid, mixing, periodic, pii, sketch, substring, toxicity
 from .common import WORD, learn_row
 
 
@@ -138,6 +138,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"))
+
+
 def _with_period(doc_id: Column, text: Column) -> Column:
     """The text; in every tenth document by crc32 of the id, its words repeat with a period from some word on."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -173,6 +177,43 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+OP13_SQL = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM given
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), cells AS (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sums AS (
+  SELECT lang, source, sum(c) AS n FROM cells GROUP BY lang, source
+), sources AS (
+  SELECT g.lang, g.source, coalesce(sums.n, 0) AS n, coalesce(langs.v, 0) AS v, langs.n AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM given) g LEFT JOIN sums USING (lang, source) LEFT JOIN langs ON langs.lang = g.lang
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (s.n + s.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.total + 1)) // (s.lang_n + s.v)::HUGEINT AS q
+  FROM sources s JOIN kept k ON k.lang = s.lang LEFT JOIN cells c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term GROUP BY x.lang, x.source, y.source
+  ) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -185,5 +226,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
-SQL = {"op10_chat_formatting": OP10_SQL}
+SQL = {"op10_chat_formatting": OP10_SQL, "op13_source_divergence": OP13_SQL}

@@ -82,7 +82,7 @@ def test_tiles_hold_all_runs():
         p = draw.randint(1, 20)
         words += [words[-1 - (i % p) % len(words)] for i in range(draw.randint(0, 60))]
         pieces = {}
-        for _, first, part, octaves, at in periodic.tiles(np.array(words), least):
+        for _, first, part, octaves, at in periodic.tiles(np.array(words), least, draw.randint(1, 6)):
             for q, low, high in periodic.tile_pieces(first, part, octaves, at, least):
                 pieces.setdefault(q, []).append((low, high))
         for s, n, q in brute(words, least):
