@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, chat, jaccard, langid, mixing, periodic, pii, sketch, substring, toxicity
+from . import ann, audit, bpe, chat, jaccard, langid, minmax, mixing, periodic, pii, sketch, substring, toxicity
 from .common import WORD, learn_row
 
 
@@ -138,6 +138,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.linked(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(table(spark, sf_dir, "documents"))
 
@@ -177,6 +182,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT doc_id, len(s) AS n_shingles, min(reached.b) AS component_id, doc_id = min(reached.b) AS kept
+FROM sets JOIN reached ON reached.a = doc_id GROUP BY doc_id, len(s)
+"""
+
 OP13_SQL = r"""
 WITH given AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -226,6 +252,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_minmax_dedup": op12_minmax_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
-SQL = {"op10_chat_formatting": OP10_SQL, "op13_source_divergence": OP13_SQL}
+SQL = {"op10_chat_formatting": OP10_SQL, "op12_minmax_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}

@@ -20,6 +20,7 @@ SHAPES = {
     "op9": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op11": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op13": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
