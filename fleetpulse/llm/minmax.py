@@ -9,10 +9,12 @@ band and minima apart from maxima; sets that share a band are compared. With 36
 a pair at the threshold 0.85 is missed with probability (1 - 0.85^5)^36, less than 1 in 10^9.
 
 Equal sets, told by 128 bits, are one point. Only groups are wanted, so no bucket is expanded
-into all its pairs: points are compared with the least point of one of their buckets, then with those
-of their other buckets from which they are still apart, then points of one bucket that belong to
-different components with one another, in blocks, where the signatures' estimate leaves out pairs that are
-no links (below 0.85 by eight standard errors). A text moves once for each pair that is confirmed.
+into all its pairs: points are compared with the hub of one of their buckets, then with the hubs of
+their other buckets from which they are still apart, then points of one bucket that belong to
+different components with one another, in blocks. There the shingles that a point has in common with any
+other component, and the slots that both sets fill, bound what two points can share, and the signatures'
+estimate leaves out pairs that are no links (below 0.85 by eight standard errors). A text moves once for
+each pair that is confirmed.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing
 and are their own component; fewer than three words are one shingle; repeated rows link unless empty;
@@ -99,6 +101,31 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
+def slots(shingles: np.ndarray) -> np.ndarray:
+    """Bits of the slots that a set fills, 16 to 32 slots for each shingle; half as many by `folded`."""
+    count = 1 << (max(4, len(shingles)) * 16 - 1).bit_length()
+    filled = np.zeros(count, np.uint8)
+    filled[(mixed(shingles) & np.uint64(count - 1)).astype(np.int64)] = 1
+    return np.packbits(filled).view(np.uint64)
+
+
+def folded(filled: np.ndarray, words: int) -> np.ndarray:
+    """Slots of a set or of many (rows) brought to so many 64-bit words."""
+    while filled.shape[-1] > words:
+        half = filled.shape[-1] // 2
+        filled = filled[..., :half] | filled[..., half:]
+    return filled
+
+
+def most_shared(a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Most shingles that a set shares with each of many, by their slots: slots filled by both, and the lesser of
+    the shingles that stand in a slot beside another."""
+    words = min(a.shape[-1], b.shape[-1])
+    a, b = folded(a, words), folded(b, words)
+    beside = np.minimum(n_a - int(np.bitwise_count(a).sum()), n_b - np.bitwise_count(b).sum(axis=1, dtype=np.int64))
+    return np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + beside
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
     """(row, id, n, mark1, mark2, signature, text) of every row; signature and text are null for empty sets."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -130,7 +157,7 @@ def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _buckets(points: DataFrame) -> DataFrame:
-    """(key, point, low) of all buckets with two points at least; `low` is the least of them."""
+    """(key, point) of all buckets with two points at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -142,7 +169,20 @@ def _buckets(points: DataFrame) -> DataFrame:
 
     keys = points.select("point", "signature").mapInArrow(run, "key long, point long")
     shared = keys.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).filter("low < high")
-    return keys.join(shared.select("key", "low"), "key")
+    return keys.join(shared.select("key"), "key", "left_semi")
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(point, hub, met): every point with the hubs of its buckets, and how many buckets they share so.
+
+    The hub of a bucket is its point that meets the most others in all its buckets: what many copies
+    were made from meets more of them than any of the copies.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    degree = buckets.join(sizes, "key").groupBy("point").agg(F.sum("size").alias("degree"))
+    hubs = buckets.join(degree, "point").groupBy("key").agg(F.max(F.struct("degree", F.negative("point").alias("back"))).alias("of"))
+    hubs = hubs.select("key", (-F.col("of.back")).alias("hub"))
+    return buckets.join(hubs, "key").filter("point != hub").groupBy("point", "hub").agg(F.count("*").alias("met"))
 
 
 def _confirmed(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -181,17 +221,62 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.filter("label_a != label_b").select("a", "b")
 
 
-def _bucket_pairs(buckets: DataFrame, points: DataFrame, label: DataFrame) -> DataFrame:
-    """(a, b) of points of one bucket and different components that their signatures do not tell apart.
+def _able(mixed: DataFrame, points: DataFrame, held: DataFrame) -> DataFrame:
+    """(point, n, shared, signature, slots) of those points of (key, point, label) that a link to another label can have.
+
+    `shared` counts the shingles of a point that also stand under another label; two sets of different
+    labels have no more in common than the lesser of their counts.
+    """
+    spots = mixed.select("point", "label").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            point, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, raw in texts_of(batch, 2):
+                shingles = shingle_set(raw).view(np.int64)
+                columns = (shingles, np.full(len(shingles), point[i]), np.full(len(shingles), label[i]))
+                yield pa.record_batch([pa.array(c) for c in columns], names=["shingle", "point", "label"])
+
+    parts = held.join(spots, "point").select("point", "label", "text").mapInArrow(run, "shingle long, point long, label long")
+    spread = parts.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    shared = parts.join(spread.select("shingle"), "shingle", "left_semi").groupBy("point").agg(F.count("*").alias("shared"))
+    able = shared.join(points.select("point", "n", "signature"), "point").filter(100 * F.col("shared") >= PERCENT * F.col("n"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [None] * batch.num_rows
+            for i, raw in texts_of(batch, 4):
+                marks[i] = slots(shingle_set(raw)).tobytes()
+            yield pa.record_batch([*batch.columns[:4], pa.array(marks, pa.binary())], names=[*batch.schema.names[:4], "slots"])
+
+    able = able.join(held, "point").select("point", "n", "shared", "signature", "text")
+    return able.mapInArrow(mark, "point long, n long, shared long, signature binary, slots binary")
+
+
+def _bucket_pairs(buckets: DataFrame, points: DataFrame, held: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b) of points of one bucket and different components that may be links: by the shingles they can
+    have in common, and by the estimate of their signatures.
 
     In each bucket the component with the most points is the base; all other points, in pages, meet
-    all points of the bucket, in pages too.
+    all points of the bucket, in pages too. A pair is given in the first band it shares.
     """
     known = buckets.join(label, F.col("point") == F.col("node"), "left").select("key", "point", F.coalesce("label", "point").alias("label"))
+
+    def several(df: DataFrame) -> DataFrame:
+        # in a bucket of two both met already
+        of = df.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("all_points"))
+        return df.join(of.filter("low < high and all_points > 2").select("key", "all_points"), "key")
+
+    mixed = settled(several(known).drop("all_points"), "mixed")
+    able = settled(_able(mixed, points, held), "able")
+    known = several(mixed.join(able.select("point", "n", "shared"), "point"))
+    # a partner has as many shingles as the least set of the bucket at least
+    least = known.groupBy("key").agg(F.min("n").alias("least"))
+    known = known.join(least, "key").filter(100 * F.col("shared") >= PERCENT * (F.col("n") + F.greatest("least", "shared") - F.col("shared")))
+    known = settled(known.select("key", "point", "label"), "known")
     counts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
     of = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("base"), F.sum("n").alias("all_points"), F.count("*").alias("labels"))
-    # in a bucket of two both met already
-    of = of.filter("labels > 1 and all_points > 2").select(
+    of = of.filter("labels > 1").select(
         "key",
         F.col("base.label").alias("base"),
         F.ceil(F.col("all_points") / PAGE_ROWS).cast("int").alias("pages"),
@@ -206,18 +291,26 @@ def _bucket_pairs(buckets: DataFrame, points: DataFrame, label: DataFrame) -> Da
     whole = known.select(
         "key", stray_pages.alias("i"), F.expr("cast(pmod(mark, pages) as int)").alias("j"), F.lit(False).alias("stray"), "point", "label"
     )
-    dealt = strays.unionByName(whole).join(points.select("point", "n", "signature"), "point")
+    dealt = strays.unionByName(whole).join(able, "point")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     floor = least_estimate()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ("key", "i", "j")):
-            stray, point, label, n = (t.column(c).to_numpy() for c in ("stray", "point", "label", "n"))
+            stray, point, label, n, shared = (t.column(c).to_numpy() for c in ("stray", "point", "label", "n", "shared"))
             signed, rest = _signatures(t.column("signature")), np.flatnonzero(~stray)
+            keys, bucket = band_keys(signed), t.column("key")[0].as_py()
+            filled = [np.frombuffer(x, np.uint64) for x in t.column("slots").to_pylist()]
             for i in np.flatnonzero(stray):
-                alike = 100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i])
-                at = rest[alike & (label[rest] != label[i])]
+                most = np.minimum(shared[rest], shared[i])
+                at = rest[(label[rest] != label[i]) & (100 * most >= PERCENT * (n[rest] + n[i] - most))]
                 at = at[estimate(signed[at], signed[i]) >= floor]
+                for words in {len(filled[j]) for j in at}:
+                    part = np.array([j for j in at if len(filled[j]) == words])
+                    most = most_shared(filled[i], n[i], np.stack([filled[j] for j in part]), n[part])
+                    at = np.setdiff1d(at, part[100 * most < PERCENT * (n[part] + n[i] - most)], assume_unique=True)
+                same = keys[at] == keys[i]
+                at = at[keys[i].view(np.int64)[np.argmax(same, axis=1)] == bucket]
                 if len(at):
                     yield pa.record_batch(
                         [pa.array(np.maximum(point[at], point[i])), pa.array(np.minimum(point[at], point[i]))], names=["a", "b"]
@@ -250,16 +343,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     some = buckets.select("point").distinct()
     held = settled(rows.select(F.col("row").alias("point"), "text").join(some, "point", "left_semi"), "held")
 
-    # the least point of the bucket that a point meets most often, then the least ones of its other buckets
-    stars = buckets.filter("point > low").groupBy("point", "low").agg(F.count("*").alias("met"))
-    best = stars.groupBy("point").agg(F.max(F.struct("met", F.negative("low").alias("back"))).alias("best"))
+    # first the hub that a point meets most often, then those of its other buckets
+    stars = settled(_stars(buckets), "stars")
+    best = stars.groupBy("point").agg(F.max(F.struct("met", F.negative("hub").alias("back"))).alias("best"))
     first = settled(best.select(F.col("point").alias("a"), (-F.col("best.back")).alias("b")), "first")
     links = settled(_confirmed(first, held), "links")
-    stars = stars.select(F.col("point").alias("a"), F.col("low").alias("b"))
+    stars = stars.select(F.col("point").alias("a"), F.col("hub").alias("b"))
     second = settled(_apart(stars.join(first, ["a", "b"], "left_anti"), components(links)), "second")
     links = links.unionByName(settled(_confirmed(second, held), "links"))
-    tried = stars.unionByName(first)
-    third = _bucket_pairs(buckets, points, settled(components(links), "label")).join(tried, ["a", "b"], "left_anti")
+    tried = first.unionByName(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    third = _bucket_pairs(buckets, points, held, settled(components(links), "label")).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(settled(_confirmed(settled(third, "third"), held), "links"))
     label = settled(components(links), "label")
     forget(buckets, held, first, second)

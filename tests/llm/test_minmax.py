@@ -110,3 +110,14 @@ def test_pairs_with_one_hub(spark):
     pairs = spark.createDataFrame([(k, 0) for k in range(1, 300)], "a long, b long")
     found = minmax._confirmed(pairs, held).collect()
     assert len(found) == sum(minmax.similar(*(minmax.shingle_set(np.frombuffer(made[k][1].encode(), np.uint8)) for k in (0, i))) for i in range(1, 300))
+
+
+def test_slots_bound_what_sets_share():
+    draw = np.random.default_rng(8)
+    for _ in range(200):
+        whole = np.unique(draw.integers(0, 2**63, draw.integers(1, 600)).astype(np.uint64))
+        sets = [whole[draw.random(len(whole)) < draw.uniform(0.3, 1)] for _ in range(2)]
+        a, b = (s if len(s) else whole for s in sets)
+        most = minmax.most_shared(minmax.slots(a), len(a), minmax.slots(b)[None], np.array([len(b)]))[0]
+        shared = len(np.intersect1d(a, b))
+        assert shared <= most <= shared + 3 + len(whole) // 8
