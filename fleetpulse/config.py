@@ -73,6 +73,6 @@ class TrainConfig:
     folds: int = 3
     train_fraction: float = 0.8
     seed: int = 42
-    tol: float = 1e-8
+    tol: float = 1e-6
     parallelism: int = 8
-    solver: str = "ml"  # one pyspark.ml fit per model; or "joint": all models advance in shared passes
+    auc_bins: int = 16_384  # cells of the score histograms of the search

@@ -3,10 +3,11 @@
 Each model is an L1 logistic regression on robust-scaled features with balanced class
 weights; C is searched exhaustively by stratified cross-validation on ROC-AUC. Scaler
 and weights belong to the searched model, so they are fitted per fold, all from shared
-passes. The models are fitted one by one with the pyspark.ml estimator from a few driver
-threads (`solver="ml"`), or together (`solver="joint"`, see grid_fit); what the joint solver
-has not finished within `max_iter` passes is fitted by the estimator. A model that reaches
-`max_iter` there too is reported as not converged.
+passes. The rows of a search are written once with their fold, and each training set is cached
+in as few partitions as its rows need: an optimizer step is a job over all of them. Models are
+fitted with the pyspark.ml estimator from a few driver threads. A penalty at or above the
+largest gradient at zero gives the zero model, which needs no fit; only the chosen C is refitted
+on all rows. A model that reaches `max_iter` is reported as not converged.
 
 The penalised objective is sum(w * logloss) * C + |b|_1 with the intercept penalised
 too. The pyspark.ml estimator minimises mean logloss + regParam * |b|_1, which is the
@@ -23,11 +24,13 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LabelSpec, Series, TrainConfig
@@ -37,7 +40,6 @@ from ..operators import evaluate, rows
 from ..operators.quantiles import robust_scale_stats
 from ..operators.series import settled
 from ..operators.split import TEST, TRAIN, chronological_split, stratified_folds, stratified_split
-from .grid_fit import FitTask, fit_grid, score_grid
 
 # The published search settings.
 RISK_TRAINING = TrainConfig(grid=tuple(logspace(-5, 7, 50)), max_iter=3000, target_recall=0.765)
@@ -46,6 +48,8 @@ MODE_TRAINING = TrainConfig(grid=tuple(logspace(-2, 2, 20)), max_iter=5000, targ
 
 FULL = "full"
 BIAS = "__bias"
+FOLD = "__fold"
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,7 @@ class SetStats:
 class Trained:
     model: LinearModel
     best_c: float
-    search: DataFrame  # (c, mean_auc, converged: in every fold)
+    search: DataFrame  # (c, mean_auc, auc_bound: its error bound, converged: in every fold)
     report: DataFrame  # one row of metrics on the evaluation split
     pipeline: PipelineModel
 
@@ -169,42 +173,108 @@ def pipeline_model(model: LinearModel) -> PipelineModel:
     )
 
 
-def fit_all(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    fold: str,
-    stats: dict[str, SetStats],
-    config: TrainConfig,
-) -> dict[tuple[str, float], tuple[LinearModel, bool]]:
-    """Every (training set, C) model and whether it converged, the refit on all rows included."""
-    sets = {FULL: None, **{f"fold{k}": k for k in range(config.folds)}}
-    wanted = [(s, v) for s in sets for v in config.grid]
-    models = {}
-    if config.solver == "joint":
-        tasks = [
-            FitTask(sets[s], stats[s].centers, stats[s].scales, stats[s].weights, float(v)) for s, v in wanted
-        ]
-        found, done = fit_grid(df, features, label, fold, tasks, config.max_iter, config.tol)
-        models = {
-            (s, v): (LinearModel(f"{s}/{v}", tuple(features), tuple(map(float, b[:-1])), stats[s].centers,
-                                 stats[s].scales, float(b[-1])), True)
-            for (s, v), b, ok in zip(wanted, found, done)
-            if ok
-        }
-    with ThreadPoolExecutor(config.parallelism) as pool:
-        for s, k in sets.items():
-            left = [v for v in config.grid if (s, v) not in models]
-            if not left:
-                continue
-            rows_in = df if k is None else df.where(c(fold) != k)
-            data = _estimator_input(rows_in, features, label, stats[s])
-            data = data.persist(StorageLevel.MEMORY_AND_DISK)
-            fitted = pool.map(lambda v: fit_logistic(data, v, stats[s].rows, config), left)
+def gradients_at_zero(
+    df: DataFrame, features: Sequence[str], label: str, sets: dict[str, Column], stats: dict[str, SetStats]
+) -> dict[str, float]:
+    """Largest |gradient| of the mean loss of the zero model, for every training set, from one pass."""
+    sums = []
+    for s, inside in sets.items():
+        weight = F.when(c(label) == 1, F.lit(-0.5 * stats[s].weights[1])).otherwise(F.lit(0.5 * stats[s].weights[0]))
+        for i, z in enumerate(_scaled(features, stats[s])):
+            sums.append((F.sum(F.when(inside, weight * z)) / stats[s].rows).alias(f"{s}/{i}"))
+    found = df.agg(*sums).first()
+    return {s: max(abs(found[f"{s}/{i}"] or 0.0) for i in range(len(features))) for s in sets}
+
+
+def _fit_set(
+    rows_in: DataFrame, features: Sequence[str], label: str, stats: SetStats, steepest: float, grid: Sequence[float], name: str, config: TrainConfig
+) -> dict[float, tuple[LinearModel, bool]]:
+    """(model, whether it converged) of one training set for every C of `grid`."""
+    zero = LinearModel(name, tuple(features), (0.0,) * len(features), stats.centers, stats.scales, 0.0)
+    # at this penalty and above the zero model is the optimum
+    found = {v: (replace(zero, name=f"{name}/{v}"), True) for v in grid if 1.0 / (v * stats.rows) >= steepest}
+    left = [v for v in grid if v not in found]
+    if not left:
+        return found
+    data = _estimator_input(rows_in, features, label, stats).coalesce(max(1, -(-stats.rows // ROWS_PER_TASK)))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # the largest C takes the most steps and goes first
+        left = sorted(left, reverse=True)
+        with ThreadPoolExecutor(config.parallelism) as pool:
+            fitted = pool.map(lambda v: fit_logistic(data, v, stats.rows, config), left)
             for v, m in zip(left, fitted):
-                models[s, v] = to_linear_model(f"{s}/{v}", features, stats[s], m), converged(m, config)
-            data.unpersist()
-    return models
+                found[v] = to_linear_model(f"{name}/{v}", features, stats, m), converged(m, config)
+    finally:
+        data.unpersist()
+    return found
+
+
+def _scores(models: dict[int, Sequence[LinearModel]]):
+    """(fold, slopes, shifts): log-odds of all models of a fold as one matrix product."""
+    out = []
+    for k, found in models.items():
+        slopes = np.array([[b / s for b, s in zip(m.coefficients, m.scales)] for m in found])
+        shift = [m.intercept - sum(b * x / s for b, x, s in zip(m.coefficients, m.centers, m.scales)) for m in found]
+        out.append((k, slopes, np.array(shift)))
+    return out
+
+
+def fold_aucs(
+    df: DataFrame, features: Sequence[str], label: str, fold: str, models: dict[int, Sequence[LinearModel]], bins: int
+) -> dict[tuple[int, int], tuple[float | None, float]]:
+    """(AUC, error bound) of each (fold, model): every row is scored by the models that did not see it.
+
+    Scores are counted in `bins` cells between their least and greatest value, per model and in the
+    tasks, so that only histograms are shuffled. Rows of one cell count as ties: the bound is half of the
+    pairs that share a cell.
+    """
+    weights = _scores(models)
+    inputs = [c(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    prepared = df.select(c(fold).cast("int").alias("fold"), c(label).cast("int").alias("y"), *inputs)
+
+    def scored(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        folds, y = batch.column(0).to_numpy(), batch.column(1).to_numpy() == 1
+        x = np.column_stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(len(features))])
+        for k, slopes, shift in weights:
+            mine = folds == k
+            if mine.any():
+                yield k, y[mine], x[mine] @ slopes.T + shift
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, _, eta in scored(batch):
+                n = eta.shape[1]
+                yield pa.record_batch(
+                    [pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(eta.min(axis=0)), pa.array(eta.max(axis=0))],
+                    names=["fold", "model", "low", "high"],
+                )
+
+    limits = prepared.mapInArrow(ranges, "fold int, model int, low double, high double").groupBy("fold", "model")
+    limits = {(r[0], r[1]): (r[2], r[3]) for r in limits.agg(F.min("low"), F.max("high")).collect()}  # one row per model
+
+    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, y, eta in scored(batch):
+                for m in range(eta.shape[1]):
+                    low, high = limits[k, m]
+                    cell = np.zeros(len(y), np.int64) if high <= low else ((eta[:, m] - low) * (bins / (high - low))).astype(np.int64)
+                    found = np.bincount(2 * np.clip(cell, 0, bins - 1) + y, minlength=2 * bins)
+                    totals[k, m] = totals[k, m] + found if (k, m) in totals else found
+        for (k, m), found in totals.items():
+            cell = np.flatnonzero(found.reshape(bins, 2).any(axis=1))
+            pairs = found.reshape(bins, 2)[cell]
+            columns = (np.full(len(cell), k, np.int32), np.full(len(cell), m, np.int32), cell, pairs[:, 0], pairs[:, 1])
+            yield pa.record_batch([pa.array(x) for x in columns], names=["fold", "model", "cell", "negatives", "positives"])
+
+    counts = prepared.mapInArrow(histograms, "fold int, model int, cell long, negatives long, positives long")
+    counts = counts.groupBy("fold", "model", "cell").agg(F.sum("negatives").alias("n"), F.sum("positives").alias("p"))
+    below = F.sum("n").over(Window.partitionBy("fold", "model").orderBy("cell")) - F.col("n")
+    won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy("fold", "model").agg(
+        F.sum("won").alias("won"), F.sum(F.col("n") * F.col("p") / 2).alias("ties"), (F.sum("n") * F.sum("p")).cast("double").alias("pairs")
+    )
+    return {(r["fold"], r["model"]): (r["won"] / r["pairs"], r["ties"] / r["pairs"]) if r["pairs"] else (None, 0.0) for r in won.collect()}
 
 
 def search_c(
@@ -212,17 +282,20 @@ def search_c(
     features: Sequence[str],
     label: str,
     fold: str,
-    models: dict[tuple[str, float], LinearModel],
-    n: int,
+    models: dict[tuple[str, float], tuple[LinearModel, bool]],
     config: TrainConfig,
-) -> DataFrame:
-    """(c, mean_auc) over the folds: every row is scored by the models that did not see it."""
-    by_fold = {k: [models[f"fold{k}", v] for v in config.grid] for k in range(config.folds)}
-    scored = score_grid(df, features, label, fold, by_fold, config.grid)
-    by = ["c", "fold"]
-    aucs = evaluate.roc_auc(evaluate.curve(scored, "y", "p", by=by, at_most=n), by=by)
-    # ties between C values are real; the order of summation must not decide them
-    return aucs.groupBy("c").agg(F.round(F.avg("roc_auc"), 12).alias("mean_auc"))
+) -> list[tuple[float, float | None, float, bool]]:
+    """(c, mean_auc over the folds, its error bound, converged in every fold) of every C."""
+    by_fold = {k: [models[f"fold{k}", v][0] for v in config.grid] for k in range(config.folds)}
+    aucs = fold_aucs(df, features, label, fold, by_fold, config.auc_bins)
+    table = []
+    for i, v in enumerate(config.grid):
+        mine = [aucs[k, i] for k in by_fold if aucs.get((k, i), (None,))[0] is not None]
+        # ties between C values are real; the order of summation must not decide them
+        mean = round(sum(a for a, _ in mine) / len(mine), 12) if mine else None
+        bound = sum(e for _, e in mine) / len(mine) if mine else 0.0
+        table.append((v, mean, bound, all(models[f"fold{k}", v][1] for k in by_fold)))
+    return sorted(table)
 
 
 def train_model(
@@ -238,25 +311,30 @@ def train_model(
 ) -> Trained:
     """Search, refit on all training rows, and evaluate on the test rows.
 
-    Reads `df` in every optimizer pass: pass a persisted table without missing features.
+    Pass a table without missing features that is cheap to read twice.
     """
     rows.check_no_leakage(features, labels)
     used = dict.fromkeys([*series.keys, series.order, *series.tiebreak, *features, label, split])
     kept = df.select(*cols(used))
-    train = stratified_folds(kept.where(c(split) == TRAIN), label, series, config.folds, "__fold")
-    sets = {FULL: F.lit(True), **{f"fold{k}": c("__fold") != k for k in range(config.folds)}}
-    stats = set_statistics(train, features, label, sets, exact)
-    models = fit_all(train, features, label, "__fold", stats, config)
-    linear = {k: m for k, (m, _) in models.items()}
-    found = search_c(train, features, label, "__fold", linear, stats[FULL].rows, config)
-    good = {v: all(models[s, v][1] for s in sets) for v in config.grid}
-    table = sorted((r["c"], r["mean_auc"], good[r["c"]]) for r in found.collect())  # one row per C
-    best = max(table, key=lambda r: (-1.0 if r[1] is None else r[1], -r[0]))[0]
-    model = replace(linear[FULL, best], name=name)
-    search = df.sparkSession.createDataFrame(table, "c double, mean_auc double, converged boolean")
+    folded = stratified_folds(kept.where(c(split) == TRAIN), label, series, config.folds, FOLD)
+    with stored(folded.select(*cols([*features, label, FOLD]))) as train:
+        sets = {FULL: F.lit(True), **{f"fold{k}": c(FOLD) != k for k in range(config.folds)}}
+        stats = set_statistics(train, features, label, sets, exact)
+        steepest = gradients_at_zero(train, features, label, sets, stats)
+        models = {}
+        for k in range(config.folds):
+            s = f"fold{k}"
+            found = _fit_set(train.where(sets[s]), features, label, stats[s], steepest[s], config.grid, s, config)
+            models |= {(s, v): m for v, m in found.items()}
+        table = search_c(train, features, label, FOLD, models, config)
+        best = max(table, key=lambda r: (-1.0 if r[1] is None else r[1], -r[0]))[0]
+        found = _fit_set(train, features, label, stats[FULL], steepest[FULL], [best], FULL, config)
+    model, done = found[best]
+    model = replace(model, name=name)
+    search = df.sparkSession.createDataFrame(table, "c double, mean_auc double, auc_bound double, converged boolean")
     test = kept.where(c(split) == TEST).select(c(label).alias("y"), model.probability().alias("p"))
     report = evaluate.operating_report(evaluate.curve(test, "y", "p"), config.target_recall)
-    report = report.select(F.lit(name).alias("model"), F.lit(best).alias("c"), "*", F.lit(models[FULL, best][1]).alias("converged"))
+    report = report.select(F.lit(name).alias("model"), F.lit(best).alias("c"), "*", F.lit(done).alias("converged"))
     return Trained(model, best, search, report, pipeline_model(model))
 
 
