@@ -11,7 +11,7 @@ from ..config import CRITICAL, HEALTHY, UNKNOWN_MODE, WARNING, AlertConfig, Seri
 from ..functions.columns import c, cols, logit, sigmoid
 from ..functions.linear import LinearModel
 from .features import SERVE, add_features, feature_names, lookback_rows
-from .series import decided, drop_slices, streaks, with_lookback
+from .series import decided, drop_slices, running_sums, streaks, with_lookback
 
 RISK, SMOOTH, STREAK, LEVEL, STEP = "risk", "smooth", "streak", "alert_level", "step"
 
@@ -143,3 +143,26 @@ def prediction_listing(timeline: DataFrame, series: Series) -> DataFrame:
     return timeline.select(*cols(series.keys), STEP, "risk_prob", LEVEL, "failure_type")
 
 
+def alert_episodes(timeline: DataFrame, series: Series) -> DataFrame:
+    """Unbroken stretches of alerts of a series: (keys, first_step, last_step, start, end, readings, peak_risk,
+    worst_level, failure_type).
+
+    Along an episode the step grows as the running count of alerts does, so their difference names
+    it; the count crosses slice borders of a hot series. `failure_type` is the diagnosis at the
+    peak, the earliest one of several. A key's episodes are combined before the shuffle.
+    """
+    alerting = F.col(LEVEL) != HEALTHY
+    counted = drop_slices(running_sums(timeline, series, {"__alerts": alerting.cast("long")}))
+    marked = counted.where(alerting).withColumn("__episode", F.col(STEP) - F.col("__alerts"))
+    found = marked.groupBy(*cols(series.keys), "__episode").agg(
+        F.min(STEP).alias("first_step"),
+        F.max(STEP).alias("last_step"),
+        F.min(c(series.order)).alias("start"),
+        F.max(c(series.order)).alias("end"),
+        F.count(F.lit(1)).alias("readings"),
+        F.max("risk_prob").alias("peak_risk"),
+        F.max(F.when(F.col(LEVEL) == CRITICAL, CRITICAL).otherwise(F.lit(None))).alias("__critical"),
+        F.max_by("failure_type", F.struct("risk_prob", -F.col(STEP))).alias("failure_type"),
+    )
+    worst = F.coalesce("__critical", F.lit(WARNING)).alias("worst_level")
+    return found.select(*cols(series.keys), "first_step", "last_step", "start", "end", "readings", "peak_risk", worst, "failure_type")

@@ -19,7 +19,7 @@ from ..operators import alerts, calibrate, evaluate, profile, quantiles, rows, s
 from ..operators.features import SERVE, TRAIN, feature_names, rolling_features
 from ..operators.series import decided, drop_slices, row_index
 from ..sources.sensors import read_sensor_table, scratch_path, snapshot_once, write_feature_table
-from ..streaming import monitor
+from ..streaming import monitor, rollup
 from . import sqltext as q
 from . import training
 from .tables import (
@@ -448,6 +448,30 @@ def _(spark, sf_dir):
     )
 
 
+EPISODES_SQL = timeline_sql(""", cnt AS (
+    SELECT *, sum(CASE WHEN alert_level <> 'HEALTHY' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step) AS alerts FROM tl)
+  SELECT user_id, CAST(min(step) AS BIGINT) AS first_step, CAST(max(step) AS BIGINT) AS last_step, min(ts) AS "start", max(ts) AS "end",
+    count(*) AS readings, max(risk_prob) AS peak_risk,
+    CASE WHEN count(*) FILTER (alert_level = 'CRITICAL') > 0 THEN 'CRITICAL' ELSE 'WARNING' END AS worst_level,
+    first(failure_type ORDER BY risk_prob DESC, step) AS failure_type
+  FROM cnt WHERE alert_level <> 'HEALTHY' GROUP BY user_id, step - alerts""")
+
+
+def _episodes(df: DataFrame, series: Series) -> DataFrame:
+    return alerts.alert_episodes(df, series).withColumn("peak_risk", c("peak_risk") + 0.0)
+
+
+@query("alert_episodes", EPISODES_SQL)
+def _(spark, sf_dir):
+    return _episodes(timeline(spark, sf_dir), EVENT_SERIES)
+
+
+@query("alert_episodes_sliced", EPISODES_SQL)
+def _(spark, sf_dir):
+    """The same with every series cut into slices of a few rows."""
+    return _episodes(timeline(spark, sf_dir), replace(EVENT_SERIES, hot_rows=20))
+
+
 # ---- curves --------------------------------------------------------------------
 
 ROC = """cn AS (SELECT risk AS threshold, count(*) FILTER (failure = 1) AS pos, count(*) FILTER (failure = 0) AS neg
@@ -883,4 +907,107 @@ def _(spark, sf_dir):
     stream = monitor.alert_stream(df, EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, CONFIG)
     path = scratch_path(spark, "stream")
     monitor.write_stream(stream, f"{path}/out", f"{path}/checkpoint", drain=True).awaitTermination()
-    return flat(spark.read.parquet(f"{path}/out"))
+    return flat(monitor.on_time(spark.read.parquet(f"{path}/out")))
+
+
+# readings arrive in three parts, up to 300 places later than they were taken
+ARRIVALS = """arr AS (SELECT event_id, user_id, ts,
+    CAST(floor((event_id + event_id * 7919 % 300) * 3.0 / (SELECT max(event_id) + 301 FROM events)) AS INTEGER) AS part,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+  past AS (SELECT a.event_id FROM arr a WHERE EXISTS (
+    SELECT 1 FROM arr b WHERE b.user_id = a.user_id AND b.part < a.part AND b.place > a.place))"""
+
+
+def arrived(spark, sf_dir, **options) -> DataFrame:
+    """The stream's output over all parts, one run for each; every run goes on with the stored state."""
+    monitor.use_rocksdb(spark)
+    path = scratch_path(spark, "arrivals")
+    df = events(spark, sf_dir)
+    last = df.agg(F.max("event_id")).first()[0]
+    part = F.floor((F.col("event_id") + F.col("event_id") * 7919 % 300) * 3.0 / (last + 301))
+    for i in range(3):
+        df.where(part == i).write.mode("append").parquet(f"{path}/in")
+        stream = monitor.alert_stream(
+            spark.readStream.schema(df.schema).parquet(f"{path}/in"), EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, CONFIG, **options
+        )
+        monitor.write_stream(stream, f"{path}/out", f"{path}/checkpoint", drain=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+_MODE_NAMES = ", ".join(m.name for m in MODE_MODELS)
+_NO_SCORE = ", ".join(["NULL"] * (len(TIMELINE_COLUMNS) - 2 + len(MODE_MODELS)))
+_ON_TIME = timeline_sql(f"""SELECT {", ".join(TIMELINE_COLUMNS)}, {_MODE_NAMES}, false AS late FROM tl
+  UNION ALL SELECT event_id, user_id, {_NO_SCORE}, true FROM events WHERE event_id IN (SELECT event_id FROM past)""")
+_ON_TIME = _ON_TIME.replace("FROM events)", "FROM events WHERE event_id NOT IN (SELECT event_id FROM past))", 1)
+
+
+def _with_late(df: DataFrame) -> DataFrame:
+    return df.select(*TIMELINE_COLUMNS, *[rounded(F.col("details")[m.name], 4).alias(m.name) for m in MODE_MODELS], "late")
+
+
+@query("stream_late_rows", _ON_TIME.replace("WITH ev AS", f"WITH {ARRIVALS}, ev AS", 1))
+def _(spark, sf_dir):
+    """Readings behind the last scored one of their series come out as late; the rest is the timeline of the others."""
+    return _with_late(arrived(spark, sf_dir, chunk_rows=16))
+
+
+DELAY = 100_000
+
+
+@query("stream_held_rows", timeline_sql(f"""SELECT {", ".join(TIMELINE_COLUMNS)}, {_MODE_NAMES}, false AS late
+  FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS newest FROM tl) WHERE epoch(ts) <= epoch(newest) - {DELAY}"""))
+def _(spark, sf_dir):
+    """With a delay longer than any reading is late, nothing is late and all that is old enough is in the timeline."""
+    return _with_late(arrived(spark, sf_dir, delay=DELAY))
+
+
+def replayed(spark, sf_dir) -> DataFrame:
+    """The timeline as a stream of files."""
+    path = scratch_path(spark, "timeline")
+    timeline(spark, sf_dir).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def _drained(spark, stream: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "rollup")
+    monitor.write_stream(stream, f"{path}/out", f"{path}/checkpoint", drain=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+_HEALTH_SQL = """count(*) AS readings, count(*) FILTER (alert_level = 'WARNING') AS warnings,
+    count(*) FILTER (alert_level = 'CRITICAL') AS criticals, max(risk_prob) AS peak_risk, max(streak) AS longest_streak"""
+# the watermark has milliseconds
+_WATERMARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM tl)"
+
+
+@query("stream_health_rollup", timeline_sql(f""", wd AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) AS "start" FROM tl)
+  SELECT user_id, "start", "start" + INTERVAL 6 HOURS AS "end", {_HEALTH_SQL} FROM wd
+  WHERE "start" + INTERVAL 6 HOURS <= {_WATERMARK} GROUP BY ALL"""))
+def _(spark, sf_dir):
+    """Tumbling windows that the watermark has closed."""
+    done = _drained(spark, rollup.health_rollup(replayed(spark, sf_dir), EVENT_SERIES, "6 hours", "10 minutes"))
+    return done.withColumn("peak_risk", c("peak_risk") + 0.0)
+
+
+@query("stream_sessions", timeline_sql(f""", br AS (
+    SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM tl WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  isl AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM br)
+  SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 12 HOURS AS "end", {_HEALTH_SQL} FROM isl GROUP BY user_id, island
+  HAVING max(ts) + INTERVAL 12 HOURS <= {_WATERMARK}"""))
+def _(spark, sf_dir):
+    """Sessions that the watermark has closed."""
+    done = _drained(spark, rollup.sessions(replayed(spark, sf_dir), EVENT_SERIES, "12 hours", "10 minutes"))
+    return done.withColumn("peak_risk", c("peak_risk") + 0.0)
+
+
+@query("stream_lead_times", timeline_sql("""SELECT a.user_id, a.ts AS alert, a.alert_level, f.ts AS failure,
+    (epoch_us(f.ts) - epoch_us(a.ts)) / 1e6 AS lead_seconds
+  FROM tl a JOIN ev f ON f.user_id = a.user_id AND f.failure = 1 AND f.ts >= a.ts AND f.ts <= a.ts + INTERVAL 1 DAY
+  WHERE a.alert_level <> 'HEALTHY'"""))
+def _(spark, sf_dir):
+    """Alerts joined with the failures of the day after them, both as streams."""
+    df = events(spark, sf_dir).where("failure = 1").select("user_id", "ts")
+    path = scratch_path(spark, "failures")
+    df.write.parquet(path)
+    failures = spark.readStream.schema(df.schema).parquet(path)
+    return _drained(spark, rollup.lead_times(replayed(spark, sf_dir), failures, EVENT_SERIES, "1 day", "10 minutes"))

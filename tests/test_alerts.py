@@ -134,3 +134,19 @@ def test_coefficient_table_round_trip(spark):
     )
     constant = LinearModel("none", ("x",), (0.0,), (0.0,), (1.0,), 0.0)
     assert spark.range(1).select(constant.probability().alias("p")).first()["p"] == 0.5
+
+
+def test_episodes(spark):
+    levels = ["WARNING", "HEALTHY", "WARNING", "CRITICAL", "CRITICAL", "HEALTHY", "HEALTHY", "WARNING"]
+    risks = [0.6, 0.1, 0.6, 0.9, 0.9, 0.2, 0.1, 0.7]
+    rows = [(k, 10 + i, i + 1, r, x, f"m{i}" if x != "HEALTHY" else None) for k in ("a", "b") for i, (x, r) in enumerate(zip(levels, risks))]
+    df = spark.createDataFrame(rows, "`the key` string, t int, step long, risk_prob double, alert_level string, failure_type string")
+    want = [(1, 1, 10, 10, 1, 0.6, "WARNING", "m0"), (3, 5, 12, 14, 3, 0.9, "CRITICAL", "m3"), (8, 8, 17, 17, 1, 0.7, "WARNING", "m7")]
+    for hot in (None, 2, 1):
+        series = Series(("the key",), "t", hot_rows=hot)
+        got = alerts.alert_episodes(df, series).orderBy("the key", "first_step").collect()
+        assert [tuple(r) for r in got] == [(k, *w) for k in ("a", "b") for w in want]
+    one = df.where("`the key` = 'a'").drop("the key")
+    assert [tuple(r) for r in alerts.alert_episodes(one, Series((), "t", hot_rows=3)).orderBy("first_step").collect()] == want
+    assert alerts.alert_episodes(df.where("step < 0"), Series(("the key",), "t")).count() == 0
+    assert alerts.alert_episodes(df.where("alert_level = 'HEALTHY'"), Series(("the key",), "t", hot_rows=2)).count() == 0

@@ -1,10 +1,12 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse.config import Series
 from fleetpulse.operators.alerts import alert_timeline
-from fleetpulse.plans.tables import EVENT_SENSORS, EVENT_SERIES, MODE_MODELS, RISK_MODEL, events
-from fleetpulse.streaming import monitor
+from fleetpulse.plans.tables import CONFIG, EVENT_SENSORS, EVENT_SERIES, MODE_MODELS, RISK_MODEL, events
+from fleetpulse.streaming import monitor, rollup
 
 COLUMNS = ["event_id", "user_id", "ts", "step", "risk_prob", "alert_level", "failure_type", "streak", "details"]
 
@@ -41,3 +43,167 @@ def test_stream_equals_batch(spark, sf, tmp_path, pieces):
 def test_stream_needs_keys(spark, sf):
     with pytest.raises(ValueError, match="keys"):
         monitor.alert_stream(events(spark, sf), EVENT_SENSORS, Series((), "ts"), RISK_MODEL)
+
+
+class FakeState:
+    """A value or map state in memory."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema, ttl=None):
+        return self.states.setdefault(name, FakeState())
+
+    def getMapState(self, name, key, value, ttl=None):
+        return self.states.setdefault(name, FakeState())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, now=0):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def processor(handle, **options):
+    p = monitor.AlertProcessor(list(EVENT_SENSORS), EVENT_SERIES, RISK_MODEL, list(MODE_MODELS), CONFIG, 5, **options)
+    p.init(handle)
+    return p
+
+
+def readings(n, seed=0):
+    draw = np.random.default_rng(seed)
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(draw.integers(0, 3, n)), unit="s")
+    return pd.DataFrame({"user_id": 7, "ts": ts, "event_id": np.arange(n), "value": draw.normal(60, 40, n), "k": draw.normal(50, 20, n)})
+
+
+def run(p, frames, clock=Clock()):
+    out = list(p.handleInputRows((7,), iter(frames), clock))
+    return pd.concat(out) if out else pd.DataFrame()
+
+
+def comparable(df):
+    return [(r.event_id, r.step, r.risk_prob, r.alert_level, r.failure_type, r.streak, tuple(r.details.items())) for r in df.itertuples()]
+
+
+@pytest.mark.parametrize("times", ["spread", "bunched"])
+def test_backlog_of_a_series_is_scored_in_bounded_pieces(times):
+    rows = readings(2000)
+    if times == "bunched":  # nearly all rows within a short time
+        rows.loc[100:1800, "ts"] = rows["ts"][100] + pd.to_timedelta(np.arange(1701) // 20, unit="ms")
+        rows = rows.sort_values(["ts", "event_id"]).reset_index(drop=True)
+    whole = run(processor(FakeHandle()), [rows])
+    sizes = []
+    handle = FakeHandle()
+    p = processor(handle, chunk_rows=100)
+    score = p._score
+    p._score = lambda batch: sizes.append(len(batch)) or score(batch)
+    shuffled = rows.sample(frac=1, random_state=1)
+    got = run(p, [shuffled[i : i + 40] for i in range(0, 2000, 40)])
+    assert comparable(got) == comparable(whole) and not got["late"].any()
+    assert max(sizes) <= 140 and len(sizes) < 120
+    assert not handle.states["pages"].map and not handle.states["index"].exists()
+
+
+def test_late_rows_do_not_move_the_state():
+    rows = readings(60)
+    p = processor(FakeHandle())
+    first = run(p, [rows[:30]])
+    second = run(p, [pd.concat([rows[10:12], rows[30:], rows[5:6].assign(ts=pd.NaT)])])
+    late = second[second["late"]]
+    assert sorted(late["event_id"]) == [5, 10, 11] and late["step"].isna().all()
+    on_time = pd.concat([first, second[~second["late"].astype(bool)]])
+    assert comparable(on_time) == comparable(run(processor(FakeHandle()), [rows]))
+
+
+def test_delay_holds_rows_and_idle_series_are_flushed():
+    rows = readings(300, 3)
+    handle, clock = FakeHandle(), Clock(1000)
+    p = processor(handle, delay=1000.0, idle=60, chunk_rows=50)
+    draw = np.random.default_rng(1)
+    order = np.argsort(np.arange(300) + draw.integers(0, 40, 300))
+    got = []
+    for i in range(0, 300, 60):
+        got.append(run(p, [rows.iloc[order[i : i + 60]]], clock))
+        clock.now += 5000
+        assert len(handle.timers) == 1
+    assert all(g.empty for g in got) and handle.states["index"].exists()
+    flushed = pd.concat(list(p.handleExpiredTimer((7,), clock, None)))
+    assert comparable(flushed) == comparable(run(processor(FakeHandle()), [rows]))
+    assert not any(s.exists() or s.map for s in handle.states.values())
+    again = run(p, [rows[:1]], clock)
+    assert again.empty and handle.states["series"].exists()
+
+    p = processor(FakeHandle(), delay=20.0, chunk_rows=50)
+    parts = [run(p, [rows.iloc[order[i : i + 60]]]) for i in range(0, 300, 60)]
+    parts = pd.concat(parts)
+    newest = rows["ts"].max() - pd.Timedelta(seconds=20)
+    done = run(processor(FakeHandle()), [rows[~rows["event_id"].isin(parts["event_id"][parts["late"].astype(bool)])]])
+    done = done[done["ts"] <= newest]
+    assert comparable(parts[~parts["late"].astype(bool)]) == comparable(done)
+
+
+def test_delay_needs_times(spark, sf):
+    df = events(spark, sf).withColumn("ts", F.col("ts").cast("string"))
+    with pytest.raises(ValueError, match="delay"):
+        monitor.alert_stream(df, EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, delay=5.0)
+
+
+def test_rollups_on_batches_of_times_with_and_without_zone(spark):
+    rows = [(1, "2024-01-01 00:10:00", "WARNING", 0.7, 3), (1, "2024-01-01 00:50:00", "CRITICAL", 0.9, 4), (1, "2024-01-01 02:00:00", "HEALTHY", 0.1, 0)]
+    series = Series(("id",), "t")
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(rows, "id int, t string, alert_level string, risk_prob double, streak long").withColumn("t", F.col("t").cast(kind))
+        hours = rollup.health_rollup(df, series, "1 hour").orderBy("start").collect()
+        assert [(r.readings, r.warnings, r.criticals, r.peak_risk, r.longest_streak) for r in hours] == [(2, 1, 1, 0.9, 4), (1, 0, 0, 0.1, 0)]
+        assert [r.readings for r in rollup.sessions(df, series, "45 minutes").orderBy("start").collect()] == [2, 1]
+        failures = df.where("risk_prob < 0.2").select("id", "t")
+        leads = rollup.lead_times(df, failures, series, "80 minutes").collect()
+        assert [(r.alert_level, r.lead_seconds) for r in leads] == [("CRITICAL", 4200.0)]
+
+
+def test_watermark_drops_what_is_behind(spark, tmp_path):
+    """A window that the watermark has closed stays as it was given out."""
+    series, out = Series(("id",), "t"), str(tmp_path / "out")
+    schema = "id int, t timestamp_ntz, alert_level string, risk_prob double, streak long"
+    for part in (["00:10", "05:00"], ["00:20", "09:00"]):
+        rows = [(1, f"2024-01-01 {x}:00") for x in part]
+        df = spark.createDataFrame(rows, "id int, t string").selectExpr("id", "cast(t as timestamp_ntz) t", "'HEALTHY' alert_level", "0.1D risk_prob", "0L streak")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = rollup.health_rollup(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), series, "1 hour", "10 minutes")
+        monitor.write_stream(stream, out, str(tmp_path / "checkpoint"), drain=True).awaitTermination()
+    got = [(r.start.hour, r.readings) for r in spark.read.parquet(out).orderBy("start").collect()]
+    assert got == [(0, 1), (5, 1)]
