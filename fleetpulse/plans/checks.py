@@ -18,7 +18,8 @@ from ..functions.linear import coefficient_table, models_from_table
 from ..operators import alerts, calibrate, evaluate, profile, quantiles, rows, split
 from ..operators.features import SERVE, TRAIN, feature_names, rolling_features
 from ..operators.series import decided, drop_slices, row_index
-from ..sources.sensors import read_sensor_table, scratch_path, snapshot_once, write_feature_table
+from ..sources import models
+from ..sources.sensors import inline_readings, read_sensor_table, scratch_path, snapshot_once, write_feature_table
 from ..streaming import monitor, rollup
 from . import sqltext as q
 from . import training
@@ -875,6 +876,124 @@ def _(spark, sf_dir):
     return training.metrics_table(trained, "check").drop("created")
 
 
+# what training promises: all test rows are judged, the recall is reached, every C is tried and ends, the model is optimal
+@query(
+    "train_risk_model_checks",
+    f"""WITH {q.EVENTS}, n AS (SELECT count(*) AS n FROM ev),
+    ts AS (SELECT failure FROM (SELECT failure, row_number() OVER (ORDER BY ts, event_id) AS place FROM ev), n WHERE place > floor(0.8 * n))
+    SELECT count(*) AS test_rows, count(*) FILTER (failure = 1) AS test_positives, true AS recall_reached,
+      CAST({len(training.RISK_TRAINING.grid)} AS BIGINT) AS tried, true AS all_converged, true AS optimal FROM ts""",
+)
+def _(spark, sf_dir):
+    df = served(spark, sf_dir)
+    trained = training.train_risk_model(df, FEATURES, ONE_SERIES, LabelSpec("failure", (), ("event_type",)))
+    train = split.chronological_split(df, ONE_SERIES).where("split = 'train'")
+    gap = training.optimality_gap(train, trained.model, "failure", trained.best_c)
+    search = trained.search.collect()  # one row per C
+    return trained.report.select(
+        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("test_rows"),
+        (F.col("tp") + F.col("fn")).alias("test_positives"),
+        (F.col("recall") >= training.RISK_TRAINING.target_recall).alias("recall_reached"),
+        F.lit(len(search)).cast("long").alias("tried"),
+        F.lit(all(r["converged"] for r in search)).alias("all_converged"),
+        F.lit(gap < 1e-3).alias("optimal"),
+    )
+
+
+# ---- registry, guards and manifests --------------------------------------------
+
+
+@query("registry_round_trip", f"WITH {SCORED} SELECT event_id, risk, true AS newest, true AS stale_refused FROM sc")
+def _(spark, sf_dir):
+    """Risk by the current version of a stored model, saved twice; other settings are refused."""
+    path, df = scratch_path(spark, "registry"), served(spark, sf_dir)
+    config = training.RISK_TRAINING
+    report = evaluate.operating_report(evaluate.curve(scored(spark, sf_dir), "failure", "risk"), config.target_recall)
+    report = report.select(F.lit("risk").alias("model"), F.lit(1.0).alias("c"), "*", F.lit(True).alias("converged"))
+    for model in (replace(RISK_MODEL, intercept=0.0), RISK_MODEL):
+        search = spark.createDataFrame([(1.0, 0.5, 0.0, True)], "c double, mean_auc double, auc_bound double, converged boolean")
+        made = training.Trained(model, 1.0, search, report, training.pipeline_model(model))
+        newest = models.save_model(spark, path, made, config)
+    try:
+        models.load_model(spark, path, "risk", FEATURES, replace(config, folds=5))
+        refused = False
+    except models.StaleModel:
+        refused = True
+    current = models.versions(spark, path, "risk").first()["version"] == newest
+    stored = models.load_pipeline(spark, path, "risk").transform(df)
+    return stored.select("event_id", F.round("probability", 6).alias("risk"), F.lit(current).alias("newest"), F.lit(refused).alias("stale_refused"))
+
+
+@query(
+    "feature_manifest",
+    f"WITH {q.EVENTS}, {EVENT_FEATURES} "
+    + _union([f"SELECT CAST({i + 1} AS BIGINT) AS position, '{n}' AS feature, 'double' AS dtype, count(\"{n}\") AS \"count\" FROM f" for i, n in enumerate(FEATURES)]),
+)
+def _(spark, sf_dir):
+    df = served(spark, sf_dir)
+    listed = profile.feature_manifest(df, FEATURES)
+    return listed.join(profile.non_null_counts(df.select(*cols(FEATURES))).withColumnRenamed("column", "feature"), "feature")
+
+
+@query(
+    "leakage_guard",
+    _union([f"SELECT '{n}' AS \"column\", count({n}) AS \"count\", {str(n == 'event_type').lower()} AS refused FROM events" for n in EVENT_COLUMNS]),
+)
+def _(spark, sf_dir):
+    """Which columns of the table may not be features when the event type decides the label."""
+    df, labels = table(spark, sf_dir, "events"), LabelSpec("failure", (), ("event_type",))
+
+    def refused(name: str) -> bool:
+        try:
+            rows.check_no_leakage(["value", name], labels)
+            return False
+        except rows.SchemaMismatch:
+            return True
+
+    found = spark.createDataFrame([(n, refused(n)) for n in df.columns], "column string, refused boolean")
+    return profile.non_null_counts(df).join(found, "column")
+
+
+# ten readings typed in by hand, one more series beside those of the table
+INLINE = [(20.0 + 9.0 * i, 50.0 + (-1) ** i * 4.0 * i) for i in range(10)]
+
+
+def _inline_sql(sql: str) -> str:
+    given = ", ".join(f"({-i - 1}, TIMESTAMP '2024-01-01' + INTERVAL {i + 1} HOUR, -1, NULL, {v!r}::DOUBLE, {k!r}::DOUBLE, NULL)" for i, (v, k) in enumerate(INLINE))
+    return sql.replace("FROM events)", f"FROM events UNION ALL VALUES {given})", 1)
+
+
+@query("alert_timeline_with_inline_series", _inline_sql(SQL["alert_timeline"]))
+def _(spark, sf_dir):
+    typed = inline_readings(spark, INLINE, EVENT_SENSORS).select(
+        (-F.col("step")).alias("event_id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("step").cast("int"))).alias("ts"),
+        F.lit(-1).cast("long").alias("user_id"),
+        *EVENT_SENSORS,
+    )
+    both = events(spark, sf_dir).select(typed.columns).unionByName(typed)
+    return flat(alerts.alert_timeline(both, EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, CONFIG))
+
+
+_BEST_SQL = _grid_sql("SELECT * FROM gs ORDER BY round(score, 9) DESC, warning_sensitivity, diagnosis_sensitivity LIMIT 1")
+
+
+def _calibrated_sql() -> str:
+    fixed = timeline_sql(f"SELECT {', '.join(TIMELINE_COLUMNS)}, {', '.join(m.name for m in MODE_MODELS)} FROM tl")
+    zone = f"({CONFIG.critical_threshold!r}::DOUBLE * (SELECT warning_sensitivity FROM best))"
+    fixed = fixed.replace(f"{CONFIG.warning_zone!r}::DOUBLE", zone)
+    fixed = fixed.replace(f"< {CONFIG.diagnosis_sensitivity!r}::DOUBLE", "< (SELECT diagnosis_sensitivity FROM best)")
+    return fixed.replace("WITH ev AS", f"WITH best AS ({_BEST_SQL}), ev AS", 1)
+
+
+@query("alert_timeline_calibrated", _calibrated_sql())
+def _(spark, sf_dir):
+    """The timeline under the sensitivities that alert closest to the target step."""
+    best = calibrate.best_combination(calibrate.grid_scores(_first_alerts(spark, sf_dir), EVENT_SERIES))
+    config = calibrate.calibrated(CONFIG, best)
+    return flat(alerts.alert_timeline(events(spark, sf_dir), EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, config))
+
+
 # ---- sources and streams -------------------------------------------------------
 
 
@@ -910,6 +1029,28 @@ def _(spark, sf_dir):
     return flat(monitor.on_time(spark.read.parquet(f"{path}/out")))
 
 
+_HALVES = "FROM events WHERE event_id * 2 {} (SELECT max(event_id) FROM events))"
+
+
+@query(
+    "stream_state_reset",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({SQL['alert_timeline'].replace('FROM events)', _HALVES.format(side), 1)})" for side in ("<=", ">")
+    ),
+)
+def _(spark, sf_dir):
+    """Two halves of the stream, the second with a new checkpoint: it starts with empty state."""
+    monitor.use_rocksdb(spark)
+    path, df = scratch_path(spark, "reset"), events(spark, sf_dir)
+    last = df.agg(F.max("event_id")).first()[0]
+    for half, part in (("first", F.col("event_id") * 2 <= last), ("second", F.col("event_id") * 2 > last)):
+        df.where(part).write.parquet(f"{path}/{half}")
+        raw = spark.readStream.schema(df.schema).parquet(f"{path}/{half}")
+        stream = monitor.alert_stream(raw, EVENT_SENSORS, EVENT_SERIES, RISK_MODEL, MODE_MODELS, CONFIG)
+        monitor.write_stream(stream, f"{path}/out_{half}", f"{path}/checkpoint_{half}", drain=True).awaitTermination()
+    return flat(monitor.on_time(spark.read.parquet(f"{path}/out_first", f"{path}/out_second")))
+
+
 # readings arrive in three parts, up to 300 places later than they were taken
 ARRIVALS = """arr AS (SELECT event_id, user_id, ts,
     CAST(floor((event_id + event_id * 7919 % 300) * 3.0 / (SELECT max(event_id) + 301 FROM events)) AS INTEGER) AS part,

@@ -210,6 +210,26 @@ def _fit_set(
     return found
 
 
+def optimality_gap(df: DataFrame, model: LinearModel, label: str, c_value: float) -> float:
+    """How far a model is from the optimum on its training rows, from one pass; 0 at the optimum.
+
+    At the optimum the gradient of the mean loss is -penalty * sign(b) where b is not zero, and no
+    larger than the penalty where it is; the gap is the largest departure.
+    """
+    n0, n1 = df.agg(F.count_if(c(label) == 0), F.count_if(c(label) == 1)).first()
+    n = n0 + n1
+    weight = F.when(c(label) == 1, F.lit(n / (2.0 * n1))).otherwise(F.lit(n / (2.0 * n0)))
+    stats = SetStats(model.centers, model.scales, n, (0.0, 0.0))
+    error = weight * (model.probability() - c(label).cast("double"))
+    inputs = [*_scaled(model.features, stats), F.lit(1.0)]
+    found = df.agg(*[(F.sum(error * z) / n).alias(f"g{i}") for i, z in enumerate(inputs)]).first()
+    penalty = 1.0 / (c_value * n)
+    return max(
+        abs(g + penalty * (1 if b > 0 else -1)) if b else max(0.0, abs(g) - penalty)
+        for g, b in zip(found, [*model.coefficients, model.intercept])
+    )
+
+
 def _scores(models: dict[int, Sequence[LinearModel]]):
     """(fold, slopes, shifts): log-odds of all models of a fold as one matrix product."""
     out = []

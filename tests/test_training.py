@@ -135,11 +135,41 @@ def test_registry(spark, trained, tmp_path):
     second = models.load_or_train(spark, path, ["risk"], FEATURES, config, train)
     assert calls == ["risk"] and first == second == {"risk": risk.model}
     assert models.read_metrics(spark, path).count() == 1
-    assert len(models.load_pipeline(path, "risk").stages) == 1
+    assert len(models.load_pipeline(spark, path, "risk").stages) == 1
     with pytest.raises(models.StaleModel):
         models.load_model(spark, path, "risk", FEATURES[:2], config)
 
 
+def test_registry_versions(spark, trained, tmp_path, monkeypatch):
+    config, risk = trained
+    path = str(tmp_path / "models")
+    assert models.load_model(spark, path, "risk", FEATURES, config) is None
+    first = models.save_model(spark, path, risk, config)
+    newer = replace(risk, model=replace(risk.model, intercept=9.0))
+
+    def stopped(*_):
+        raise RuntimeError("the job ends before the manifest")
+
+    with monkeypatch.context() as m:
+        m.setattr(models, "metrics_table", stopped)
+        with pytest.raises(RuntimeError):
+            models.save_model(spark, path, newer, config)
+    assert models.load_model(spark, path, "risk", FEATURES, config) == risk.model
+    second = models.save_model(spark, path, newer, config)
+    assert models.load_model(spark, path, "risk", FEATURES, config).intercept == 9.0
+    assert [r["version"] for r in models.versions(spark, path, "risk").collect()] == [second, first]
+    with pytest.raises(FileNotFoundError):
+        models.load_pipeline(spark, path, "other")
+
+
+def test_optimality_gap(machines, trained):
+    config, risk = trained
+    train = machines.orderBy("t").limit(1200)
+    gap = training.optimality_gap(train, risk.model, "y", risk.best_c)
+    moved = replace(risk.model, intercept=risk.model.intercept + 0.5)
+    assert 0 <= gap < 1e-3 < training.optimality_gap(train, moved, "y", risk.best_c)
+
+
 def test_sources(spark, tmp_path):
     raw, out = str(tmp_path / "raw.csv"), str(tmp_path / "features")
     header = ",".join(sensors.MACHINE_SCHEMA.names)
