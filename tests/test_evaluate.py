@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def test_exact_quantiles(spark):
 def test_exact_quantiles_sliced_and_by_set(spark):
     df = spark.range(500).select((F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("x"), (F.col("id") % 3).alias("f")).cache()
     sets = {"all": F.lit(True), "no0": F.col("f") != 0}
-    found = {r["set"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["x"], (0.1, 0.5), sets, hot_rows=20).collect()}
+    found = {r["set"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["x"], (0.1, 0.5), sets, cells=4, finish_rows=3).collect()}
     for name, where in (("all", "true"), ("no0", "f != 0")):
         expected = df.where(where).agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5)))).first()[0]
         assert found[name] == pytest.approx(expected)
@@ -138,3 +139,36 @@ def test_profile(spark):
     assert profile.describe(df.where("false")).first()["p50"] is None
     labels = spark.createDataFrame([(0,)] * 9661 + [(1,)] * 339, "y int")
     assert round(profile.imbalance(labels, "y").first()["ratio"]) == 28
+
+
+def test_quantiles_of_hard_values(spark):
+    draw = np.random.default_rng(3)
+    x = np.concatenate([10.0 ** draw.uniform(-300, 300, 300) * draw.choice([-1, 1], 300), np.zeros(200), [-0.0, np.inf, -np.inf], draw.integers(0, 3, 400)])
+    draw.shuffle(x)
+    rows = [(i, float(v), None, float("nan") if i % 3 else float(i)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, `x [1]` double, none double, some double").repartition(5)
+    q = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    for cells, finish in ((1024, 4096), (4, 1), (2, 50)):
+        got = quantiles.exact_quantiles(df, ["x [1]", "none", "some"], q, {"all": F.lit(True), "even": F.col("i") % 2 == 0, "no": F.col("i") < 0}, cells, finish)
+        got = {(r["set"], r["column"]): r["quantiles"] for r in got.collect()}
+        assert set(got) == {(s, n) for s in ("all", "even", "no") for n in ("x [1]", "some")} and got["no", "some"] == [None] * 6
+        for tag, mine in (("all", x), ("even", x[::2])):
+            for p, value in zip(q, got[tag, "x [1]"]):
+                s, h = np.sort(mine), (len(mine) - 1) * p
+                lo, hi = s[int(np.floor(h))], s[int(np.ceil(h))]
+                finite = np.isfinite([lo, hi]).all()
+                assert not finite or value == (lo + (hi - lo) * (h - np.floor(h)) if h % 1 else lo)
+        assert got["all", "some"][-1] == max(i for i in range(len(x)) if i % 3 == 0)
+
+
+def test_quantiles_shuffle_no_values(spark):
+    """What is shuffled are counts by interval and cell."""
+    df = spark.range(5000).select((F.col("id") * 1.5).alias("x"))
+    seen = []
+    collect = quantiles._counted
+    quantiles._counted = lambda *a: seen.append([t.rows for t in a[2]]) or collect(*a)
+    try:
+        [row] = quantiles.exact_quantiles(df, ["x"], (0.5,), cells=64, finish_rows=100).collect()
+    finally:
+        quantiles._counted = collect
+    assert row["quantiles"] == [2499.5 * 1.5] and len(seen) <= 4 and seen[0] == [5000] and max(seen[-1]) <= 100
