@@ -4,15 +4,19 @@ Examples are labelled texts as TF-IDF vectors over all of their terms. The K exa
 cosine vote, weighted by nearness. The vote, the share of the text that known terms make up, and the
 log-odds of the label over all known terms, each shrunk by how sure it is (chi-square), are calibrated
 into a probability; the examples that voted are the evidence. The search is exact: postings lie in blocks of BLOCK examples with the
-greatest weight of each term in each block it stands in, blocks are taken in the order of their bound, and the
-search ends when no block can beat the K-th example found. Terms of a text that no example has
-scale all its cosines alike; they are left out of its length and enter by the share.
+greatest weight of each term in each block it stands in. Terms that stand in one example of thirty-two
+or more have their weights as whole rows instead, which are summed first, for all examples and many
+texts at once; to the greatest of these sums in a block the greatest weights of the rare terms give its
+bound. Blocks are taken in the order of their bound, and the search ends when no block can beat the K-th example
+found. Terms of a text that no example has scale all its cosines alike; they are left out of its length
+and enter by the share.
 
 Bound, a parameter: at most PER_CLASS examples of each label (by hash of the id). Document
 frequencies for IDF are counted over all documents, for every term of the examples.
 
 Defined results: null, empty and foreign texts, which share no term with an example, get the share of
-label 1 among the learn rows; an id labelled several times counts once, toxic if any label says so;
+label 1 among the learn rows; an id labelled several times counts once, toxic if any label says so, and an
+id with several texts is an example by one of them;
 null labels are not learned from; without both labels among the learn rows the score is that share
 (0 if there are none); every row gives a row, also for null and repeated ids.
 """
@@ -34,6 +38,10 @@ PER_CLASS = 1500
 K = 24
 BLOCK = 64
 _FIRST_BLOCKS = 6
+# terms in a part of the examples of 1 / _COMMON or more are rows
+_COMMON = 32
+_TEXTS = 64
+_PARTS = 64
 # a chi-square of this counts half: twice the log of about a thousand to one against a term
 _SURE = 14.0
 
@@ -75,6 +83,17 @@ class ExampleIndex:
     ids: np.ndarray
     prior: float
     curve: np.ndarray | None = None
+    common: np.ndarray | None = None  # row of each term in `rows`, -1 for terms with postings alone
+    rows: np.ndarray | None = None  # weights of common terms, terms x places
+
+    def __post_init__(self):
+        spread = self.start[self.first[1:]] - self.start[self.first[:-1]] if len(self.terms) else np.zeros(0, np.int64)
+        wide = np.flatnonzero(spread * _COMMON >= np.count_nonzero(self.labels >= 0))
+        self.common = np.full(len(self.terms), -1)
+        self.common[wide] = np.arange(len(wide))
+        self.rows = np.zeros((len(wide), self.labels.size), np.float32)
+        at = _ranges(self.start[self.first[wide]], self.start[self.first[wide + 1]]) if len(wide) else np.zeros(0, np.int64)
+        self.rows[np.repeat(np.arange(len(wide)), spread[wide]), self.example[at]] = self.value[at]
 
     @property
     def postings(self) -> np.ndarray:
@@ -100,12 +119,26 @@ class ExampleIndex:
         whole = np.sqrt(np.sum(tf * tf))
         return at, weight / length if length else weight, float(length / whole) if length else 0.0
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def summed(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Sums of the common terms of some texts, given as (terms, weights), for all examples: texts x places."""
+        dense = np.zeros((len(queries), len(self.rows)), np.float32)
+        for i, (at, weight) in enumerate(queries):
+            row = self.common[at]
+            dense[i, row[row >= 0]] = weight[row >= 0]
+        return dense @ self.rows
+
+    def nearest(
+        self, at: np.ndarray, weight: np.ndarray, k: int, skip: int = -1, summed: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of positive cosine, nearest first, ties to the first place."""
+        summed = self.summed([(at, weight)])[0] if summed is None else summed
+        rare = self.common[at] < 0
+        at, weight = at[rare], weight[rare]
         entries = _ranges(self.first[at], self.first[at + 1])
         weight = np.repeat(weight, self.first[at + 1] - self.first[at])
         block = self.block[entries]
         bounds = np.bincount(block, weight * self.block_max[entries], minlength=len(self.labels))
+        bounds = bounds + summed.reshape(self.labels.shape).max(axis=1)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         found, score = np.zeros(0, np.int64), np.zeros(0)
@@ -122,7 +155,8 @@ class ExampleIndex:
             start, end = self.start[entries[mine]], self.start[entries[mine] + 1]
             here = _ranges(start, end)
             cosine = np.bincount(self.example[here], np.repeat(weight[mine], end - start) * self.value[here], minlength=self.labels.size)
-            places = np.flatnonzero((cosine > 0) & (cosine >= least))
+            cosine = cosine + summed
+            places = np.flatnonzero(wanted.repeat(BLOCK) & (cosine > 0) & (cosine >= least))
             places = places[places != skip]
             found, score = np.concatenate([found, places]), np.concatenate([score, cosine[places]])
             best = np.lexsort((found, -score))[:k]
@@ -199,10 +233,16 @@ def train(
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class)
-    # two labels with at most per_class ids each
+    # the first of each label, found in parts and then among the first of the parts
+    marked = marked.withColumn("order", F.xxhash64("doc_id"))
+    chosen = marked.withColumn("part", F.pmod("order", F.lit(_PARTS)))
+    for keys in (["toxic", "part"], ["toxic"]):
+        order = Window.partitionBy(*keys).orderBy("order", "doc_id")
+        chosen = chosen.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).drop("nth")
+    # two labels with at most per_class ids each, an id with several texts by one of them
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("one"))
+    rows = rows.select("doc_id", F.col("one.text").alias("text"), "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,11 +310,14 @@ def scored(docs: DataFrame, index: ExampleIndex, keep: list[str], k: int = K) ->
         names = [*keep, "score", "evidence"]
         for batch in batches:
             score, evidence = np.zeros(batch.num_rows), []
-            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
-                at, weight, share = index.query(*term_counts(text))
-                found, cosine = index.nearest(at, weight, k)
-                score[i] = index.score(index.vote(found, cosine), share, float(index.odds[at].sum()), len(found))
-                evidence.append(index.ids[found[:3]].tolist())
+            for begin in range(0, batch.num_rows, _TEXTS):
+                texts = batch.column(len(keep)).slice(begin, _TEXTS).to_pylist()
+                queries = [index.query(*term_counts(t)) for t in texts]
+                summed = index.summed([(at, weight) for at, weight, _ in queries])
+                for i, (at, weight, share) in enumerate(queries):
+                    found, cosine = index.nearest(at, weight, k, summed=summed[i])
+                    score[begin + i] = index.score(index.vote(found, cosine), share, float(index.odds[at].sum()), len(found))
+                    evidence.append(index.ids[found[:3]].tolist())
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch([*columns, pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], names=names)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import toxicity
@@ -23,7 +24,9 @@ def made(spark, seed=1, n=600):
     return spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
-def test_search_is_exact(spark):
+@pytest.mark.parametrize("common", [1, 6, 32])
+def test_search_is_exact(spark, monkeypatch, common):
+    monkeypatch.setattr(toxicity, "_COMMON", common)
     docs, labels = made(spark)
     index = toxicity.train(docs, labels, learn_row(F.col("doc_id"), 5, 0), per_class=90)
     flat = index.postings.transpose(0, 2, 1).reshape(-1, len(index.terms))
@@ -79,3 +82,24 @@ def test_odd_rows(spark):
     assert toxicity.scored(docs.limit(0), toxicity.train(docs.limit(0), labels, learn), ["doc_id"]).count() == 0
     again = toxicity.train(docs.repartition(7), labels.repartition(3), learn)
     assert np.array_equal(again.curve, toxicity.train(docs, labels, learn).curve)
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs, labels = made(spark)
+    many = spark.range(500).selectExpr("7L doc_id", "concat('scum number ', id) text", "1 score")
+    learn = learn_row(F.col("doc_id"), 5, 0)
+    index = toxicity.train(docs.unionByName(many), labels, learn, per_class=40)
+    assert (index.labels >= 0).sum() <= 80 and index.ids.tolist().count(7) <= 1
+    assert len(toxicity.train(docs.unionByName(many), labels, learn).ids) == len(set(index.ids.tolist()) | set(toxicity.train(docs, labels, learn).ids.tolist()))
+
+
+def test_common_terms_as_rows_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "_COMMON", 6)
+    docs, labels = made(spark)
+    index = toxicity.train(docs, labels, learn_row(F.col("doc_id"), 5, 0))
+    texts = [r.text for r in docs.limit(60).collect()]
+    queries = [index.query(*toxicity.term_counts(t))[:2] for t in texts]
+    assert 0 < len(index.rows) < len(index.terms)
+    alone = [index.nearest(*q, 7) for q in queries]
+    together = [index.nearest(*q, 7, summed=s) for q, s in zip(queries, index.summed(queries))]
+    assert all(np.allclose(a[1], b[1], atol=1e-6) for a, b in zip(alone, together))
