@@ -99,11 +99,13 @@ def _gram_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tu
 
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> KernelModel | None:
     """Model of the rows of (doc_id, text, lang) that `learn` marks; None if there are none."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.filter(learn & F.col("lang").isNotNull()).select("doc_id", "lang")
-    ids = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("doc_id")
-    # at most per_language ids for each language
-    sample = docs.filter(learn & F.col("lang").isNotNull()).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    text = F.xxhash64("text").alias("mark")
+    rows = docs.filter(learn & F.col("lang").isNotNull()).select("doc_id", "lang", text).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
+    chosen = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).drop("nth")
+    # at most per_language rows for each language, equal ones once
+    given = docs.filter(learn & F.col("lang").isNotNull()).select("doc_id", "lang", "text", text)
+    sample = given.join(F.broadcast(chosen), ["doc_id", "lang", "mark"], "left_semi").dropDuplicates(["doc_id", "lang", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, grams, known in _gram_batches(batches, 2):
@@ -121,8 +123,10 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> K
     return fit(np.unpackbits(bits, axis=1).astype(np.float32), [r["lang"] for r in rows])
 
 
-def predicted(docs: DataFrame, model: KernelModel | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of every row with lang_pred and score (share of the predicted language)."""
+def predicted(
+    docs: DataFrame, model: KernelModel | None, keep: list[str], named: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns `keep` of every row with the predicted language and its share, under the names `named`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
     at = keep.index("text") if "text" in keep else len(keep)
@@ -137,7 +141,7 @@ def predicted(docs: DataFrame, model: KernelModel | None, keep: list[str]) -> Da
                 lang = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 score = np.where(known, shares.max(axis=1), 0.0)
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.record_batch([*columns, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.record_batch([*columns, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, *named])
 
-    schema = given.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = given.select(*keep).schema.add(named[0], "string").add(named[1], "double")
     return given.mapInArrow(run, schema)

@@ -42,3 +42,13 @@ def test_odd_rows(spark):
     none = langid.train(docs, F.lit(False))
     assert none is None and langid.predicted(docs, none, ["doc_id"]).filter("lang_pred != 'und'").count() == 0
     assert langid.predicted(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id % 3 doc_id", "concat('some words ', id % 40) text", "'en' lang")
+    sizes = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda grams, langs: sizes.append(len(langs)) or fit(grams, langs))
+    langid.train(docs, F.lit(True), per_language=25)
+    langid.train(docs, F.lit(True), per_language=1000)
+    assert sizes == [25, 120]

@@ -69,3 +69,12 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).filter("not exact").count() == 0
+
+
+def test_first_stage_without_languages_and_with_clashing_columns(spark, sf):
+    docs = spark.createDataFrame([(1, "some words here", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, sf).collect()) == [1, 4]
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), sf).count() == 0
+    given = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1.5D score", "'x' lang_pred", "doc_id mark", "7 nth")
+    kept = corpus_pipeline.identify_language(spark, given, sf)
+    assert kept.columns == given.columns and kept.filter("score = 1.5 and lang_pred = 'x'").count() == kept.count() > 150
