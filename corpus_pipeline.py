@@ -15,10 +15,15 @@ from fleetpulse.llm.queries import table, tokenizer_file
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, empty or without a letter) go; a null lang is filled."""
+    """Documents without a language (null, empty or without a letter) go; a null lang is filled.
+
+    Where no row has a lang there is nothing to learn from: texts with letters stay, with a null lang.
+    """
     model = langid.train(docs, F.lit(True))
-    named = langid.predicted(docs, model, docs.columns).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    named = langid.predicted(docs, model, docs.columns, ("__lang_pred", "__share")).filter(F.col("__lang_pred") != langid.UNKNOWN)
+    return named.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
