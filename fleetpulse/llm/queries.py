@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_file() -> str:
-    """Place of the public byte-level vocabulary; FLEETPULSE_TOKENIZERS names another folder."""
-    return os.path.join(os.environ.get("FLEETPULSE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
+    """Place of the public byte-level vocabulary."""
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
