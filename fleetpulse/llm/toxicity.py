@@ -1,15 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are labelled texts as TF-IDF vectors over all of their terms. The K examples of largest
-cosine vote, weighted by nearness. The vote, the share of the text that known terms make up, and the
-log-odds of the label over all known terms, each shrunk by how sure it is (chi-square), are calibrated
-into a probability; the examples that voted are the evidence. The search is exact: postings lie in blocks of BLOCK examples with the
-greatest weight of each term in each block it stands in. Terms that stand in one example of thirty-two
-or more have their weights as whole rows instead, which are summed first, for all examples and many
-texts at once; to the greatest of these sums in a block the greatest weights of the rare terms give its
-bound. Blocks are taken in the order of their bound, and the search ends when no block can beat the K-th example
-found. Terms of a text that no example has scale all its cosines alike; they are left out of its length
-and enter by the share.
+Examples are labelled texts as TF-IDF vectors over all of their terms, each term weighed further by how
+much it tells of the label (the squared correlation of its presence with the label among the examples).
+The K examples of largest cosine vote, weighted by nearness: their cosine times the part of the text's
+own length that tells anything. A pseudo-vote of the label's share among the examples stands against
+them, so far or weak neighbours leave the vote near that share. The vote alone is calibrated into a
+probability; the examples that voted are the evidence. Weight of the pseudo-vote and calibration come
+from cross-validation: each fold of the examples is judged by an index of the others.
+
+The search is exact: postings lie in blocks of BLOCK examples with the greatest weight of each term in
+each block it stands in. Terms that stand in one example of thirty-two or more have their weights as whole
+rows instead, which are summed first, for all examples and many texts at once; to the greatest of these
+sums in a block the greatest weights of the rare terms give its bound. Blocks are taken in the order of
+their bound, and the search ends when no block can beat the K-th example found. Terms of a text that no
+example has are left out.
 
 Bound, a parameter: at most PER_CLASS examples of each label (by hash of the id). Document
 frequencies for IDF are counted over all documents, for every term of the examples.
@@ -23,6 +27,7 @@ null labels are not learned from; without both labels among the learn rows the s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +47,9 @@ _FIRST_BLOCKS = 6
 _COMMON = 32
 _TEXTS = 64
 _PARTS = 64
-# a chi-square of this counts half: twice the log of about a thousand to one against a term
-_SURE = 14.0
+_FOLDS = 4
+# tried weights of the pseudo-vote, for each neighbour, in units of nearness
+DOUBTS = (0.0, 1e-5, 1e-4, 1e-3, 1e-2)
 
 # terms are runs of letters, digits and bytes beyond ASCII
 _BETWEEN = np.ones(256, bool)
@@ -72,17 +78,19 @@ class ExampleIndex:
 
     terms: np.ndarray  # hashes, ascending
     idf: np.ndarray
+    relevance: np.ndarray  # squared correlation of each term with the label, 0 to 1
     first: np.ndarray
     block: np.ndarray
     block_max: np.ndarray
     start: np.ndarray
     example: np.ndarray
     value: np.ndarray
-    odds: np.ndarray  # shrunk log-odds of label 1 for each term
     labels: np.ndarray  # blocks x BLOCK, -1 where there is no example
     ids: np.ndarray
     prior: float
-    curve: np.ndarray | None = None
+    k: int = K
+    doubt: float = 0.0
+    curve: np.ndarray | None = None  # factor and offset from vote to log-odds
     common: np.ndarray | None = None  # row of each term in `rows`, -1 for terms with postings alone
     rows: np.ndarray | None = None  # weights of common terms, terms x places
 
@@ -102,22 +110,18 @@ class ExampleIndex:
         dense[self.example, np.repeat(np.repeat(np.arange(len(self.terms)), np.diff(self.first)), np.diff(self.start))] = self.value
         return dense.reshape(len(self.labels), BLOCK, -1).transpose(0, 2, 1)
 
-    def query(self, hashes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-        """Index terms of a text, their weights scaled to length 1, and the weight they have in the text.
-
-        Terms that `known` marks false are taken as not in the index.
-        """
+    def query(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Index terms of a text, their weights scaled to length 1, and the part of its TF-IDF length that tells of the label."""
         at = np.searchsorted(self.terms, hashes)
         at[at == len(self.terms)] = 0
         hit = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
-        if known is not None:
-            hit &= known[at]
         at = at[hit]
-        tf = 1 + np.log(counts)
-        weight = tf[hit] * self.idf[at]
+        plain = (1 + np.log(counts[hit])) * self.idf[at]
+        weight = plain * self.relevance[at]
         length = np.sqrt(np.sum(weight * weight))
-        whole = np.sqrt(np.sum(tf * tf))
-        return at, weight / length if length else weight, float(length / whole) if length else 0.0
+        if not length:
+            return at[:0], weight[:0], 0.0
+        return at, weight / length, float(length / np.sqrt(np.sum(plain * plain)))
 
     def summed(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Sums of the common terms of some texts, given as (terms, weights), for all examples: texts x places."""
@@ -163,39 +167,48 @@ class ExampleIndex:
             found, score = found[best], score[best]
         return found, score
 
-    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, weighted by their squared cosine; the prior if there are none."""
-        if not len(found):
-            return self.prior
-        w = cosine.astype(float) ** 2
-        return float(np.sum(w * self.labels.reshape(-1)[found]) / np.sum(w))
+    def vote(self, found: np.ndarray, cosine: np.ndarray, share: float, doubt: float | None = None) -> float:
+        """Share of label 1 among the neighbours, weighted by nearness, with the pseudo-vote against them."""
+        near = cosine.astype(float) * share
+        against = self.k * (self.doubt if doubt is None else doubt)
+        if not near.sum() + against:
+            return self.share_of_ones
+        return float((near @ (self.labels.reshape(-1)[found] == 1) + against * self.share_of_ones) / (near.sum() + against))
+
+    @property
+    def share_of_ones(self) -> float:
+        return float(np.count_nonzero(self.labels == 1) / max(1, np.count_nonzero(self.labels >= 0)))
 
-    def score(self, vote: float, share: float, odds: float, neighbours: int) -> float:
-        if self.curve is None or not neighbours:
+    def score(self, found: np.ndarray, cosine: np.ndarray, share: float) -> float:
+        """Calibrated probability of label 1; the prior where there are no neighbours."""
+        if self.curve is None or not len(found):
             return self.prior
-        return float(1 / (1 + np.exp(-np.clip(_evidence(vote, share, odds) @ self.curve, -30, 30))))
+        return float(_probability(np.array(self.vote(found, cosine, share)), self.curve))
 
 
-def _evidence(vote, share, odds) -> np.ndarray:
-    return np.stack([vote, share, vote * share, odds, np.ones_like(vote)], axis=-1)
+def _relevance(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Squared correlation (phi) with the label, for terms that so many examples of either label have."""
+    both = ones + zeros
+    return (ones * (n0 - zeros) - zeros * (n1 - ones)) ** 2.0 / np.maximum(both * (n1 + n0 - both) * float(max(1, n1)) * max(1, n0), 1)
 
 
-def _odds(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Log-odds of label 1 for terms that so many examples of either label have, drawn to 0 where chi-square is small."""
-    both = ones + zeros
-    chi = (ones * (n0 - zeros) - zeros * (n1 - ones)) ** 2.0 * (n1 + n0)
-    chi /= np.maximum(both * (n1 + n0 - both) * float(max(1, n1)) * max(1, n0), 1)
-    return np.log((ones + 0.5) / (n1 + 1) * (n0 + 1) / (zeros + 0.5)) / (1 + np.exp((_SURE - np.minimum(chi, 99)) / 2))
+def _probability(votes: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(votes * curve[0] + curve[1], -30, 30)))
+
 
+def _label_weights(labels: np.ndarray, prior: float) -> np.ndarray:
+    """Weights by which the two labels stand as in all learn rows."""
+    return np.where(labels == 1, prior / np.mean(labels), (1 - prior) / np.mean(1 - labels))
 
-def _calibrated(votes: np.ndarray, shares: np.ndarray, odds: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
-    """Logistic curve from votes and odds to labels; the two labels weigh as in all learn rows."""
-    w = np.where(labels == 1, prior / np.mean(labels), (1 - prior) / np.mean(1 - labels))
-    x = _evidence(votes, shares, odds)
-    beta = np.zeros(x.shape[1])
-    penalty = 1e-2 * np.eye(len(beta))
+
+def _calibrated(votes: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
+    """Logistic curve from votes to labels."""
+    w = _label_weights(labels, prior)
+    x = np.stack([votes, np.ones_like(votes)], axis=-1)
+    beta = np.zeros(2)
+    penalty = 1e-2 * np.eye(2)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        p = _probability(votes, beta)
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (w * (labels - p)) - penalty @ beta)
         beta += step
         if np.abs(step).max() < 1e-9:
@@ -203,6 +216,41 @@ def _calibrated(votes: np.ndarray, shares: np.ndarray, odds: np.ndarray, labels:
     return beta
 
 
+def _loss(votes: np.ndarray, labels: np.ndarray, prior: float) -> float:
+    p = _probability(votes, _calibrated(votes, labels, prior))
+    return float(-np.mean(_label_weights(labels, prior) * np.log(np.where(labels == 1, p, 1 - p))))
+
+
+def _indexed(counts: list, y: np.ndarray, ids: np.ndarray, terms: np.ndarray, idf: np.ndarray, prior: float, k: int) -> ExampleIndex:
+    """Index over examples given as (term hashes, counts), for the terms of all examples."""
+    sizes = np.array([len(c[0]) for c in counts])
+    of = np.repeat(np.arange(len(counts)), sizes)
+    where = np.searchsorted(terms, np.concatenate([c[0] for c in counts]))
+    have = [np.bincount(where[y[of] == x], minlength=len(terms)) for x in (0, 1)]
+    relevance = _relevance(have[1], have[0], int(np.sum(y == 1)), int(np.sum(y == 0)))
+    value = (1 + np.log(np.concatenate([c[1] for c in counts]))) * (idf * relevance)[where]
+    value /= np.maximum(np.sqrt(np.bincount(of, value * value, minlength=len(counts))), 1e-12)[of]
+    # blocks of like examples have tight bounds: order by label and main term
+    heaviest = np.lexsort((where, -value, of))
+    main = np.full(len(counts), -1)
+    main[of[heaviest][::-1]] = where[heaviest][::-1]
+    place = np.lexsort((main, y))
+    new = np.empty(len(place), np.int64)
+    new[place] = np.arange(len(place))
+    blocks = -(-len(y) // BLOCK)
+    marks = np.full(blocks * BLOCK, -1, np.int64)
+    marks[: len(y)] = y[place]
+    example = new[of]
+    order = np.lexsort((example, where))
+    term, example, value = where[order], example[order], value[order].astype(np.float32)
+    start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)]))
+    first = np.searchsorted(term[start], np.arange(len(terms) + 1))
+    return ExampleIndex(
+        terms, idf, relevance, first, example[start] // BLOCK, np.maximum.reduceat(value, start), np.append(start, len(term)),
+        example, value, marks.reshape(blocks, BLOCK), ids[place], prior, k,
+    )
+
+
 def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many documents each index term stands, and the number of documents. One row per term reaches the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -256,47 +304,32 @@ def train(
     examples = made.toArrow().to_pylist()
     examples.sort(key=lambda r: (r["toxic"], r["doc_id"], r["terms"]))
     y = np.array([r["toxic"] for r in examples])
-    if len(set(y)) < 2:
-        none, zero = np.zeros(0), np.zeros(0, np.int64)
-        return ExampleIndex(zero.astype(np.uint64), none, np.zeros(1, np.int64), zero, none, np.zeros(1, np.int64), zero, none, none, np.zeros((0, BLOCK)), zero, prior)
     counts = [(np.frombuffer(r["terms"], np.int64).view(np.uint64), np.frombuffer(r["counts"], np.int64)) for r in examples]
-    terms, where = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+    if len(set(y)) < 2 or not sum(len(c[0]) for c in counts):
+        none, zero = np.zeros(0), np.zeros(0, np.int64)
+        return ExampleIndex(zero.astype(np.uint64), none, none, np.zeros(1, np.int64), zero, none, np.zeros(1, np.int64), zero, none, np.zeros((0, BLOCK)), zero, prior, k)
+    ids = np.array([r["doc_id"] for r in examples])
+    terms = np.unique(np.concatenate([c[0] for c in counts]))
     df, n = _document_frequencies(docs, terms)
     idf = np.log((1 + n) / (1 + df)) + 1e-3
-    sizes = np.array([len(c[0]) for c in counts])
-    of = np.repeat(np.arange(len(counts)), sizes)
-    value = (1 + np.log(np.concatenate([c[1] for c in counts]))) * idf[where]
-    value /= np.maximum(np.sqrt(np.bincount(of, value * value, minlength=len(counts))), 1e-12)[of]
-    # blocks of like examples have tight bounds: order by label and main term
-    heaviest = np.lexsort((where, -value, of))
-    main = np.full(len(counts), -1)
-    main[of[heaviest][::-1]] = where[heaviest][::-1]
-    place = np.lexsort((main, y))
-    new = np.empty(len(place), np.int64)
-    new[place] = np.arange(len(place))
-    y, ids = y[place], np.array([r["doc_id"] for r in examples])[place]
-    blocks = -(-len(y) // BLOCK)
-    marks = np.full(blocks * BLOCK, -1, np.int64)
-    marks[: len(y)] = y
-    example = new[of]
-    order = np.lexsort((example, where))
-    term, example, value = where[order], example[order], value[order].astype(np.float32)
-    start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)]))
-    first = np.searchsorted(term[start], np.arange(len(terms) + 1))
-    ones, zeros = int(np.sum(y == 1)), int(np.sum(y == 0))
-    have = [np.bincount(term[y[example] == x], minlength=len(terms)) for x in (0, 1)]
-    index = ExampleIndex(
-        terms, idf, first, example[start] // BLOCK, np.maximum.reduceat(value, start), np.append(start, len(term)), example, value,
-        _odds(have[1], have[0], ones, zeros), marks.reshape(blocks, BLOCK), ids, prior,
-    )
-    # each example is judged by the others: a term of its own is not known, and it counts for no odds
-    known = have[0] + have[1] > 1
-    votes, shares, odds = np.zeros(len(y)), np.zeros(len(y)), np.zeros(len(y))
-    for i, e in enumerate(place):
-        at, weight, shares[i] = index.query(*counts[e], known)
-        votes[i] = index.vote(*index.nearest(at, weight, k, skip=i))
-        odds[i] = _odds(have[1][at] - y[i], have[0][at] - 1 + y[i], ones - y[i], zeros - 1 + y[i]).sum()
-    index.curve = _calibrated(votes, shares, odds, y, prior)
+    index = _indexed(counts, y, ids, terms, idf, prior, k)
+    # each fold, dealt by text, is judged by the others
+    fold = np.array([zlib.crc32(c[0].tobytes()) % _FOLDS for c in counts])
+    judged = []
+    for part in range(_FOLDS):
+        rest, mine = np.flatnonzero(fold != part), np.flatnonzero(fold == part)
+        if len(set(y[rest])) < 2 or not sum(len(counts[e][0]) for e in rest):
+            continue
+        others = _indexed([counts[e] for e in rest], y[rest], ids[rest], terms, idf, prior, k)
+        for e in mine:
+            at, weight, share = others.query(*counts[e])
+            found, cosine = others.nearest(at, weight, k)
+            judged.append((y[e], [others.vote(found, cosine, share, doubt) for doubt in DOUBTS]))
+    truth = np.array([j[0] for j in judged])
+    if len(set(truth)) == 2:
+        votes = np.array([j[1] for j in judged])
+        best = min(range(len(DOUBTS)), key=lambda i: _loss(votes[:, i], truth, prior))
+        index.doubt, index.curve = DOUBTS[best], _calibrated(votes[:, best], truth, prior)
     return index
 
 
@@ -316,7 +349,7 @@ def scored(docs: DataFrame, index: ExampleIndex, keep: list[str], k: int = K) ->
                 summed = index.summed([(at, weight) for at, weight, _ in queries])
                 for i, (at, weight, share) in enumerate(queries):
                     found, cosine = index.nearest(at, weight, k, summed=summed[i])
-                    score[begin + i] = index.score(index.vote(found, cosine), share, float(index.odds[at].sum()), len(found))
+                    score[begin + i] = index.score(found, cosine, share)
                     evidence.append(index.ids[found[:3]].tolist())
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch([*columns, pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], names=names)

@@ -103,3 +103,43 @@ def test_common_terms_as_rows_change_nothing(spark, monkeypatch):
     alone = [index.nearest(*q, 7) for q in queries]
     together = [index.nearest(*q, 7, summed=s) for q, s in zip(queries, index.summed(queries))]
     assert all(np.allclose(a[1], b[1], atol=1e-6) for a, b in zip(alone, together))
+
+
+def test_score_is_the_vote_of_the_nearest(spark):
+    """Scores again by plain dictionaries; only the calibration curve and the pseudo-vote are taken over."""
+    docs, labels = made(spark)
+    index = toxicity.train(docs, labels, learn_row(F.col("doc_id"), 5, 0), k=9)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    bags = [dict(zip(*(x.tolist() for x in toxicity.term_counts(t)))) for _, t in rows]
+    label = {i: int(y) for i, y in zip(index.ids.tolist(), index.labels.reshape(-1)) if y >= 0}
+    at = {i: n for n, (i, _) in enumerate(rows)}
+    examples = [(bags[at[i]], y) for i, y in label.items()]
+    ones = sum(label.values())
+    share = ones / len(label)
+    idf, relevance = {}, {}
+    for t in set().union(*(b for b, _ in examples)):
+        idf[t] = np.log((1 + len(rows)) / (1 + sum(t in b for b in bags))) + 1e-3
+        x, y = np.array([t in b for b, _ in examples], float), np.array([y for _, y in examples], float)
+        relevance[t] = np.corrcoef(x, y)[0, 1] ** 2 if x.std() else 0.0
+
+    def vector(bag, weigh):
+        return {t: (1 + np.log(n)) * idf[t] * weigh(t) for t, n in bag.items() if t in idf}
+
+    def length(v):
+        return np.sqrt(sum(w * w for w in v.values()))
+
+    vectors = [(vector(b, relevance.get), y) for b, y in examples]
+    got = toxicity.scored(docs, index, ["doc_id", "text"], k=9).collect()
+    want = {}
+    for (i, text), bag in list(zip(rows, bags))[:150] + list(zip(rows, bags))[-6:]:
+        q, plain = vector(bag, relevance.get), length(vector(bag, lambda t: 1.0))
+        if not length(q):
+            want[text] = index.prior
+            continue
+        near = [(sum(q[t] * v[t] for t in q if t in v) / length(q) / max(length(v), 1e-12), y) for v, y in vectors]
+        near = sorted((c for c in near if c[0] > 0), reverse=True)[:9]
+        weight = [c * length(q) / plain for c, _ in near]
+        vote = (sum(w * y for w, (_, y) in zip(weight, near)) + 9 * index.doubt * share) / (sum(weight) + 9 * index.doubt)
+        want[text] = 1 / (1 + np.exp(-(vote * index.curve[0] + index.curve[1]))) if near else index.prior
+    checked = [(r.score, want[r.text]) for r in got if r.text in want]
+    assert len(checked) >= 150 and np.allclose(*zip(*checked), atol=1e-3)
