@@ -15,8 +15,8 @@ together. Documents with the same set are one point, whatever their number.
 Whole links are many within a group of copies, and only groups are wanted. So each tree first
 tries its members against the two of them that stand in the most trees; what these links connect needs no
 further pairs, and trees within one component are left out. All other pairs go through the trees.
-Trees with the same members are one tree. Trees of more than PAGE_ROWS points are dealt out as
-pairs of parts.
+Trees with the same members are one tree. Trees of more than PAGE_ROWS points are dealt out in parts: each
+with the middle in the first round, as pairs of parts in the second, where only trees of several components are left.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing
 and are their own component; fewer than five words are one shingle; repeated rows link unless empty;
@@ -266,33 +266,46 @@ def _profiles(docs: DataFrame, place, shared) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose whole sets are similar; rows: (point, text), a point may have several.
+def _blocks(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """(label, i, j, a, b): the pairs, dealt to blocks that are verified together; group: (node, label).
 
-    Pairs are grouped by what they connect, so a text moves once, not once per pair. Groups of more
-    than BLOCK_ROWS points are dealt out as pairs of parts.
+    Pairs that connect up to BLOCK_ROWS points are one block. In a larger group with few pairs, these go
+    with the one of their two points that has more of them, up to about BLOCK_ROWS at a time, so the texts
+    of a block are that point's and one for each pair. Where pairs are many, blocks are pairs of parts.
     """
+    placed = pairs.join(group.select(F.col("node").alias("a"), "label"), "a")
+    sizes = group.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS)
+    sizes = sizes.join(placed.groupBy("label").agg(F.count("*").alias("links")), "label")
+    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    sizes = sizes.select("label", parts.alias("parts"), (F.col("links") <= F.col("n") * parts).alias("few"))
+    ends = placed.join(sizes.filter("few"), "label", "left_semi").select(F.explode(F.array("a", "b")).alias("node"))
+    hubs = ends.groupBy("node").agg(F.count("*").alias("degree")).filter(F.col("degree") > BLOCK_ROWS)
+    wanted = placed.join(sizes, "label", "left")
+    for c in ("a", "b"):
+        wanted = wanted.join(hubs.select(F.col("node").alias(c), F.col("degree").alias(f"degree_{c}")), c, "left")
+    by_a = F.coalesce("degree_a", F.lit(0)) > F.coalesce("degree_b", F.lit(0))
+    hub, other = F.when(by_a, F.col("a")).otherwise(F.col("b")), F.when(by_a, F.col("b")).otherwise(F.col("a"))
+    chunks = F.ceil(F.coalesce(F.greatest("degree_a", "degree_b"), F.lit(1)) / BLOCK_ROWS)
+    part_a, part_b = (F.pmod(F.xxhash64(c), F.col("parts")) for c in ("a", "b"))
+    i = F.when(F.col("parts").isNull(), F.lit(0)).when(F.col("few"), hub).otherwise(F.least(part_a, part_b))
+    j = F.when(F.col("parts").isNull(), F.lit(0)).when(F.col("few"), F.pmod(F.xxhash64(other), chunks)).otherwise(F.greatest(part_a, part_b))
+    return wanted.select("label", i.cast("long").alias("i"), j.cast("long").alias("j"), "a", "b")
+
+
+def _needed(blocks: DataFrame) -> DataFrame:
+    """(label, i, j, point) of the texts that blocks read."""
+    return blocks.select("label", "i", "j", F.explode(F.array("a", "b")).alias("point")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose whole sets are similar; rows: (point, text), a point may have several."""
     pairs = settled(pairs, "pairs")
-    group = components(pairs)
-    sizes = group.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    group = settled(group.join(sizes, "label").select("node", "label", "parts", part.alias("part")), "groups")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    group = settled(components(pairs), "groups")
+    blocks = settled(_blocks(pairs, group), "blocks")
     texts = rows.select("point", "text").join(group.select("node"), F.col("point") == F.col("node"), "left_semi")
-    texts = texts.dropDuplicates(["point"]).join(group, F.col("point") == F.col("node")).withColumn("other", other)
-    texts = texts.select(
-        "label",
-        F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"),
-        F.col("point").alias("a"),
-        F.lit(None).cast("long").alias("b"),
-        "text",
-    )
-    first = group.select(F.col("node").alias("a"), "label", F.col("part").alias("part_a"))
-    second = group.select(F.col("node").alias("b"), F.col("part").alias("part_b"))
-    wanted = pairs.join(first, "a").join(second, "b").select(
-        "label", F.least("part_a", "part_b").alias("i"), F.greatest("part_a", "part_b").alias("j"), "a", "b", F.lit(None).cast("string").alias("text")
-    )
+    texts = texts.dropDuplicates(["point"]).join(_needed(blocks), "point")
+    texts = texts.select("label", "i", "j", F.col("point").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    wanted = blocks.withColumn("text", F.lit(None).cast("string"))
     # texts of a block come before its pairs
     dealt = texts.unionByName(wanted).repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", F.col("b").asc_nulls_first())
 
@@ -314,7 +327,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     out = settled(dealt.mapInArrow(run, "a long, b long"), "links")
-    forget(pairs, group)
+    forget(pairs, group, blocks)
     return out
 
 
@@ -324,9 +337,17 @@ def _tree_candidates(members: DataFrame, points: DataFrame, star: bool) -> DataF
     part = F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")
     dealt = members.join(sizes, "key").withColumn("part", part)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "point", "label"
-    )
+    if star:
+        # every part gets its members and the middle
+        most = Window.partitionBy("key").orderBy(F.desc("degree"), "point")
+        middle = dealt.filter("parts > 1").join(points.select("point", "degree"), "point")
+        middle = middle.withColumn("nth", F.row_number().over(most)).filter("nth <= 2").withColumn("other", other).filter("other != part")
+        dealt = dealt.withColumn("other", F.col("part")).unionByName(middle.select("key", "point", "label", "parts", "part", "other"))
+        i = j = F.col("other")
+    else:
+        dealt = dealt.withColumn("other", other)
+        i, j = F.least("part", "other"), F.greatest("part", "other")
+    dealt = dealt.select("key", i.alias("i"), j.alias("j"), "part", "point", "label")
     dealt = dealt.join(points, "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

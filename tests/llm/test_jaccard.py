@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fleetpulse.llm import jaccard
 from fleetpulse.llm.graph import components
@@ -82,9 +83,32 @@ def test_equals_brute_force(spark):
 
 def test_split_trees(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PAGE_ROWS", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 5)
     check(spark, corpus(2, 40))
 
 
+def test_texts_of_a_large_group_move_a_few_times(spark):
+    n = 3000
+    stars = [(min(x, h), max(x, h)) for x in range(n) for h in (17, 1800) if x != h]
+    dense = [(10_000 + x, 10_000 + y) for x in range(700) for y in range(x) if (x + y) % 3]
+    pairs = spark.createDataFrame(sorted(set(stars + dense)), "a long, b long")
+    blocks = jaccard._blocks(pairs, components(pairs)).cache()
+    assert sorted((r.a, r.b) for r in blocks.select("a", "b").collect()) == sorted(set(stars + dense))
+    moved = jaccard._needed(blocks)
+    assert moved.filter("point < 10000").count() <= 2.1 * n and moved.filter("point >= 10000").count() <= 2 * 700
+    assert moved.groupBy("label", "i", "j").count().agg(F.max("count")).first()[0] <= 2 * jaccard.BLOCK_ROWS
+
+
+def test_star_round_copies_only_the_middle(spark, monkeypatch):
+    n = 300
+    monkeypatch.setattr(jaccard, "PAGE_ROWS", 20)
+    counts = bytes(jaccard.count_vector(np.arange(40, dtype=np.uint64) << np.uint64(25)))
+    points = spark.createDataFrame([(p, 40, 0, counts, 50 if p in (5, 250) else 3) for p in range(n)], "point long, n long, over long, counts binary, degree int")
+    members = spark.createDataFrame([(1, p, p) for p in range(n)], "key long, point long, label long")
+    got = {(r.a, r.b) for r in jaccard._tree_candidates(members, points, star=True).collect()}
+    assert got == {(min(p, h), max(p, h)) for p in range(n) for h in (5, 250) if p != h}
+
+
 def test_given_documents_and_empty(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
     check(spark, [tuple(r) for r in docs.collect()])
