@@ -41,6 +41,8 @@ SLICE, HOT, HALO = "__slice", "__hot", "__halo"
 MAX_HOT = 50_000
 BROADCAST_ROWS = 1_000_000
 OVERSPLIT = 2
+# slice numbers stay below this; beyond it they are dealt anew, without gaps
+SLICE_NUMBERS = 1 << 62
 
 
 def axis(df: DataFrame, name: str) -> Column:
@@ -175,8 +177,15 @@ def slice_series(df: DataFrame, series: Series) -> DataFrame:
         if not rows:
             break
         parts = int(max(r["__parts"] for r in rows))
-        if slices * parts >= 1 << 62:
-            break
+        if level and slices * parts >= SLICE_NUMBERS:
+            # few: a level makes at most OVERSPLIT parts for each `limit` rows, and `limit` is a part of all rows
+            used = sorted(r[0] for r in out.where(F.col(HOT)).select(SLICE).distinct().collect())
+            nth = {old: new for new, old in enumerate(used)}
+            numbers = df.sparkSession.createDataFrame(list(nth.items()), f"{SLICE} long, __nth long")
+            out = join_small(out, numbers, [SLICE], few=len(nth) <= BROADCAST_ROWS)
+            out = out.withColumn(SLICE, F.coalesce("__nth", F.lit(0).cast("long"))).drop("__nth")
+            rows = [{**r.asDict(), SLICE: nth[r[SLICE]]} for r in rows]
+            slices = len(nth)
         slices *= parts
         found = df.sparkSession.createDataFrame(rows, full.schema)
         if keys:

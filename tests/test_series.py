@@ -43,6 +43,21 @@ def collected(df, *names):
     return {r["id"]: tuple(None if r[n] is None else round(r[n], 9) for n in names) for r in df.collect()}
 
 
+def test_slice_numbers_are_dealt_anew_before_they_run_out(skewed, monkeypatch):
+    spec = Series(("key",), "burst", ("id",), 40)
+    given = S.slice_series(skewed, spec)
+    monkeypatch.setattr(S, "SLICE_NUMBERS", 1)
+    again = S.slice_series(skewed, spec)
+    sizes = [
+        {tuple(r) for r in df.groupBy("key", S.HOT, S.SLICE).agg(F.min("id"), F.max("id"), F.count("*")).drop(S.SLICE).collect()}
+        for df in (given, again)
+    ]
+    assert sizes[0] == sizes[1] and len(sizes[0]) > 10
+    order = [r.id for r in given.where(S.HOT).orderBy("key", S.SLICE, "id").collect()]
+    assert order == [r.id for r in again.where(S.HOT).orderBy("key", S.SLICE, "id").collect()]
+    assert again.agg(F.max(S.SLICE)).first()[0] < given.agg(F.max(S.SLICE)).first()[0]
+
+
 @pytest.mark.parametrize("keys,hot", SPECS)
 def test_lookback_equals_plain_windows(skewed, keys, hot):
     def add(df, w):
