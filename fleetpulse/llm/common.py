@@ -80,6 +80,22 @@ def learn_row(doc_id: Column, parts: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts != held_out, F.lit(False))
 
 
+def told_apart(df: DataFrame, key: Column, mark: Column) -> Column:
+    """`key`, changed where rows of different `mark` share one, so that equal keys mean equal marks.
+
+    With 64-bit hashes for both, rows are told apart by 128 bits and carry 64. One aggregate of two numbers a
+    row finds the shared keys; of n different rows about n^2 / 2^65 reach the driver (none below billions).
+    """
+    out, seed = key, 0
+    while True:
+        of = df.select(out.alias("key"), mark.alias("mark")).groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+        shared = [r["key"] for r in of.filter("low != high").select("key").collect()]
+        if not shared:
+            return out
+        seed += 1
+        out = F.when(out.isin(shared), F.xxhash64(F.lit(seed), key, mark)).otherwise(out)
+
+
 # odd multipliers of the rolling hashes over bytes and over words
 _BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
@@ -171,18 +187,24 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 
 class Bitmap:
-    """A fixed-size set of hashes (Bloom filter) that may hold more than was put in, never less.
+    """A set of hashes (Bloom filter) that may hold more than was put in, never less.
 
     Tasks use it to leave out rows that cannot matter before a shuffle; the exact test follows
-    the shuffle. However full it gets, only time is lost.
+    the shuffle. It has PER_HASH bits for each counted hash, between 2^BITS and 2^MOST bits (4 to 32 MB).
+    Beyond some 30 million hashes it fills up, and more rows go through the exact test.
     """
 
-    BITS, PROBES = 25, 4
+    BITS, MOST, PER_HASH, PROBES = 25, 28, 12, 4
+
+    @staticmethod
+    def bits_for(count: int) -> int:
+        return min(max((Bitmap.PER_HASH * count - 1).bit_length(), Bitmap.BITS), Bitmap.MOST)
 
     @staticmethod
     def of(hashes: Column | str, df: DataFrame) -> np.ndarray:
-        """Words of the bitmap over a column of 64-bit hashes: at most 2^(BITS - 6) rows reach the driver."""
-        mask, h = F.lit((1 << Bitmap.BITS) - 1), F.col("__h")
+        """Words of the bitmap over a column of 64-bit hashes of a settled table: at most 2^(MOST - 6) rows reach the driver."""
+        bits = Bitmap.bits_for(df.count())
+        mask, h = F.lit((1 << bits) - 1), F.col("__h")
         first, step = h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask).bitwiseOR(F.lit(1))
         probes = F.explode(F.array(*[(first + i * step).bitwiseAND(mask) for i in range(Bitmap.PROBES)]))
         hashes = F.col(hashes) if isinstance(hashes, str) else hashes
@@ -195,13 +217,13 @@ class Bitmap:
         )
         with tidied(df.sparkSession):
             rows = rows.toArrow()
-        out = np.zeros(1 << (Bitmap.BITS - 6), np.uint64)
+        out = np.zeros(1 << (bits - 6), np.uint64)
         out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
         return out
 
     @staticmethod
     def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        mask = np.uint64((1 << Bitmap.BITS) - 1)
+        mask = np.uint64(64 * len(bitmap) - 1)
         hashes = hashes.astype(np.uint64, copy=False)
         first, step = hashes & mask, ((hashes >> np.uint64(32)) & mask) | np.uint64(1)
         found = np.ones(len(hashes), bool)

@@ -18,6 +18,8 @@ further pairs, and trees within one component are left out. All other pairs go t
 Trees with the same members are one tree. Trees of more than PAGE_ROWS points are dealt out in parts: each
 with the middle in the first round, as pairs of parts in the second, where only trees of several components are left.
 
+Sets are told apart by 128 bits, of which 64 are carried as their `point`.
+
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing
 and are their own component; fewer than five words are one shingle; repeated rows link unless empty;
 null ids take part, and a component's id is its least non-null id; other columns are ignored.
@@ -25,6 +27,7 @@ null ids take part, and a component's id is its least non-null id; other columns
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bitmap, Rows, distinct, forget, mixed, settled, texts_of, tidied, window_hashes, word_bounds, word_hashes
+from .common import (
+    Bitmap,
+    Rows,
+    distinct,
+    forget,
+    mixed,
+    settled,
+    texts_of,
+    tidied,
+    told_apart,
+    window_hashes,
+    word_bounds,
+    word_hashes,
+)
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -41,6 +57,9 @@ PERCENT = 80
 GROUPS = 256
 PAGE_ROWS = 4096
 BLOCK_ROWS = 512
+_MARK = np.uint64(0xC2B2AE3D27D4EB4F)
+# of two different sets that link, the larger has one shingle in five at most for itself
+_LEAST = -(-100 // (100 - PERCENT))
 _CORPUS_BITS = 14
 _LEAF, _FAN = 32, 8
 
@@ -53,6 +72,15 @@ def shingle_set(raw: np.ndarray) -> np.ndarray:
     return distinct(_all_shingles(raw))
 
 
+def set_mark(shingles: np.ndarray, raw: np.ndarray) -> np.uint64:
+    """A second hash for a whole set; that of a single shingle comes from its words, not from its own hash."""
+    if len(shingles) == 1:
+        raw = np.take(_LOWER, raw)
+        words = [raw[i:j].tobytes() for i, j in zip(*(x[:SHINGLE_WORDS] for x in word_bounds(raw)), strict=True)]
+        return np.uint64(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little"))
+    return set_hash(mixed(shingles ^ _MARK))
+
+
 def set_hash(shingles: np.ndarray) -> np.uint64:
     """One hash for a whole set."""
     if not len(shingles):
@@ -228,7 +256,7 @@ def _first_shingles(docs: DataFrame, place) -> DataFrame:
 
 
 def _profiles(docs: DataFrame, place, shared) -> DataFrame:
-    """(id, point, n, keys, over, counts, text) of every row; the last four only where a first shingle may be shared."""
+    """(id, hash, mark, n, keys, over, counts, text) of every row; the last four only where a first shingle may be shared."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +264,15 @@ def _profiles(docs: DataFrame, place, shared) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 size = batch.num_rows
-                points, n = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+                hashes, marks, n = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int64)
                 keys, over, counts = [None] * size, [None] * size, [None] * size
-                sets = {i: s for i, s in ((i, shingle_set(raw)) for i, raw in texts_of(batch, 1)) if len(s)}
+                raws = dict(texts_of(batch, 1))
+                sets = {i: s for i, s in ((i, shingle_set(raw)) for i, raw in raws.items()) if len(s)}
                 firsts = [prefix(s, place.value) for s in sets.values()] or [np.zeros(0, np.uint64)]
                 hits = Bitmap.has(shared.value, np.concatenate(firsts))
                 cuts = np.cumsum([len(f) for f in firsts])[:-1]
                 for (i, shingles), first, hit in zip(sets.items(), firsts, np.split(hits, cuts), strict=False):
-                    points[i], n[i] = set_hash(shingles), len(shingles)
+                    hashes[i], marks[i], n[i] = set_hash(shingles), set_mark(shingles, raws[i]), len(shingles)
                     if hit.any():
                         keys[i], over[i] = first[hit].view(np.int64), excess(shingles)
                         counts[i] = count_vector(shingles).tobytes()
@@ -251,18 +280,19 @@ def _profiles(docs: DataFrame, place, shared) -> DataFrame:
                 yield pa.record_batch(
                     [
                         batch.column(0),
-                        pa.array(points.view(np.int64)),
+                        pa.array(hashes.view(np.int64)),
+                        pa.array(marks.view(np.int64)),
                         pa.array(n),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(over, pa.int64()),
                         pa.array(counts, pa.binary()),
                         text,
                     ],
-                    names=["id", "point", "n", "keys", "over", "counts", "text"],
+                    names=["id", "hash", "mark", "n", "keys", "over", "counts", "text"],
                 )
 
     return docs.select("id", "text").mapInArrow(
-        run, f"id {kind}, point long, n long, keys array<bigint>, over long, counts binary, text string"
+        run, f"id {kind}, hash long, mark long, n long, keys array<bigint>, over long, counts binary, text string"
     )
 
 
@@ -322,7 +352,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     block, sets = key, {}
                 if b[r] is None:
                     sets[a[r]] = shingle_set(raw[r])
-                elif similar(sets[a[r]], sets[b[r]]):
+                elif max(len(sets[a[r]]), len(sets[b[r]])) >= _LEAST and similar(sets[a[r]], sets[b[r]]):
                     out.append((a[r], b[r]))
             yield pa.record_batch([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
@@ -394,10 +424,11 @@ def _distinct_trees(members: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(`key`, n_shingles, point, component, component_id) of every row.
+    """(`key`, n_shingles, point, component, component_id, hash, mark) of every row.
 
     Rows with the same `point` have the same set, rows with the same `component` are connected
-    (both 0 for empty sets); component_id is the least id of the component.
+    (both 0 for empty sets); component_id is the least id of the component; hash and mark are two
+    hashes of the set.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -406,8 +437,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # a first shingle deals documents into a tree; those of one set alone are left out
     firsts = _first_shingles(docs, place)
     shared = firsts.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).filter("low != high")
-    shared = spark.sparkContext.broadcast(Bitmap.of("key", shared))
-    rows = settled(_profiles(docs, place, shared), "profiles")
+    shared = settled(shared.select("key"), "shared")
+    bitmap = spark.sparkContext.broadcast(Bitmap.of("key", shared))
+    forget(shared)
+    rows = settled(_profiles(docs, place, bitmap), "profiles")
+    point = told_apart(rows.filter("n > 0"), F.col("hash"), F.col("mark"))
+    rows = rows.withColumn("point", point)
     some = rows.filter("keys is not null")
     points = settled(some.select("point", "n", "over", "counts", F.size("keys").alias("degree")).dropDuplicates(["point"]), "points")
     members = some.select("point", F.explode("keys").alias("key")).distinct().withColumn("label", F.col("point"))
@@ -423,27 +458,34 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     forget(points, members, links, more)
 
     full = rows.filter("n > 0").join(label, F.col("point") == F.col("node"), "left")
-    full = full.select("id", "n", "point", F.coalesce("label", "point").alias("label"))
+    full = full.select("id", "n", "point", F.coalesce("label", "point").alias("label"), "hash", "mark")
     least = full.groupBy("label").agg(F.min("id").alias("component_id"))
-    full = full.join(least, "label").select("id", "n", "point", F.col("label").alias("component"), "component_id")
-    empty = rows.filter("n = 0").select("id", "n", "point", F.col("point").alias("component"), F.col("id").alias("component_id"))
+    full = full.join(least, "label").select("id", "n", "point", F.col("label").alias("component"), "component_id", "hash", "mark")
+    empty = rows.filter("n = 0").select(
+        "id", "n", "point", F.col("point").alias("component"), F.col("id").alias("component_id"), "hash", "mark"
+    )
     return full.unionByName(empty).select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), "point", "component", "component_id"
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), "point", "component", "component_id", "hash", "mark"
     )
 
 
-def _with_points(docs: DataFrame) -> DataFrame:
-    """`docs` with the set hash of each text as __point."""
+def _with_hashes(docs: DataFrame) -> DataFrame:
+    """`docs` with the two hashes of each text's set as __hash and __mark."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = np.zeros(batch.num_rows, np.uint64)
+            hashes, marks = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
             for i, raw in texts_of(batch, at):
-                points[i] = set_hash(shingle_set(raw))
-            yield pa.record_batch([*batch.columns, pa.array(points.view(np.int64))], names=[*batch.schema.names, "__point"])
+                shingles = shingle_set(raw)
+                hashes[i], marks[i] = set_hash(shingles), set_mark(shingles, raw)
+            yield pa.record_batch(
+                [*batch.columns, pa.array(hashes.view(np.int64)), pa.array(marks.view(np.int64))],
+                names=[*batch.schema.names, "__hash", "__mark"],
+            )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__point", T.LongType())]))
+    added = [T.StructField(c, T.LongType()) for c in ("__hash", "__mark")]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -457,10 +499,13 @@ def representatives(docs: DataFrame) -> DataFrame:
     single = rows.join(counts.filter("n = 1"), "doc_id").filter("doc_id = component_id").select("doc_id")
     kept = docs.join(single, "doc_id", "left_semi").select(docs.columns)
     again = counts.filter("n > 1 and doc_id is not null").select("doc_id")
-    others = _with_points(docs.join(again, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null")))
-    mine = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    mine = mine.select(F.col("doc_id").alias("__id"), F.col("point").alias("__same"), F.col("component").alias("__component")).distinct()
-    both = others.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__point") == F.col("__same")))
+    others = _with_hashes(docs.join(again, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null")))
+    wordless = others.filter("__hash = 0 and __mark = 0")
+    mine = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
+    names = {"doc_id": "__id", "hash": "__first", "mark": "__second", "component": "__component"}
+    mine = mine.select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    same = (F.col("__hash") == F.col("__first")) & (F.col("__mark") == F.col("__second"))
+    both = others.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")) & same)
     first = Window.partitionBy("__component").orderBy("text")
-    both = both.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1 or __point = 0")
-    return kept.unionByName(both.select(docs.columns))
+    both = both.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1")
+    return kept.unionByName(both.select(docs.columns)).unionByName(wordless.select(docs.columns))

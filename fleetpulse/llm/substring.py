@@ -9,10 +9,11 @@ at the same place inside both. Repeated anchors are extended to both sides:
 2. where that fails (the ends of a repeated passage), window by window. Places of the same anchor
    that step 1 took add their windows without a place, so that a short quote meets them.
 
-Texts are identified by a hash, so exact copies are worked on together; a text that several rows
-have is repeated as a whole. Groups of equal anchors, contexts or windows are never gathered: the
+Texts are identified by a hash (128 bits tell them apart, 64 are carried), so exact copies are worked
+on together; a text that several rows have is repeated as a whole. Groups of equal anchors, contexts or windows are never gathered: the
 least and the greatest place of a group, from map-side aggregates, tell whether there are two.
-Fixed-size bitmaps of repeated hashes keep single anchors out of the later shuffles.
+Bitmaps of repeated hashes, sized by their count, keep single anchors out of the later shuffles; those
+that pass are left out by the repeated anchors themselves before anything is stored.
 
 Defined results: null and empty texts have no words; texts shorter than the window lose nothing;
 every row gives a row, also for repeated or null ids; other columns are ignored.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Rows, as_bytes, forget, settled, texts_of, window_hashes, word_bounds, word_hashes
+from .common import Bitmap, Rows, as_bytes, forget, settled, texts_of, told_apart, window_hashes, word_bounds, word_hashes
 
 WINDOW = 35
 # fixed values: a perfect difference set modulo 21
@@ -79,23 +80,23 @@ def _twice(rows: DataFrame, *keys: str) -> DataFrame:
     return both.filter(F.col("low") != F.col("high")).select(*keys)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(text, spans array<struct<start, end>>): word spans covered by repeated windows, for each text hash that has some.
+def repeated_spans(docs: DataFrame, key: Column, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(text, spans array<struct<start, end>>): word spans covered by repeated windows, for each text that has some.
 
-    `text` is xxhash64 of the text.
+    `key` tells texts apart, see `text_key`, and stands for them in the result.
     """
     if window < PERIOD + 1:
         raise ValueError(f"a window has {PERIOD + 1} words at least")
     spark = docs.sparkSession
     reach = PERIOD - 1
-    keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).filter("text is not null")
+    keyed = docs.select(key.alias("key"), F.col(text).alias("text")).filter("text is not null")
     anchor = window - reach
 
     def all_anchors(rows: Rows, key: np.uint64, words: np.ndarray) -> None:
         rows.add(_anchors(words, window)[1])
 
     seen = keyed.mapInArrow(_rows(["anchor"], all_anchors), "anchor long")
-    again = seen.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    again = settled(seen.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated")
     repeated = spark.sparkContext.broadcast(Bitmap.of("anchor", again))
 
     def repeated_anchors(rows: Rows, key: np.uint64, words: np.ndarray) -> None:
@@ -113,7 +114,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     names = ["anchor", "text", "at", "context", "inside"]
     found = keyed.mapInArrow(_rows(names, repeated_anchors), ", ".join(f"{n} long" for n in names))
     # copies of a text give the same rows
-    found = settled(found.distinct(), "anchors")
+    found = settled(found.distinct().join(again, "anchor", "left_semi"), "anchors")
     whole = settled(_twice(found.filter("inside = 1"), "anchor", "context"), "contexts")
     wide = found.filter("inside = 1").join(whole, ["anchor", "context"], "left_semi")
     wide = wide.select("text", (F.col("at") - reach).alias("start"), (F.col("at") + anchor + reach).alias("end"))
@@ -154,11 +155,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     narrow = single.filter("at >= 0").join(_twice(single, "first", "second"), ["first", "second"], "left_semi")
     narrow = narrow.select("text", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     spans = settled(wide.unionByName(narrow).distinct(), "spans")
-    forget(found, whole, single)
+    forget(again, found, whole, single)
     return spans.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def text_key(text: Column) -> Column:
+def text_key(docs: DataFrame, text: str = "text") -> Column:
+    """A 64-bit hash under which no two different texts of `docs` meet."""
+    given = docs.filter(F.col(text).isNotNull())
+    return told_apart(given, _short_hash(F.col(text)), F.xxhash64(F.lit(1), F.col(text)))
+
+
+def _short_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
@@ -184,10 +191,11 @@ def without_repeats(
 
     kept is the kept words joined by one space, or with `digest` the SHA-256 of that as kept_sha256.
     """
-    spans = repeated_spans(docs, text, window)
-    copied = docs.groupBy(text_key(F.col(text)).alias("text")).agg(F.count("*").alias("n")).filter("n > 1")
+    told = text_key(docs, text)
+    spans = repeated_spans(docs, told, text, window)
+    copied = docs.groupBy(told.alias("text")).agg(F.count("*").alias("n")).filter("n > 1")
     spans = spans.join(copied, "text", "full").select("text", "spans", F.col("n").isNotNull().alias("copied"))
-    mine = docs.select(F.col(key).alias("id"), F.col(text).alias("body"), text_key(F.col(text)).alias("text"))
+    mine = docs.select(F.col(key).alias("id"), F.col(text).alias("body"), told.alias("text"))
     both = mine.join(spans, "text", "left").select("id", "body", "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
     column = "kept_sha256" if digest else "kept"
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fleetpulse.llm import jaccard
+from fleetpulse.llm.common import as_bytes
 from fleetpulse.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,3 +142,28 @@ def test_components(spark):
     label = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {label[i] for i in range(61)} == {0} and {label[500 + k] for k in range(80)} == {500}
     assert all(label[a] == label[b] and label[a] <= a for a, b in edges if a != b)
+
+
+def test_colliding_set_hashes(spark, monkeypatch):
+    made = jaccard._profiles
+
+    def few_hashes(*args):
+        return made(*args).withColumn("hash", F.when(F.col("n") > 0, F.pmod("hash", F.lit(7)) + 1).otherwise(F.lit(0)))
+
+    monkeypatch.setattr(jaccard, "_profiles", few_hashes)
+    check(spark, corpus(3))
+
+
+def test_one_shingle_is_told_by_its_words():
+    raw = [as_bytes(t) for t in ("A b", "a  B", "a b c", "a a a a a", "a a a a a a a", "ab")]
+    marks = [jaccard.set_mark(jaccard.shingle_set(r), r) for r in raw]
+    assert marks[0] == marks[1] and marks[3] == marks[4] and len(set(marks)) == 4
+
+
+def test_representatives_of_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (1, long + " x"), (1, "quite another text of some words"), (2, long + " y"), (3, ""), (3, None), (3, " "), (None, ""), (None, "lonely"), (None, "lonely")]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_shingles int")
+    got = [(r.doc_id, r.text) for r in jaccard.representatives(docs).collect()]
+    want = [(1, long), (1, "quite another text of some words"), (3, ""), (3, None), (3, " "), (None, ""), (None, "lonely")]
+    assert sorted(got, key=str) == sorted(want, key=str)

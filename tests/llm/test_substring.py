@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fleetpulse.llm import common, substring
 
@@ -80,3 +81,36 @@ def test_given_documents_and_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     check(spark, [tuple(r) for r in docs.collect()])
     assert substring.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_colliding_text_hashes(spark, monkeypatch):
+    monkeypatch.setattr(substring, "_short_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(5)))
+    draw = random.Random(5)
+    line = lambda n: [f"w{draw.randint(0, 10**6)}" for _ in range(n)]
+    p = line(70)
+    rows = [(i, " ".join(line(50) + (p if i % 3 == 0 else []))) for i in range(60)]
+    check(spark, rows + [(100, rows[5][1]), (101, None), (102, None)])
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common.Bitmap, "BITS", 7)
+    monkeypatch.setattr(common.Bitmap, "MOST", 7)
+    draw = random.Random(8)
+    line = lambda n: [f"w{draw.randint(0, 10**6)}" for _ in range(n)]
+    p = [line(60) for _ in range(30)]
+    check(spark, [(i, " ".join(line(50) + p[i % 30][i % 7 :] + line(9))) for i in range(90)])
+
+
+def test_bitmap_grows_with_the_count(spark):
+    assert [common.Bitmap.bits_for(n) for n in (0, 2_000_000, 3_000_000, 20_000_000, 10**9)] == [25, 25, 26, 28, 28]
+    keys = spark.range(4_000_000).select(F.xxhash64("id").alias("h"))
+    bitmap = common.Bitmap.of("h", keys)
+    assert 64 * len(bitmap) == 1 << 26
+    some = keys.limit(20_000).toPandas()["h"].to_numpy().view(np.uint64)
+    assert common.Bitmap.has(bitmap, some).all() and common.Bitmap.has(bitmap, common.mixed(some + np.uint64(1))).mean() < 0.02
+
+
+def test_told_apart(spark):
+    rows = spark.range(200).select(F.expr("id % 50 % 3").alias("key"), F.expr("id % 50").alias("mark"))
+    out = rows.select(common.told_apart(rows, F.col("key"), F.col("mark")).alias("k"), "mark").distinct().collect()
+    assert len(out) == 50 and len({r.k for r in out}) == 50
