@@ -2,7 +2,7 @@
 
 The blended-spectrum kernel counts the character n-grams (n = 1 to 3, hashed into FEATURES) that
 two texts share, over the root of the product of their numbers. It is not taken between all
-texts: a Nystroem map through LANDMARKS example texts gives every text a short vector, on which
+texts: a Nystroem map through LANDMARKS example texts (one for each language at least) gives every text a short vector, on which
 one-versus-rest kernel ridge regressions are solved. Scoring is two matrix products per batch.
 
 The model is fitted on a bounded sample, at most PER_LANGUAGE learn rows of each language by
@@ -64,13 +64,16 @@ class KernelModel:
 
 
 def fit(grams: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-    """Kernel ridge regression on Nystroem features; languages weigh alike."""
+    """Kernel ridge regression on Nystroem features; languages weigh alike.
+
+    Every language has a landmark: with more languages than `landmarks` there are as many as languages.
+    """
     languages = sorted(set(langs))
     which = np.array([languages.index(x) for x in langs])
     turn = np.zeros(len(which), int)
     for c in range(len(languages)):
         turn[which == c] = np.arange(np.sum(which == c))
-    chosen = np.lexsort((which, turn))[:landmarks]
+    chosen = np.lexsort((which, turn))[: max(landmarks, len(languages))]
     scaled = grams / np.sqrt(np.maximum(grams.sum(axis=1, keepdims=True), 1))
     base = scaled[chosen].T.astype(np.float32)
     value, vector = np.linalg.eigh((scaled[chosen] @ base).astype(np.float64))

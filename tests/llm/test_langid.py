@@ -52,3 +52,39 @@ def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
     langid.train(docs, F.lit(True), per_language=25)
     langid.train(docs, F.lit(True), per_language=1000)
     assert sizes == [25, 120]
+
+
+def _grams(texts):
+    grams = np.zeros((len(texts), langid.FEATURES), np.float32)
+    for i, t in enumerate(texts):
+        langid.ngram_set(t, grams[i])
+    return grams
+
+
+def test_equals_a_direct_kernel_ridge():
+    draw = np.random.default_rng(3)
+    words = {"en": "the cat sat on a mat".split(), "fr": "le chat est sur la table".split(), "de": "die katze sitzt auf dem tisch".split()}
+    sample = lambda n: [(k, " ".join(draw.choice(words[k], 4))) for k in words for _ in range(n + len(k) * (k == "en"))]
+    learn, other = sample(9), sample(5)
+    model = langid.fit(_grams([t for _, t in learn]), [k for k, _ in learn], landmarks=len(learn))
+    sets = lambda rows: [set(np.flatnonzero(g).tolist()) for g in _grams([t for _, t in rows])]
+    kernel = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    langs = sorted(words)
+    y = np.array([[1.0 if k == c else -1.0 for c in langs] for k, _ in learn])
+    count = np.array([sum(k == l for l, _ in learn) for k, _ in learn])
+    dual = np.linalg.solve(kernel(sets(learn), sets(learn)) + langid.RIDGE * np.diag(count), y)
+    raw = np.clip((kernel(sets(other), sets(learn)) @ dual + 1) / 2, 1e-3, 1)
+    want = raw / raw.sum(axis=1, keepdims=True)
+    got = model.scores(_grams([t for _, t in other]))
+    assert np.abs(got - want).max() < 5e-3 and [langs[i] for i in got.argmax(axis=1)] == [k for k, _ in other]
+
+
+def test_more_languages_than_landmarks():
+    draw = np.random.default_rng(4)
+    alphabet = [chr(0x4E00 + i) for i in range(3000)]
+    langs = [f"l{i:03}" for i in range(150) for _ in range(4)]
+    texts = ["".join(draw.choice(alphabet[20 * int(x[1:]) : 20 * int(x[1:]) + 20], 30)) for x in langs]
+    model = langid.fit(_grams(texts), langs)
+    assert model.landmarks.shape[1] == 150
+    best = model.scores(_grams(texts)).argmax(axis=1)
+    assert np.mean([model.languages[b] == x for b, x in zip(best, langs, strict=True)]) > 0.97
