@@ -3,18 +3,15 @@
 Each model is an L1 logistic regression on robust-scaled features with balanced class
 weights; C is searched exhaustively by stratified cross-validation on ROC-AUC. Scaler
 and weights belong to the searched model, so they are fitted per fold, all from shared
-passes. The rows of a search are written once with their fold, and each training set is cached
-in as few partitions as its rows need: an optimizer step is a job over all of them. Models are
-fitted with the pyspark.ml estimator from a few driver threads. A penalty at or above the
+passes. The rows of a search are written once with their fold, and each training set is cached.
+All C of a training set are fitted together by Newton steps, one pass over the rows for each step,
+so that a search takes some tens of passes, whatever the length of the grid. A penalty at or above the
 largest gradient at zero gives the zero model, which needs no fit; only the chosen C is refitted
-on all rows. A model that reaches `max_iter` is reported as not converged.
+on all rows. A model that reaches `max_iter` steps is reported as not converged.
 
 The penalised objective is sum(w * logloss) * C + |b|_1 with the intercept penalised
-too. The pyspark.ml estimator minimises mean logloss + regParam * |b|_1, which is the
-same for regParam = 1 / (C * sum(w)), and leaves its own intercept free. To penalise
-the intercept, a constant input is used instead. The loss of (x, y) equals that of
-(-x, 1 - y), so half of the rows are mirrored: the constant becomes +1 or -1, which
-keeps the estimator from discarding it as a zero-variance column.
+too; the steps minimise the same divided by C * sum(w), mean logloss + |b|_1 / (C * sum(w)). The
+intercept is the coefficient of a constant input.
 """
 
 from __future__ import annotations
@@ -28,8 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +45,9 @@ MODE_TRAINING = TrainConfig(grid=tuple(logspace(-2, 2, 20)), max_iter=5000, targ
 FULL = "full"
 BIAS = "__bias"
 FOLD = "__fold"
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK = 100_000
+SLICE_ROWS = 2048
+SWEEPS = 300
 
 
 @dataclass(frozen=True)
@@ -110,52 +108,123 @@ def _scaled(features: Sequence[str], stats: SetStats) -> list[Column]:
     ]
 
 
-def _estimator_input(
-    df: DataFrame, features: Sequence[str], label: str, stats: SetStats
-) -> DataFrame:
-    """(features vector, label, weight) of one training set, half of the rows mirrored."""
-    scaled = _scaled(features, stats)
-    names = [f"__z{i}" for i in range(len(features))]
-    y = c(label).cast("double")
-    weight = F.when(c(label) == 1, F.lit(stats.weights[1])).otherwise(F.lit(stats.weights[0]))
-    # any repeatable half will do
-    sign = F.when(F.xxhash64(*scaled, y) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    df = df.select(*scaled, y.alias("y"), weight.alias("weight"), sign.alias("sign")).toDF(
-        *names, "y", "weight", "sign"
-    )
-    df = df.select(
-        *[(F.col(n) * F.col("sign")).alias(n) for n in names],
-        F.col("sign").alias(BIAS),
-        F.when(F.col("sign") > 0, F.col("y")).otherwise(1.0 - F.col("y")).alias("label"),
-        "weight",
-    )
-    names = [*names, BIAS]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(df).select("features", "label", "weight")
-
-
-def fit_logistic(data: DataFrame, c_value: float, n: int, config: TrainConfig) -> LogisticRegressionModel:
-    """Balanced weights sum to n, so regParam = 1 / (C * n)."""
-    return LogisticRegression(
-        elasticNetParam=1.0,
-        regParam=1.0 / (c_value * n),
-        standardization=False,
-        fitIntercept=False,
-        weightCol="weight",
-        maxIter=config.max_iter,
-        tol=config.tol,
-    ).fit(data)
-
-
-def to_linear_model(
-    name: str, features: Sequence[str], stats: SetStats, fitted: LogisticRegressionModel
-) -> LinearModel:
-    *b, intercept = [float(v) for v in fitted.coefficients.toArray()]
-    return LinearModel(name, tuple(features), tuple(b), stats.centers, stats.scales, intercept)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the upper half of an n x n matrix."""
+    return np.triu_indices(n)
 
 
-def converged(fitted: LogisticRegressionModel, config: TrainConfig) -> bool:
-    """Whether the optimizer stopped by itself."""
-    return fitted.summary.totalIterations < config.max_iter
+def _loss_sums(data: DataFrame, n_inputs: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian sums of (inputs, y, weight) rows at many points (rows), from one pass.
+
+    Tasks add up their rows, so that only one number per task, point and entry is shuffled.
+    """
+    up, across = _pairs(n_inputs)
+    width = 1 + n_inputs + len(up)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(points), width))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                *x, y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_inputs + 2))
+                x, y, w = np.column_stack(x), y[:, None], w[:, None]
+                eta = x @ points.T
+                small = np.exp(-np.abs(eta))
+                p = np.where(eta >= 0, 1.0, small) / (1.0 + small)
+                sums[:, 0] += (w * (np.log1p(small) + np.maximum(eta, 0.0) - y * eta)).sum(axis=0)
+                sums[:, 1 : 1 + n_inputs] += (w * (p - y)).T @ x
+                sums[:, 1 + n_inputs :] += (w * small / (1.0 + small) ** 2).T @ (x[:, up] * x[:, across])
+        point, place = np.divmod(np.arange(sums.size), width)
+        yield pa.record_batch([pa.array(c) for c in (point, place, sums.ravel())], names=["point", "place", "value"])
+
+    added = data.mapInArrow(run, "point long, place long, value double").groupBy("point", "place").agg(F.sum("value"))
+    sums = np.zeros((len(points), width))
+    for point, place, value in added.collect():  # points x width rows
+        sums[point, place] = value
+    hessian = np.zeros((len(points), n_inputs, n_inputs))
+    hessian[:, up, across] = hessian[:, across, up] = sums[:, 1 + n_inputs :]
+    return sums[:, 0], sums[:, 1 : 1 + n_inputs], hessian
+
+
+def _newton_steps(b: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """For each point (row), the least of gradient * d + d * hessian * d / 2 + penalty * |b + d|_1.
+
+    Coordinate descent finds the signs, the equations of the inputs that are not zero give the values.
+    """
+    n = b.shape[1]
+    curve = np.einsum("mii->mi", hessian)
+    flat = curve <= 1e-14 * np.maximum(curve.max(axis=1, keepdims=True), 1e-300)
+    curve, limit = np.where(flat, 1.0, curve), penalty[:, None]
+
+    def value(k: int, at: np.ndarray) -> float:
+        d = at - b[k]
+        return gradient[k] @ d + d @ hessian[k] @ d / 2 + penalty[k] * np.abs(at).sum()
+
+    at = b.copy()
+    slope = gradient.copy()
+    for _ in range(SWEEPS):
+        moved = 0.0
+        for i in range(n):
+            u = curve[:, i] * at[:, i] - slope[:, i]
+            new = np.sign(u) * np.maximum(np.abs(u) - penalty, 0.0) / curve[:, i]
+            change = np.where(flat[:, i], 0.0, new - at[:, i])
+            at[:, i] += change
+            slope += change[:, None] * hessian[:, i]
+            moved = max(moved, float(np.max(np.abs(change) / (1e-300 + np.abs(at).max(axis=1)))))
+        if moved < 1e-13:
+            break
+    off = np.abs(slope) > limit
+    for k in range(len(b)):
+        used = np.flatnonzero(((at[k] != 0.0) | off[k]) & ~flat[k])
+        sign = np.where(at[k] != 0.0, np.sign(at[k]), -np.sign(slope[k]))[used]
+        solved = np.zeros(n)
+        right = hessian[k][used] @ b[k] - gradient[k][used] - penalty[k] * sign
+        solved[used] = np.linalg.lstsq(hessian[k][np.ix_(used, used)], right, rcond=1e-14)[0]
+        if (np.sign(solved[used]) == sign).all() and value(k, solved) <= value(k, at[k]):
+            at[k] = solved
+    return at - b
+
+
+def fit_logistic(
+    data: DataFrame, n_inputs: int, c_values: Sequence[float], n: int, config: TrainConfig
+) -> list[tuple[np.ndarray, bool]]:
+    """(coefficients, whether the steps ended by themselves) of (inputs, y, weight) rows for every C.
+
+    Newton steps for all C together, one pass over the rows for each: the pass gives loss, gradient and
+    Hessian at the points tried, the driver solves one small penalised problem per C. A step that
+    does not lower the objective is halved. A fit ends when its step promises less than `tol` squared of the
+    objective, or nothing that a double can tell.
+    """
+    penalty = np.array([1.0 / (v * n) for v in c_values])
+    tried = np.zeros((len(c_values), n_inputs))
+    best, step, promised = tried.copy(), np.zeros_like(tried), np.zeros(len(tried))
+    value, done = np.full(len(tried), np.inf), np.zeros(len(tried), bool)
+    for _ in range(config.max_iter):
+        left = np.flatnonzero(~done)
+        if not len(left):
+            break
+        loss, gradient, hessian = (x / n for x in _loss_sums(data, n_inputs, tried[left]))
+        now = loss + penalty[left] * np.abs(tried[left]).sum(axis=1)
+        lower = now <= value[left] - 1e-4 * promised[left]
+        for k in left[~lower]:
+            step[k] /= 2
+            promised[k] /= 2
+        taken = left[lower]
+        best[taken], value[taken] = tried[taken], now[lower]
+        if len(taken):
+            g, h, size = gradient[lower], hessian[lower], np.abs(best[taken]).sum(axis=1)
+            step[taken] = _newton_steps(best[taken], g, h, penalty[taken])
+            size = np.abs(best[taken] + step[taken]).sum(axis=1) - size
+            promised[taken] = -(np.einsum("mi,mi->m", g, step[taken]) + penalty[taken] * size)
+        tried[left] = best[left] + step[left]
+        done[left] = promised[left] <= np.maximum(config.tol**2, 1e-15) * value[left]
+        best[done] = tried[done]
+    return [(b, bool(d)) for b, d in zip(best, done)]
+
+
+def to_linear_model(name: str, features: Sequence[str], stats: SetStats, fitted: np.ndarray) -> LinearModel:
+    *b, intercept = fitted.tolist()
+    return LinearModel(name, tuple(features), tuple(b), stats.centers, stats.scales, intercept)
 
 
 def pipeline_model(model: LinearModel) -> PipelineModel:
@@ -196,15 +265,13 @@ def _fit_set(
     left = [v for v in grid if v not in found]
     if not left:
         return found
-    data = _estimator_input(rows_in, features, label, stats).coalesce(max(1, -(-stats.rows // ROWS_PER_TASK)))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    weight = F.when(c(label) == 1, F.lit(stats.weights[1])).otherwise(F.lit(stats.weights[0]))
+    inputs = [*_scaled(features, stats), F.lit(1.0), c(label).cast("double"), weight]
+    data = rows_in.select(*[x.alias(f"x{i}") for i, x in enumerate(inputs)])
+    data = data.coalesce(max(1, -(-stats.rows // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # the largest C takes the most steps and goes first
-        left = sorted(left, reverse=True)
-        with ThreadPoolExecutor(config.parallelism) as pool:
-            fitted = pool.map(lambda v: fit_logistic(data, v, stats.rows, config), left)
-            for v, m in zip(left, fitted):
-                found[v] = to_linear_model(f"{name}/{v}", features, stats, m), converged(m, config)
+        for v, (b, done) in zip(left, fit_logistic(data, len(features) + 1, left, stats.rows, config)):
+            found[v] = to_linear_model(f"{name}/{v}", features, stats, b), done
     finally:
         data.unpersist()
     return found
@@ -341,11 +408,12 @@ def train_model(
         sets = {FULL: F.lit(True), **{f"fold{k}": c(FOLD) != k for k in range(config.folds)}}
         stats = set_statistics(train, features, label, sets, exact)
         steepest = gradients_at_zero(train, features, label, sets, stats)
-        models = {}
-        for k in range(config.folds):
-            s = f"fold{k}"
-            found = _fit_set(train.where(sets[s]), features, label, stats[s], steepest[s], config.grid, s, config)
-            models |= {(s, v): m for v, m in found.items()}
+        searched = [s for s in sets if s != FULL]
+        with ThreadPoolExecutor(config.parallelism) as pool:
+            fits = pool.map(
+                lambda s: _fit_set(train.where(sets[s]), features, label, stats[s], steepest[s], config.grid, s, config), searched
+            )
+            models = {(s, v): m for s, found in zip(searched, fits) for v, m in found.items()}
         table = search_c(train, features, label, FOLD, models, config)
         best = max(table, key=lambda r: (-1.0 if r[1] is None else r[1], -r[0]))[0]
         found = _fit_set(train, features, label, stats[FULL], steepest[FULL], [best], FULL, config)

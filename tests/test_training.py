@@ -57,6 +57,23 @@ def test_fits_are_optimal(machines):
             assert objective(b + rng.normal(size=5) * 1e-3, z, y, w, c) >= mine - 1e-6 * mine
 
 
+def test_a_search_takes_few_passes_whatever_its_grid(spark, machines):
+    def last_job():
+        spark.sparkContext.setJobGroup("count", "")
+        spark.range(1).foreach(lambda _: None)
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup("count"))
+
+    config = TrainConfig(grid=tuple(10.0 ** (i / 4 - 2) for i in range(20)), max_iter=3000, target_recall=0.7)
+    sets = {"full": F.lit(True)}
+    stats = training.set_statistics(machines, FEATURES, "y", sets)["full"]
+    before = last_job()
+    found = training._fit_set(machines, FEATURES, "y", stats, 1.0, config.grid, "full", config)
+    assert last_job() - before < 100
+    assert len(found) == 20 and all(done for _, done in found.values())
+    for c, (model, _) in found.items():
+        assert training.optimality_gap(machines, model, "y", c) < 1e-8
+
+
 def test_histogram_auc_within_its_bound(machines):
     rng = np.random.default_rng(4)
     models = [LinearModel(f"m{i}", tuple(FEATURES), tuple(rng.normal(size=4) * (i > 0)), (0.0,) * 4, (1.0,) * 4, 0.1) for i in range(4)]
