@@ -1,3 +1,6 @@
+import cProfile
+import pstats
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -207,3 +210,38 @@ def test_watermark_drops_what_is_behind(spark, tmp_path):
         monitor.write_stream(stream, out, str(tmp_path / "checkpoint"), drain=True).awaitTermination()
     got = [(r.start.hour, r.readings) for r in spark.read.parquet(out).orderBy("start").collect()]
     assert got == [(0, 1), (5, 1)]
+
+
+def test_fast_order_and_rounding_equal_the_plain_ones():
+    draw = np.random.default_rng(3)
+    values = np.concatenate([draw.random(5000), draw.integers(0, 20_000, 5000) / 20_000, [0.0, 1.0, 0.99995, 0.00005, np.nan]])
+    plain = [float(monitor.Decimal(repr(float(v))).quantize(monitor._DIGITS, monitor.ROUND_HALF_UP)) for v in values]
+    assert np.array_equal(monitor._rounded(values), plain, equal_nan=True)
+    rows = readings(300)
+    rows["ts"] = rows["ts"].dt.floor("10s")
+    for missing in (False, True):
+        if missing:
+            rows.loc[draw.integers(0, 300, 40), "ts"] = pd.NaT
+        mixed = rows.iloc[draw.permutation(300)]
+        mixed["event_id"] %= 5
+        assert monitor.in_order(mixed, ["ts", "event_id"]).equals(mixed.sort_values(["ts", "event_id"], na_position="first"))
+        assert monitor.unpacked(monitor.packed(mixed)).equals(mixed)
+    table = monitor.pa.Table.from_pandas(rows.iloc[:3], preserve_index=False)
+    sink = monitor.pa.BufferOutputStream()
+    with monitor.pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    assert len(monitor.unpacked(sink.getvalue().to_pybytes())) == 3  # state of older checkpoints
+
+
+@pytest.mark.parametrize("options, most", [({}, 8_000), ({"chunk_rows": 16}, 18_000), ({"delay": 20}, 12_000)])
+def test_a_visit_of_a_short_series_is_cheap(options, most):
+    """Calls per visit, after a first one has loaded what is loaded once."""
+    handle, rows = FakeHandle(), readings(66)
+    run(processor(handle, **options), [rows.iloc[:22]])
+    counted = cProfile.Profile()
+    p = processor(handle, **options)
+    counted.enable()
+    for _ in p.handleInputRows((7,), iter([rows.iloc[22:44]]), Clock()):
+        pass
+    counted.disable()
+    assert pstats.Stats(counted).total_calls < most
