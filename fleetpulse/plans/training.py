@@ -446,7 +446,12 @@ def train_risk_model(
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """The table kept for many passes: in the checkpoint folder, so that a lost executor does not
     bring back the feature windows, and cached."""
-    cached = settled(df).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = settled(df)
+    # few classes leave their rows in few partitions
+    tasks = -(-kept.count() // ROWS_PER_TASK)
+    if kept.rdd.getNumPartitions() < tasks:
+        kept = kept.repartition(tasks)
+    cached = kept.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield cached
     finally:

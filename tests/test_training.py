@@ -202,3 +202,9 @@ def test_sources(spark, tmp_path):
     assert sensors.read_sensor_table(spark, out, "parquet").count() == 2
     sensors.snapshot_once(df.limit(1), out)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_stored_rows_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
+    with training.stored(spark.range(1500).coalesce(1)) as kept:
+        assert kept.rdd.getNumPartitions() == 15 and kept.distinct().count() == 1500
