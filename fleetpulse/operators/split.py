@@ -3,13 +3,16 @@
 A split "first n rows in this order" only needs the order value of row n. That cut is
 found by counting rows per cell of the value range and narrowing down to the cell that
 holds it, so only histograms move; the split itself is then a filter. The cut is kept as
-literal values, which makes the split repeatable when a stage is recomputed.
+literal values, which makes the split repeatable when a stage is recomputed. Classes with more
+than `hot_rows` rows are split at such cuts too; only rows that are equal in all sort columns
+and share a cut are numbered.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +20,11 @@ from pyspark.sql import types as T
 
 from ..config import Series
 from ..functions.columns import c, cols
-from .series import axis, drop_slices, row_index
+from .series import axis, drop_slices, may_be_hot, row_index, settled
 
 CELLS = 4096
 FINISH_ROWS = 100_000
+CUT_CLASSES = 32
 TRAIN, TEST = "train", "test"
 
 
@@ -94,6 +98,16 @@ def _finish(rest: DataFrame, columns: Sequence[str], rank: int) -> tuple:
     return tuple(ranked.where(F.col("__rank") == rank).drop("__rank").first())
 
 
+def _literal(df: DataFrame, name: str, v) -> Column:
+    """A value that was read from the column. Times without zone go by their text, whatever the time zones."""
+    kind = df.schema[name].dataType
+    return F.lit(str(v) if isinstance(kind, T.TimestampNTZType) else v).cast(kind)
+
+
+def _equal(df: DataFrame, columns: Sequence[str], values: Sequence) -> Column:
+    return reduce(lambda a, b: a & b, [c(n).eqNullSafe(_literal(df, n, v)) for n, v in zip(columns, values)])
+
+
 def not_after(df: DataFrame, columns: Sequence[str], values: Sequence) -> Column:
     """(columns) <= (values) in sort order, NULLs first."""
     result = F.lit(True)
@@ -101,7 +115,7 @@ def not_after(df: DataFrame, columns: Sequence[str], values: Sequence) -> Column
         if v is None:
             result = c(name).isNull() & result
         else:
-            at = F.lit(v).cast(df.schema[name].dataType)
+            at = _literal(df, name, v)
             result = c(name).isNull() | (c(name) < at) | ((c(name) == at) & result)
     return F.coalesce(result, F.lit(False))
 
@@ -129,6 +143,63 @@ def _placed(df: DataFrame, label: str, order: str, tiebreak: Sequence[str], hot_
     return drop_slices(row_index(df, Series((label,), order, tuple(tiebreak), hot_rows), "__place"))
 
 
+def _few_hot_classes(df: DataFrame, label: str, hot_rows: int | None) -> bool:
+    """Whether a class is too large for one task, and the classes are so few that each can have its cuts."""
+    if hot_rows is None or not may_be_hot(df, Series((), label, (), hot_rows)):
+        return False
+    sizes = df.where(c(label).isNotNull()).groupBy(c(label).alias("__class")).count()
+    largest = sizes.orderBy(F.col("count").desc()).limit(CUT_CLASSES + 1).collect()
+    return 0 < len(largest) <= CUT_CLASSES and largest[0]["count"] > hot_rows
+
+
+def _blocks(
+    df: DataFrame, label: str, columns: Sequence[str], ends: dict, hot_rows: int | None, finish_rows: int = FINISH_ROWS
+) -> DataFrame:
+    """Add __block: how many of the `ends` of its class are before the 1-based place of a row in the order of `columns`.
+
+    `ends` has a list of places per class. Each place becomes a cut value, so that blocks are
+    conditions on the shortest list of columns that tells them apart. Rows equal in all columns that share a cut
+    are numbered among themselves.
+    """
+    wanted = sorted({(y, e) for y, places in ends.items() for e in places}, key=str)
+    sizes = df.agg(*[F.count_if(c(label) == F.lit(y)).alias(f"n{i}") for i, (y, _) in enumerate(wanted)]).first()
+    inner = [(y, e) for i, (y, e) in enumerate(wanted) if 0 < e < sizes[i]]
+    cuts = {(y, e): cut_point(df.where(c(label) == F.lit(y)), columns, e, finish_rows) for y, e in inner}
+    counted = [(y, e, k, v[:k]) for (y, e), v in cuts.items() for k in range(1, len(columns) + 1)]
+    sums = [F.count_if((c(label) == F.lit(y)) & not_after(df, columns, v)).alias(f"c{i}") for i, (y, _, _, v) in enumerate(counted)]
+    sums += [F.count_if((c(label) == F.lit(y)) & _equal(df, columns, v)).alias(f"e{i}") for i, ((y, _), v) in enumerate(cuts.items())]
+    found = df.agg(*sums).first() if sums else ()
+    upto = {(y, e, k): found[i] for i, (y, e, k, _) in enumerate(counted)}
+    equal = {at: found[len(counted) + i] for i, at in enumerate(cuts)}
+
+    block = F.lit(None).cast("int")
+    shared: dict = {}  # (class, place) whose cut falls among equal rows -> rows before those
+    for y, places in ends.items():
+        beyond = []
+        for e in places:
+            if (y, e) not in cuts:
+                beyond.append(F.lit(int(e <= 0)))
+                continue
+            exact = next((k for k in range(1, len(columns) + 1) if upto[y, e, k] == e), None)
+            if exact is None:
+                shared[y, e] = upto[y, e, len(columns)] - equal[y, e]
+            beyond.append((~not_after(df, columns, cuts[y, e][:exact])).cast("int"))
+        block = F.when(c(label) == F.lit(y), reduce(lambda a, b: a + b, beyond)).otherwise(block)
+    if not shared:
+        return df.select("*", block.alias("__block"))
+    groups = {at: F.coalesce((c(label) == F.lit(at[0])) & _equal(df, columns, cuts[at]), F.lit(False)) for at in shared}
+    in_group = reduce(lambda a, b: a | b, groups.values())
+    order, *tiebreak = columns
+    tied = drop_slices(row_index(df.where(in_group), Series((label, *columns), order, tuple(tiebreak), hot_rows), "__place"))
+    block_of = F.lit(None).cast("int")
+    for (y, e), inside in groups.items():
+        place = F.col("__place") + F.lit(shared[y, e])
+        block_of = F.when(inside, reduce(lambda a, b: a + b, [(place > end).cast("int") for end in ends[y]])).otherwise(block_of)
+    # settled, as equal rows may be numbered otherwise when a stage is recomputed
+    numbered = settled(tied.select(*cols(df.columns), block_of.alias("__block")))
+    return df.where(~in_group).select("*", block.alias("__block")).unionByName(numbered)
+
+
 def _of_class(df: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """Join one row per class (__class, ...); rows without a label keep NULLs."""
     return df.join(classes, c(label) == F.col("__class"), "left")
@@ -142,11 +213,13 @@ def stratified_split(
     seed: int = 42,
     name: str = "split",
     hot_rows: int | None = 1_000_000,
+    spread: str | None = None,
+    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Random split with exact per-class counts: per class, the rows of lowest hash train.
 
     Training rows are shared out to the classes in proportion, by largest remainder. Rows
-    without a label get no split.
+    without a label get no split. `spread` names a column that already has the hash, `spread_key` of the id and seed.
     """
     sizes = df.where(c(label).isNotNull()).groupBy(c(label).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
     # windows over one row per class
@@ -158,13 +231,25 @@ def stratified_split(
     by_remainder = Window.orderBy((F.col("__floor") - F.col("__exact")).asc(), "__class")
     more = F.row_number().over(by_remainder) <= F.col("__draws") - F.sum("__floor").over(whole)
     train = shares.select("__class", (F.col("__floor") + more.cast("long")).alias("__train"))
-    placed = _placed(df.withColumn("__h", spread_key(id_column, seed)), label, "__h", [id_column], hot_rows)
+    order = spread or "__h"
+    hashed = df if spread else df.withColumn("__h", spread_key(id_column, seed))
+    if _few_hot_classes(df, label, hot_rows):
+        ends = {y: [n] for y, n in train.collect()}  # CUT_CLASSES rows at most
+        side = F.when(F.col("__block") == 0, TRAIN).when(F.col("__block") == 1, TEST)
+        return _blocks(hashed, label, [order, id_column], ends, hot_rows, finish_rows).select(*cols(df.columns), side.alias(name))
+    placed = _placed(hashed, label, order, [id_column], hot_rows)
     side = F.when(F.col("__place") <= F.col("__train"), TRAIN).when(F.col("__train").isNotNull(), TEST)
     return _of_class(placed, train, label).select(*cols(df.columns), side.alias(name))
 
 
 def stratified_folds(
-    df: DataFrame, label: str, series: Series, folds: int = 3, name: str = "fold", hot_rows: int | None = 1_000_000
+    df: DataFrame,
+    label: str,
+    series: Series,
+    folds: int = 3,
+    name: str = "fold",
+    hot_rows: int | None = 1_000_000,
+    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Unshuffled stratified folds: per class, consecutive blocks in time order.
 
@@ -181,9 +266,12 @@ def stratified_folds(
     before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("__n").over(before), F.lit(0))
     classes = classes.select("__class", "__n", offset.alias("__offset"))
-    placed = _of_class(_placed(df, label, series.order, series.tiebreak, hot_rows), classes, label)
     # fold i was dealt every folds-th place from (i - offset) mod folds on
     dealt = [F.ceil((F.col("__n") - F.pmod(F.lit(i) - F.col("__offset"), F.lit(folds))) / folds) for i in range(folds)]
     ends = [sum(dealt[1 : i + 1], dealt[0]) for i in range(folds - 1)]
+    if ends and _few_hot_classes(df, label, hot_rows):
+        by_class = {y: places for y, *places in classes.select("__class", *ends).collect()}  # CUT_CLASSES rows at most
+        return _blocks(df, label, columns, by_class, hot_rows, finish_rows).select(*cols(df.columns), F.col("__block").alias(name))
+    placed = _of_class(_placed(df, label, series.order, series.tiebreak, hot_rows), classes, label)
     fold = sum(((F.col("__place") > end).cast("int") for end in ends), F.lit(0))
     return placed.select(*cols(df.columns), F.when(F.col("__n").isNotNull(), fold).alias(name))

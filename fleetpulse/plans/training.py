@@ -3,7 +3,9 @@
 Each model is an L1 logistic regression on robust-scaled features with balanced class
 weights; C is searched exhaustively by stratified cross-validation on ROC-AUC. Scaler
 and weights belong to the searched model, so they are fitted per fold, all from shared
-passes. The rows of a search are written once with their fold, and each training set is cached.
+passes. The rows of a search are written once, compressed, and removed afterwards. Tables of up to
+CACHED_ROWS rows are cached, as is each training set; larger ones are read again for each pass, and split and
+folds are conditions on them, so that no second copy is made.
 All C of a training set are fitted together by Newton steps, one pass over the rows for each step,
 so that a search takes some tens of passes, whatever the length of the grid. A penalty at or above the
 largest gradient at zero gives the zero model, which needs no fit; only the chosen C is refitted
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LabelSpec, Series, TrainConfig
@@ -34,8 +36,8 @@ from ..functions.columns import c, cols, logspace
 from ..functions.linear import LinearModel
 from ..operators import evaluate, rows
 from ..operators.quantiles import robust_scale_stats
-from ..operators.series import settled
-from ..operators.split import TEST, TRAIN, chronological_split, stratified_folds, stratified_split
+from ..operators.split import TEST, TRAIN, chronological_split, spread_key, stratified_folds, stratified_split
+from ..sources.sensors import scratch_path
 
 # The published search settings.
 RISK_TRAINING = TrainConfig(grid=tuple(logspace(-5, 7, 50)), max_iter=3000, target_recall=0.765)
@@ -45,7 +47,9 @@ MODE_TRAINING = TrainConfig(grid=tuple(logspace(-2, 2, 20)), max_iter=5000, targ
 FULL = "full"
 BIAS = "__bias"
 FOLD = "__fold"
+SPREAD = "__spread"
 ROWS_PER_TASK = 100_000
+CACHED_ROWS = 1_000_000
 SLICE_ROWS = 2048
 SWEEPS = 300
 
@@ -268,12 +272,15 @@ def _fit_set(
     weight = F.when(c(label) == 1, F.lit(stats.weights[1])).otherwise(F.lit(stats.weights[0]))
     inputs = [*_scaled(features, stats), F.lit(1.0), c(label).cast("double"), weight]
     data = rows_in.select(*[x.alias(f"x{i}") for i, x in enumerate(inputs)])
-    data = data.coalesce(max(1, -(-stats.rows // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    small = stats.rows <= CACHED_ROWS
+    if small:
+        data = data.coalesce(max(1, -(-stats.rows // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for v, (b, done) in zip(left, fit_logistic(data, len(features) + 1, left, stats.rows, config)):
             found[v] = to_linear_model(f"{name}/{v}", features, stats, b), done
     finally:
-        data.unpersist()
+        if small:
+            data.unpersist()
     return found
 
 
@@ -404,7 +411,9 @@ def train_model(
     used = dict.fromkeys([*series.keys, series.order, *series.tiebreak, *features, label, split])
     kept = df.select(*cols(used))
     folded = stratified_folds(kept.where(c(split) == TRAIN), label, series, config.folds, FOLD)
-    with stored(folded.select(*cols([*features, label, FOLD]))) as train:
+    folded = folded.select(*cols([*features, label, FOLD]))
+    # splits by literal cuts of a stored table are read from there, without a copy
+    with stored(folded) if moves_rows(folded) else nullcontext(folded) as train:
         sets = {FULL: F.lit(True), **{f"fold{k}": c(FOLD) != k for k in range(config.folds)}}
         stats = set_statistics(train, features, label, sets, exact)
         steepest = gradients_at_zero(train, features, label, sets, stats)
@@ -442,20 +451,52 @@ def train_risk_model(
         return _with_report(train_model(ordered, "risk", features, labels.target, series, labels, config, exact=exact))
 
 
+def moves_rows(df: DataFrame) -> bool:
+    """Whether a pass over the table shuffles or sorts rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" in plan or "Sort" in plan
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of an action go when it ends: its result is kept elsewhere."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The table kept for many passes: in the checkpoint folder, so that a lost executor does not
-    bring back the feature windows, and cached."""
-    kept = settled(df)
-    # few classes leave their rows in few partitions
-    tasks = -(-kept.count() // ROWS_PER_TASK)
-    if kept.rdd.getNumPartitions() < tasks:
-        kept = kept.repartition(tasks)
-    cached = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    """The table kept for many passes: compressed in the shared folder, so that a lost executor does not
+    bring back the feature windows, and cached if it is small. It is removed in the end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any column name can be stored
+    with released(spark):
+        plain.write.option("compression", "zstd").option("maxRecordsPerFile", 10 * ROWS_PER_TASK).parquet(path)
+    kept = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    n = kept.count()
+    cached = None
+    if n <= CACHED_ROWS:
+        # few classes leave their rows in few partitions
+        tasks = -(-n // ROWS_PER_TASK)
+        if kept.rdd.getNumPartitions() < tasks:
+            kept = kept.repartition(tasks)
+        kept = cached = kept.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield cached
+        yield kept
     finally:
-        cached.unpersist()
+        if cached is not None:
+            cached.unpersist()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _with_report(trained: Trained) -> Trained:
@@ -478,11 +519,11 @@ def train_mode_models(
     rows.check_no_leakage(features, labels)
     used = dict.fromkeys([id_column, *series.keys, series.order, *series.tiebreak, *features, *labels.modes])
     failures = rows.complete_cases(rows.failures_only(df, labels.target).select(*cols(used)), list(features))
-    with stored(failures) as kept:
+    with stored(failures.withColumn(SPREAD, spread_key(id_column, config.seed))) as kept:
         return [
             _with_report(
                 train_model(
-                    stratified_split(kept, mode, id_column, 1.0 - config.train_fraction, config.seed),
+                    stratified_split(kept, mode, id_column, 1.0 - config.train_fraction, config.seed, spread=SPREAD),
                     mode, features, mode, series, labels, config, exact=exact,
                 )
             )

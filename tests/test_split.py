@@ -98,3 +98,27 @@ def test_stratified_split_counts(table):
 def test_published_test_size(spark):
     df = spark.range(339).select("id", (F.col("id") < 46).cast("int").alias("y"))
     assert split.stratified_split(df, "y", "id").where("split = 'test'").count() == 68
+
+
+def test_large_classes_are_split_without_moving_rows(spark, table):
+    data, df = table
+    whole = split.stratified_split(df, "y", "id", hot_rows=None)
+    cut = split.stratified_split(df, "y", "id", hot_rows=50, finish_rows=10)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert whole.exceptAll(cut).count() == 0
+    hashed = df.withColumn("h", split.spread_key("id", 42))
+    assert split.stratified_split(hashed, "y", "id", hot_rows=50, spread="h").drop("h").exceptAll(whole).count() == 0
+    folds = split.stratified_folds(df, "y", ONE, hot_rows=50, finish_rows=10)
+    assert "Exchange" not in folds._jdf.queryExecution().executedPlan().toString()
+    assert split.stratified_folds(df, "y", ONE, hot_rows=None).exceptAll(folds).count() == 0
+
+
+def test_equal_rows_at_a_cut_are_shared_exactly(spark):
+    # few ids, some missing, and a class whose rows are all alike
+    rows = [(None if i % 40 == 0 else i // 100, 5.0 if i % 2 else None, int(i % 3 == 0)) for i in range(900)]
+    rows += [(7, 7.0, 2)] * 100
+    df = spark.createDataFrame(rows, "id long, t double, y int")
+    for make, name in ((lambda h: split.stratified_split(df, "y", "id", hot_rows=h), "split"), (lambda h: split.stratified_folds(df, "y", ONE, hot_rows=h), "fold")):
+        counts = [{(r["y"], r[name]): r["count"] for r in make(h).groupBy("y", name).count().collect()} for h in (None, 60)]
+        assert counts[0] == counts[1] and None not in {k for _, k in counts[0]}
+        assert make(60).select("id", "t", "y").exceptAll(df).count() == 0

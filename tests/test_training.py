@@ -1,5 +1,6 @@
 import os
 from dataclasses import replace
+from functools import partial
 
 import numpy as np
 import pytest
@@ -208,3 +209,19 @@ def test_stored_rows_are_spread_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
     with training.stored(spark.range(1500).coalesce(1)) as kept:
         assert kept.rdd.getNumPartitions() == 15 and kept.distinct().count() == 1500
+
+
+def test_large_tables_are_stored_once_and_not_cached(spark, machines, monkeypatch):
+    config = TrainConfig(grid=(0.1, 1.0), max_iter=100, target_recall=0.5)
+    cached = training.train_mode_models(machines, FEATURES, ONE, LABELS, "t", config, only=["m1"])[0]
+    paths, persisted = [], []
+    scratch, persist = training.scratch_path, type(machines).persist
+    monkeypatch.setattr(training, "scratch_path", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    monkeypatch.setattr(type(machines), "persist", lambda self, *a: persisted.append(self) or persist(self, *a))
+    monkeypatch.setattr(training, "CACHED_ROWS", 100)
+    for name in ("stratified_split", "stratified_folds"):
+        monkeypatch.setattr(training, name, partial(getattr(training, name), hot_rows=100))
+    large = training.train_mode_models(machines, FEATURES, ONE, LABELS, "t", config, only=["m1"])[0]
+    assert len(paths) == 1 and not os.path.exists(paths[0].removeprefix("file:")) and not persisted
+    assert large.best_c == cached.best_c and large.model.coefficients == pytest.approx(cached.model.coefficients)
+    assert large.report.first() == cached.report.first() or large.report.first()["tp"] == cached.report.first()["tp"]
