@@ -245,3 +245,67 @@ def test_a_visit_of_a_short_series_is_cheap(options, most):
         pass
     counted.disable()
     assert pstats.Stats(counted).total_calls < most
+
+
+def series_of(n, each, seed=0):
+    """Readings of `n` series in one frame, as they come from a group."""
+    parts = [readings(each + i % 7, seed + i).assign(user_id=i) for i in range(n)]
+    rows = pd.concat(parts, ignore_index=True)
+    rows["event_id"] = np.arange(len(rows))
+    return rows.sample(frac=1, random_state=seed).reset_index(drop=True)
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 16}, {"delay": 15.0, "chunk_rows": 16}])
+def test_series_of_a_group_are_scored_as_if_alone(options):
+    rows = series_of(30, 60)
+    parts = [rows[rows["ts"] <= rows["ts"].quantile(0.6)], rows.iloc[::2], rows]
+    group = processor(FakeHandle(), **options)
+    got = pd.concat([run(group, [p[i : i + 500] for i in range(0, len(p), 500)]) for p in parts])
+    for user, mine in got.groupby("user_id"):
+        alone = processor(FakeHandle(), **options)
+        want = pd.concat([run(alone, [p[p["user_id"] == user]]) for p in parts])
+        for late in (False, True):
+            some = [x[x["late"].astype(bool) == late] for x in (mine, want)]
+            assert comparable(some[0].fillna({"step": -1})) == comparable(some[1].fillna({"step": -1})) if not late else sorted(some[0]["event_id"]) == sorted(some[1]["event_id"])
+    assert set(got["user_id"]) == set(range(30))
+
+
+def test_only_the_idle_series_of_a_group_are_removed():
+    rows, handle, clock = series_of(6, 40), FakeHandle(), Clock(1000)
+    p = processor(handle, delay=1e6, idle=60)
+    run(p, [rows], clock)
+    clock.now += 30_000
+    again = rows[rows["user_id"] >= 4].assign(ts=lambda d: d["ts"] + pd.Timedelta(days=1), event_id=lambda d: d["event_id"] + 10_000)
+    run(p, [again], clock)
+    clock.now = 61_000
+    flushed = pd.concat(list(p.handleExpiredTimer((0,), clock, None)))
+    assert sorted(flushed["event_id"]) == sorted(rows["event_id"][rows["user_id"] < 4])
+    clock.now = 91_000
+    rest = pd.concat(list(p.handleExpiredTimer((0,), clock, None)))
+    assert sorted(rest["event_id"]) == sorted([*rows["event_id"][rows["user_id"] >= 4], *again["event_id"]])
+    for user, mine in pd.concat([flushed, rest]).groupby("user_id"):
+        alone = pd.concat([x[x["user_id"] == user] for x in (rows, again)])
+        assert comparable(mine) == comparable(run(processor(FakeHandle()), [alone]))
+    assert not any(s.exists() or s.map for s in handle.states.values())
+
+
+def test_a_visit_costs_little_for_each_of_many_series():
+    handle, rows = FakeHandle(), series_of(400, 20)
+    run(processor(handle, chunk_rows=16), [rows])
+    counted, more = cProfile.Profile(), rows.assign(ts=rows["ts"] + pd.Timedelta(days=1))
+    p = processor(handle, chunk_rows=16)
+    counted.enable()
+    for _ in p.handleInputRows((0,), iter([more]), Clock()):
+        pass
+    counted.disable()
+    assert pstats.Stats(counted).total_calls < 400 * 400
+
+
+def test_group_keys_of_several_columns_with_missing_ones(spark, sf, tmp_path):
+    monitor.use_rocksdb(spark)
+    df = events(spark, sf).where("event_id < 600").withColumn("site", F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("s"), F.col("user_id") % 2)))
+    series = Series(("user_id", "site"), "ts", ("event_id",))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = monitor.alert_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), EVENT_SENSORS, series, RISK_MODEL, MODE_MODELS, groups=3)
+    monitor.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), drain=True).awaitTermination()
+    assert as_rows(spark.read.parquet(str(tmp_path / "out"))) == as_rows(alert_timeline(df, EVENT_SENSORS, series, RISK_MODEL, MODE_MODELS))
