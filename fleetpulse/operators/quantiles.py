@@ -3,8 +3,9 @@
 A double is placed on a line of 64-bit integers that grows with it. Each pass counts the rows
 in CELLS even cells of every interval that still holds a wanted rank, in the tasks, so that only
 counts are shuffled and no value is; the next intervals are the cells that hold the ranks. An interval
-with at most FINISH_ROWS rows gives its distinct values instead. Ten bits are won by each pass, so
-six passes are the most for any values, and two do for a million rows.
+with at most FINISH_ROWS rows gives its distinct values instead, and one whose least and greatest values are
+equal needs no more. Ten bits are won by each pass, so six passes are the most for any values, and two do for a
+million rows. All sums are made by numpy: as Spark expressions, hundreds of them make a method that the JVM does not compile.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,45 +60,93 @@ class _Interval:
         return max(0, (self.high - self.low).bit_length() - (cells - 1).bit_length())
 
 
-def _counted(table: DataFrame, n_columns: int, intervals: list[_Interval], cells: int, finish_rows: int) -> dict[int, list[tuple[int, int]]]:
-    """(place or cell, rows) of every interval in order, from one pass; intervals x cells rows reach the driver."""
+def _inside(batch: pa.RecordBatch, n_columns: int) -> list[np.ndarray]:
+    """Which rows are in each set."""
+    return [batch.column(n_columns + j).to_numpy(zero_copy_only=False) == 1 for j in range(batch.num_columns - n_columns)]
+
+
+def _limits(table: DataFrame, n_columns: int, n_sets: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(rows with a value, places of the least and greatest) of every column and set with values, from one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[int]] = {}
+        for batch in batches:
+            inside = _inside(batch, n_columns)
+            for i in range(n_columns):
+                values = batch.column(i)
+                place, given = on_line(values.to_numpy(zero_copy_only=False).astype(float)), ~np.asarray(values.is_null())
+                for j, in_set in enumerate(inside):
+                    mine = place[given & in_set]
+                    if len(mine):
+                        at = found.setdefault((i, j), [0, int(mine[0]), int(mine[0])])
+                        at[:] = at[0] + len(mine), min(at[1], int(mine.min())), max(at[2], int(mine.max()))
+        columns = list(zip(*[(i, j, *at) for (i, j), at in found.items()])) or [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(v, k) for v, k in zip(columns, kinds)], names=["column", "set", "n", "low", "high"])
+
+    found = table.mapInArrow(run, "column int, set int, n long, low long, high long").groupBy("column", "set")
+    found = found.agg(F.sum("n"), F.min("low"), F.max("high"))
+    return {(i, j): (n, low, high) for i, j, n, low, high in found.collect()}  # columns x sets rows
+
+
+def _counted(
+    table: DataFrame, n_columns: int, intervals: list[_Interval], cells: int, finish_rows: int
+) -> dict[int, tuple[list[tuple[int, int]], int, int]]:
+    """(place or cell, rows) of every interval in order, and its least and greatest place, from one pass.
+
+    Intervals x cells rows reach the driver.
+    """
     asked = [(t.column, t.set, t.low, t.high, t.shift(cells), t.rows <= finish_rows) for t in intervals]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
+        spans: dict[int, list[int]] = {}
+
+        def rows_of(i: int, kind: int, place, n) -> pa.RecordBatch:
+            same = [pa.array(np.full(len(place), v, np.int32)) for v in (i, kind)]
+            return pa.record_batch([*same, pa.array(place, pa.int64()), pa.array(n, pa.int64())], names=["interval", "kind", "place", "n"])
+
         for batch in batches:
-            inside = [batch.column(n_columns + j).to_numpy(zero_copy_only=False) == 1 for j in range(batch.num_columns - n_columns)]
-            places = {}
+            inside = _inside(batch, n_columns)
+            places, members = {}, {}
             for i, (column, in_set, low, high, shift, finish) in enumerate(asked):
                 if column not in places:
                     values = batch.column(column)
                     places[column] = on_line(values.to_numpy(zero_copy_only=False).astype(float)), ~np.asarray(values.is_null())
                 place, given = places[column]
-                mine = place[given & inside[in_set] & (place >= low) & (place <= high)]
+                if (column, in_set) not in members:
+                    members[column, in_set] = place[given & inside[in_set]]
+                mine = members[column, in_set]
+                mine = mine[(mine >= low) & (mine <= high)]
+                if not len(mine):
+                    continue
+                span = spans.setdefault(i, [high, low])
+                span[:] = min(span[0], int(mine.min())), max(span[1], int(mine.max()))
                 if finish:
-                    at, n = np.unique(mine, return_counts=True)
-                    if len(at):
-                        yield pa.record_batch([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(n)], names=["interval", "place", "n"])
-                elif len(mine):
+                    yield rows_of(i, 0, *np.unique(mine, return_counts=True))
+                else:
                     cell = (mine.view(np.uint64) - np.uint64(low & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(shift)
                     found = np.bincount(cell.astype(np.int64), minlength=cells)
                     totals[i] = totals[i] + found if i in totals else found
         for i, found in totals.items():
             at = np.flatnonzero(found)
-            yield pa.record_batch([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(found[at])], names=["interval", "place", "n"])
+            yield rows_of(i, 0, at, found[at])
+        for i, span in spans.items():
+            yield rows_of(i, 1, span, [0, 0])
 
-    # after the first pass few rows are in an interval; the others end before Python
-    near = [F.col(f"x{t.column}").between(off_line(t.low), off_line(t.high)) for t in intervals]
-    held = table.where(reduce(lambda a, b: a | b, near))
-    sums = held.mapInArrow(run, "interval int, place long, n long").groupBy("interval", "place").agg(F.sum("n").alias("n"))
-    out: dict[int, list[tuple[int, int]]] = {}
-    for r in sums.collect():
-        out.setdefault(r["interval"], []).append((r["place"], r["n"]))
-    return {i: sorted(found) for i, found in out.items()}
+    sums = table.mapInArrow(run, "interval int, kind int, place long, n long").groupBy("interval", "kind", "place")
+    out: dict[int, tuple[list, list]] = {}
+    for i, kind, place, n in sums.agg(F.sum("n")).collect():
+        out.setdefault(i, ([], []))[kind].append((place, n))
+    return {i: (sorted(found), min(spans)[0], max(spans)[0]) for i, (found, spans) in out.items()}
 
 
-def _narrowed(t: _Interval, found: list[tuple[int, int]], cells: int, finish_rows: int) -> tuple[dict[int, int], list[_Interval]]:
+def _narrowed(
+    t: _Interval, found: list[tuple[int, int]], least: int, greatest: int, cells: int, finish_rows: int
+) -> tuple[dict[int, int], list[_Interval]]:
     """Places of the ranks that are known now, and the intervals that hold the others."""
+    if least == greatest:
+        return {rank: least for rank in t.ranks}, []
     known: dict[int, int] = {}
     left: dict[int, _Interval] = {}
     before, at, shift = t.before, iter(found), t.shift(cells)
@@ -113,7 +161,8 @@ def _narrowed(t: _Interval, found: list[tuple[int, int]], cells: int, finish_row
             known[rank] = t.low + place
         else:
             low = t.low + (place << shift)
-            part = left.setdefault(place, _Interval(t.column, t.set, low, min(t.high, low + (1 << shift) - 1), before, n))
+            high = min(t.high, low + (1 << shift) - 1, greatest)
+            part = left.setdefault(place, _Interval(t.column, t.set, max(low, least), high, before, n))
             part.ranks.append(rank)
     return known, list(left.values())
 
@@ -136,33 +185,30 @@ def exact_quantiles(
     values = [present(df, n).cast("double").alias(f"x{i}") for i, n in enumerate(columns)]
     table = df.select(*values, *[F.coalesce(s, F.lit(False)).cast("int").alias(f"in{j}") for j, s in enumerate(sets.values())])
     pairs = [(i, j) for i in range(len(columns)) for j in range(len(tags))]
-    limits = []
-    for i, j in pairs:
-        x = F.when(F.col(f"in{j}") == 1, F.col(f"x{i}"))
-        limits += [F.count(x).alias(f"n{i}_{j}"), F.min(x).alias(f"lo{i}_{j}"), F.max(x).alias(f"hi{i}_{j}")]
-    limits = table.agg(*limits).first()
+    limits = _limits(table, len(columns), len(tags))
 
     wanted, known, todo = {}, {}, []
     for i, j in pairs:
-        n, low, high = (limits[f"{k}{i}_{j}"] for k in ("n", "lo", "hi"))
+        n, low, high = limits.get((i, j), (0, 0, 0))
         known[i, j] = {}
         wanted[i, j] = [(math.floor(h), math.ceil(h), h - math.floor(h)) for h in ((n - 1) * float(q) for q in probabilities)] if n else []
         ranks = sorted({r for a, b, _ in wanted[i, j] for r in (a, b)})
-        if ranks:
-            ends = on_line(np.array([low, high], float)).tolist()
-            todo.append(_Interval(i, j, *ends, 0, n, ranks))
+        if ranks and low == high:
+            known[i, j] = {r: low for r in ranks}
+        elif ranks:
+            todo.append(_Interval(i, j, low, high, 0, n, ranks))
     while todo:
         found = _counted(table, len(columns), todo, cells, finish_rows)
         after = []
         for k, t in enumerate(todo):
-            places, left = _narrowed(t, found[k], cells, finish_rows)
+            places, left = _narrowed(t, *found[k], cells, finish_rows)
             known[t.column, t.set] |= places
             after += left
         todo = after
 
     rows = []
     for i, j in pairs:
-        if not any(limits[f"n{i}_{k}"] for k in range(len(tags))):
+        if not any((i, k) in limits for k in range(len(tags))):
             continue
         at = {r: float(off_line(p)) for r, p in known[i, j].items()}
         found = [at[a] + (at[b] - at[a]) * f if f else at[a] for a, b, f in wanted[i, j]]
